@@ -92,7 +92,8 @@ def _round(units: DataFrame, last: Column) -> DataFrame:
     """One flight of each (source, block); a block for which ``last`` holds lands as well."""
 
     def move(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values(["_order", "doc_id", "size"], kind="stable")
+        # large documents first, so that what stays open is small
+        part = part.sort_values(["size", "_order", "doc_id"], ascending=[False, True, True], kind="stable")
         size = part["size"].to_numpy(dtype=float)
         chance = flight(size, part["_chance"].to_numpy(dtype=float), seed=int(part["_order"].iloc[0]))
         if part["_last"].iloc[0]:
