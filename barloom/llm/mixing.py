@@ -13,7 +13,6 @@ fractional documents, the landing problem, are rounded to the nearest total.
 from __future__ import annotations
 
 import random
-from itertools import product
 
 import numpy as np
 import pandas as pd
@@ -27,6 +26,8 @@ RATIO = 1.5
 CAP = 2.0
 #: Documents that move together.
 BLOCK = 800
+#: Documents of a source that the landing rounds, besides the two that a flight leaves.
+WAITING = 12
 TINY = 1e-9
 
 
@@ -79,12 +80,18 @@ def flight(size: np.ndarray, chance: np.ndarray, seed: int) -> np.ndarray:
 
 
 def landing(size: np.ndarray, chance: np.ndarray) -> np.ndarray:
-    """Round the last fractional chances so that the words come nearest to their expectation, then the documents."""
+    """Round the last fractional chances so that the words come nearest to their expectation, then the documents.
+
+    All roundings of the few open documents are tried; those that miss the
+    expected number of documents by more than one only if there are no others.
+    """
     out = chance.copy()
     open_ = np.nonzero((out > 0) & (out < 1))[0]
     if len(open_):
-        words, docs = float((out * size)[open_].sum()), float(out[open_].sum())
-        out[open_] = min(product((0.0, 1.0), repeat=len(open_)), key=lambda x: (abs(float(np.dot(x, size[open_])) - words), abs(sum(x) - docs), x))
+        trial = (np.arange(1 << len(open_))[:, None] >> np.arange(len(open_))[None, :] & 1).astype(float)
+        words = np.abs(trial @ size[open_] - float((out * size)[open_].sum()))
+        docs = np.abs(trial.sum(axis=1) - float(out[open_].sum()))
+        out[open_] = trial[np.lexsort((docs, words, docs > 1))[0]]
     return out
 
 
@@ -92,12 +99,19 @@ def _round(units: DataFrame, last: Column) -> DataFrame:
     """One flight of each (source, block); a block for which ``last`` holds lands as well."""
 
     def move(part: pd.DataFrame) -> pd.DataFrame:
-        # large documents first, so that what stays open is small
-        part = part.sort_values(["size", "_order", "doc_id"], ascending=[False, True, True], kind="stable")
-        size = part["size"].to_numpy(dtype=float)
-        chance = flight(size, part["_chance"].to_numpy(dtype=float), seed=int(part["_order"].iloc[0]))
+        part = part.sort_values(["_order", "doc_id", "size"], kind="stable")
+        size, chance = part["size"].to_numpy(dtype=float), part["_chance"].to_numpy(dtype=float)
+        seed = int(part["_order"].iloc[0])
         if part["_last"].iloc[0]:
+            # a few documents of all sizes wait for the landing
+            open_ = np.nonzero((chance > TINY) & (chance < 1 - TINY))[0]
+            by_size = open_[np.argsort(size[open_], kind="stable")]
+            wait = np.unique(by_size[np.linspace(0, len(by_size) - 1, WAITING).astype(int)]) if len(by_size) else open_
+            move_ = np.setdiff1d(np.arange(len(size)), wait)
+            chance[move_] = flight(size[move_], chance[move_], seed)
             chance = landing(size, chance)
+        else:
+            chance = flight(size, chance, seed)
         part["_chance"] = chance
         return part
 

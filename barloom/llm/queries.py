@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import functions as F
 
-from barloom.llm import language, mixing, pii, quality, rules, tokens
+from barloom.llm import decontaminate, language, mixing, pii, quality, rules, tokens, toxicity
 from barloom.llm.common import held_out, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -21,11 +21,23 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out("doc_id", 5, 0).alias("held_out"), "score", "predicted")
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", "toxicity", "toxic", "categories")
+
+
 def op3_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = rules.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return judged.select("doc_id", *rules.BASE, "kept", "llr")
 
 
+def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = decontaminate.find_leaks(docs, table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", (F.size("leaks") > 0).alias("contaminated"), F.col("leaks.item_id").alias("item_ids"))
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -56,7 +68,9 @@ def op10_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Query]:
     return {
         "op1_quality": op1_quality,
+        "op2_toxicity": op2_toxicity,
         "op3_rules": op3_rules,
+        "op5_decontaminate": op5_decontaminate,
         "op6_token_counts": op6_token_counts,
         "op7_language": op7_language,
         "op8_pii": op8_pii,
