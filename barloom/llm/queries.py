@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import functions as F
 
-from barloom.llm import decontaminate, language, mixing, pii, quality, rules, tokens, toxicity
+from barloom.llm import decontaminate, jaccard, language, mixing, pii, quality, rules, tokens, toxicity
 from barloom.llm.common import held_out, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -32,6 +32,10 @@ def op3_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", *rules.BASE, "kept", "llr")
 
 
+def op4_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.join_documents(table(spark, sf_dir, "documents"))
+
+
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = decontaminate.find_leaks(docs, table(spark, sf_dir, "benchmark"))
@@ -70,6 +74,7 @@ def queries() -> dict[str, Query]:
         "op1_quality": op1_quality,
         "op2_toxicity": op2_toxicity,
         "op3_rules": op3_rules,
+        "op4_jaccard": op4_jaccard,
         "op5_decontaminate": op5_decontaminate,
         "op6_token_counts": op6_token_counts,
         "op7_language": op7_language,
