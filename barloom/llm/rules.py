@@ -21,6 +21,8 @@ MAX_REPEAT_PERCENT = 30
 #: Buckets of the multinomials: a constant, so the table of weights never grows.
 BUCKETS = 1 << 16
 SMOOTHING = 1.0
+#: Labelled ids up to this many (16 bytes each) go to all tasks.
+BROADCAST_IDS = 2_000_000
 THRESHOLD = -0.15
 
 BASE = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
@@ -92,6 +94,8 @@ def weights(docs: DataFrame, labels: DataFrame) -> DataFrame:
     1 towards the target. Counts are summed before they are shuffled.
     """
     good = labels.filter(F.col("quality") == 1).select("doc_id").distinct().withColumn("_good", F.lit(1))
+    if good.count() <= BROADCAST_IDS:  # beyond that the texts are shuffled to the ids
+        good = F.broadcast(good)
     grams = docs.select("doc_id", words_of(F.col("text")).alias("_words")).join(good, "doc_id", "left")
     counts = stash(
         grams.select("_good", F.explode(_buckets(F.col("_words"))).alias("bucket"))
