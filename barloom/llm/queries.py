@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import functions as F
 
-from barloom.llm import decontaminate, jaccard, language, mixing, pii, quality, rules, tokens, toxicity
+from barloom.llm import decontaminate, jaccard, language, mixing, pii, quality, rules, suffixes, tokens, toxicity
 from barloom.llm.common import held_out, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -64,6 +64,11 @@ def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(pii.written(base), 256).alias("base_sha256"), pii.written(F.col("spans")).alias("spans"))
 
 
+def op9_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = suffixes.remove_repeats(table(spark, sf_dir, "documents"))
+    return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def op10_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(table(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
@@ -79,6 +84,7 @@ def queries() -> dict[str, Query]:
         "op6_token_counts": op6_token_counts,
         "op7_language": op7_language,
         "op8_pii": op8_pii,
+        "op9_suffixes": op9_suffixes,
         "op10_mix": op10_mix,
     }
 
