@@ -315,8 +315,11 @@ def join_documents(docs: DataFrame) -> DataFrame:
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` without those whose component has a smaller doc_id; rows with a repeated id count once."""
+    """The rows of ``docs`` without those whose component has a smaller doc_id.
+
+    Rows that repeat an id count once; rows with a null id always stay.
+    """
     found = join_documents(docs)
-    first = found.filter(F.col("component_id").isNull() | (F.col("doc_id") == F.col("component_id"))).select("doc_id").distinct()
-    kept = docs.join(first.withColumn("_id", F.col("doc_id")).drop("doc_id"), docs["doc_id"].eqNullSafe(F.col("_id")), "left_semi")
-    return kept.dropDuplicates(["doc_id"]) if "doc_id" in docs.columns else kept
+    first = found.filter(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
+    kept = docs.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return kept.unionByName(docs.filter("doc_id is null"))
