@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from importlib import import_module
 
-from pyspark.sql import DataFrame, SparkSession
+from barloom.plans.kit import Query
 
+PARTS = ("technical",)
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+
+def _parts():
+    return [import_module(f"barloom.plans.{name}").R for name in PARTS]
+
+
+def queries() -> dict[str, Query]:
+    return {k: v for part in _parts() for k, v in part.queries.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {k: v for part in _parts() for k, v in part.sql.items()}
