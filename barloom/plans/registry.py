@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from importlib import import_module
 
+from pyspark.sql import DataFrame, SparkSession
+
 from barloom.plans.kit import Query
 
-PARTS = ("technical",)
+PARTS = ("technical", "ranks")
 
 
 def _parts():
@@ -19,3 +21,8 @@ def queries() -> dict[str, Query]:
 
 def oracle_sql() -> dict[str, str]:
     return {k: v for part in _parts() for k, v in part.sql.items()}
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The top of the latest cross-sectional ranking."""
+    return queries()["rk26_rank_latest"](spark, sf_dir)
