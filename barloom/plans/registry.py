@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from barloom.plans.kit import Query
 
-PARTS = ("technical", "ranks", "trust", "markets")
+PARTS = ("technical", "ranks", "trust", "markets", "companies")
 
 
 def _parts():
