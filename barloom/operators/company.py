@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from barloom.functions.stats import along, clip, full, pct_rank, ratio, reasons
 
-Q = along(order="report_date")
+
+def by_quarter() -> WindowSpec:
+    return along(order="report_date")
+
 
 
 # --- fundamentals -------------------------------------------------------------------------------------------
@@ -15,7 +18,7 @@ Q = along(order="report_date")
 
 def trailing_year(rows: DataFrame, *metrics: str) -> DataFrame:
     """Sums over four quarters, only where four are known."""
-    spec = Q.rowsBetween(-3, 0)
+    spec = by_quarter().rowsBetween(-3, 0)
     return rows.withColumns({f"ttm_{m}": full(F.sum(m).over(spec), spec, 4, F.col(m)) for m in metrics})
 
 
@@ -27,8 +30,8 @@ def pivot_metrics(long: DataFrame, metrics: list[str]) -> DataFrame:
 def growth(rows: DataFrame) -> DataFrame:
     """Quarter and year growth, yearly growth rate over eight quarters and the number of growing quarters of four."""
     s = F.col("sales")
-    rows = rows.withColumns({"qoq": ratio(s, F.lag("sales", 1).over(Q)) - 1, "yoy": ratio(s, F.lag("sales", 4).over(Q)) - 1, "cagr_8": F.when((F.lag("sales", 8).over(Q) > 0) & (s > 0), F.sqrt(s / F.lag("sales", 8).over(Q)) - 1)})
-    return rows.withColumn("positive_4", F.sum((F.coalesce(F.col("qoq"), F.lit(0.0)) > 0).cast("int")).over(Q.rowsBetween(-3, 0)))
+    rows = rows.withColumns({"qoq": ratio(s, F.lag("sales", 1).over(by_quarter())) - 1, "yoy": ratio(s, F.lag("sales", 4).over(by_quarter())) - 1, "cagr_8": F.when((F.lag("sales", 8).over(by_quarter()) > 0) & (s > 0), F.sqrt(s / F.lag("sales", 8).over(by_quarter())) - 1)})
+    return rows.withColumn("positive_4", F.sum((F.coalesce(F.col("qoq"), F.lit(0.0)) > 0).cast("int")).over(by_quarter().rowsBetween(-3, 0)))
 
 
 def insight_tags(rows: DataFrame) -> DataFrame:
@@ -57,7 +60,7 @@ def within_sector(rows: DataFrame, metric: str, invert: bool = False) -> DataFra
 
 def own_history(rows: DataFrame, value: str, n: int) -> DataFrame:
     """Median of the last n observations and the share of them at or below the current one."""
-    spec = Q.rowsBetween(-(n - 1), 0)
+    spec = by_quarter().rowsBetween(-(n - 1), 0)
     seen = F.collect_list(value).over(spec)
     rows = rows.withColumns({"_seen": seen, f"{value}_median": F.percentile(value, F.lit(0.5)).over(spec)})
     here = F.col(value)

@@ -3,14 +3,44 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from barloom.functions.stats import along, clip, full, pct_rank, ratio, reasons, trailing
 
-W = along()
-WEEK = along(order="week_end")
-C, H, L, O, V = (F.col(c) for c in ("close", "high", "low", "open", "volume"))
+
+def close_() -> Column:
+    return F.col("close")
+
+
+def high_() -> Column:
+    return F.col("high")
+
+
+def low_() -> Column:
+    return F.col("low")
+
+
+def open_() -> Column:
+    return F.col("open")
+
+
+def volume_() -> Column:
+    return F.col("volume")
+
+
+def by_symbol() -> WindowSpec:
+    return along()
+
+
+def by_week() -> WindowSpec:
+    return along(order="week_end")
+
+
+def by_day() -> WindowSpec:
+    """Over rows that are one per date."""
+    return Window.orderBy("trade_date")
+
 
 
 # --- weekly bars and stages -------------------------------------------------------------------------------
@@ -21,9 +51,9 @@ def weekly(bars: DataFrame) -> DataFrame:
     week = F.next_day(F.date_sub("trade_date", 1), "Fri")
     rows = bars.groupBy("symbol_id", week.alias("week_end")).agg(F.min_by("open", "trade_date").alias("open"), F.max("high").alias("high"), F.min("low").alias("low"), F.max_by("close", "trade_date").alias("close"), F.sum("volume").alias("volume"))
     t = lambda n: trailing(n, order="week_end")
-    rows = rows.withColumns({f"ma{n}w": F.avg("close").over(t(n)) for n in (10, 30, 40)} | {"_tr": F.greatest(H, F.lag("close").over(WEEK)) - F.least(L, F.lag("close").over(WEEK))})
-    before = F.lag("ma30w", 4).over(WEEK)
-    return rows.withColumns({"ma30w_slope_4w": ratio(F.col("ma30w") - before, before), "high_52w": F.max("high").over(t(52)), "low_52w": F.min("low").over(t(52)), "atr10": F.avg("_tr").over(t(10)), "atr30": F.avg("_tr").over(t(30)), "volume_ratio": ratio(V, F.avg("volume").over(t(10))), "weeks": F.row_number().over(WEEK)}).drop("_tr")
+    rows = rows.withColumns({f"ma{n}w": F.avg("close").over(t(n)) for n in (10, 30, 40)} | {"_tr": F.greatest(high_(), F.lag("close").over(by_week())) - F.least(low_(), F.lag("close").over(by_week()))})
+    before = F.lag("ma30w", 4).over(by_week())
+    return rows.withColumns({"ma30w_slope_4w": ratio(F.col("ma30w") - before, before), "high_52w": F.max("high").over(t(52)), "low_52w": F.min("low").over(t(52)), "atr10": F.avg("_tr").over(t(10)), "atr30": F.avg("_tr").over(t(30)), "volume_ratio": ratio(volume_(), F.avg("volume").over(t(10))), "weeks": F.row_number().over(by_week())}).drop("_tr")
 
 
 #: Fixed thresholds of the stage rules.
@@ -39,10 +69,10 @@ def classify(weeks: DataFrame) -> DataFrame:
     ma, slope = F.col("ma30w"), F.col("ma30w_slope_4w")
     flat = F.abs(slope) <= FLAT
     checks = {
-        "S2": [C > ma, slope > ENTER, C >= 0.8 * F.col("high_52w"), F.col("ma10w") > ma],
-        "S4": [C < ma, slope < -ENTER, C <= 1.3 * F.col("low_52w"), F.col("ma10w") < ma],
-        "S3": [flat, F.abs(ratio(C, ma) - 1) <= 0.05, C >= 0.7 * F.col("high_52w")],
-        "S1": [flat, F.abs(ratio(C, ma) - 1) <= 0.05, C < 0.7 * F.col("high_52w")],
+        "S2": [close_() > ma, slope > ENTER, close_() >= 0.8 * F.col("high_52w"), F.col("ma10w") > ma],
+        "S4": [close_() < ma, slope < -ENTER, close_() <= 1.3 * F.col("low_52w"), F.col("ma10w") < ma],
+        "S3": [flat, F.abs(ratio(close_(), ma) - 1) <= 0.05, close_() >= 0.7 * F.col("high_52w")],
+        "S1": [flat, F.abs(ratio(close_(), ma) - 1) <= 0.05, close_() < 0.7 * F.col("high_52w")],
     }
     scores = {k: sum((F.when(c, 1.0).otherwise(0.0) for c in v), F.lit(0.0)) / len(v) for k, v in checks.items()}
     best = F.array_max(F.array(*[F.struct(scores[k].alias("score"), F.lit(-i).alias("order"), F.lit(k).alias("label")) for i, k in enumerate(TIE_ORDER)]))
@@ -51,15 +81,15 @@ def classify(weeks: DataFrame) -> DataFrame:
 
 def stage_age(rows: DataFrame) -> DataFrame:
     """Weeks in the current stage, since when, and the change that led to it."""
-    before = F.lag("stage").over(WEEK)
+    before = F.lag("stage").over(by_week())
     change = F.when(before.eqNullSafe(F.col("stage")), 0).otherwise(1)
-    run = rows.withColumns({"_run": F.sum(change).over(WEEK.rowsBetween(Window.unboundedPreceding, 0)), "previous": before})
+    run = rows.withColumns({"_run": F.sum(change).over(by_week().rowsBetween(Window.unboundedPreceding, 0)), "previous": before})
     island = Window.partitionBy("symbol_id", "_run").orderBy("week_end")
     return run.withColumns({"bars_in_stage": F.row_number().over(island), "entry_date": F.first("week_end").over(island), "transition": F.concat_ws("->", F.first("previous").over(island), F.col("stage"))}).drop("_run", "previous")
 
 
 def support_resistance(weeks: DataFrame) -> DataFrame:
-    spec = WEEK.rowsBetween(-11, -2)
+    spec = by_week().rowsBetween(-11, -2)
     return weeks.withColumns({"support_level": F.min("low").over(spec), "resistance_level": F.max("high").over(spec)})
 
 
@@ -100,15 +130,15 @@ def observation_age(rows: DataFrame, sessions: DataFrame) -> DataFrame:
 def breakouts(bars: DataFrame) -> DataFrame:
     """Breakout flags against frames before each bar, contraction, volume figures and a conviction score of 0-100."""
     prior = lambda n: trailing(n, skip=1)
-    rows = bars.withColumns({"_tr": F.greatest(H, F.lag("close").over(W)) - F.least(L, F.lag("close").over(W))})
+    rows = bars.withColumns({"_tr": F.greatest(high_(), F.lag("close").over(by_symbol())) - F.least(low_(), F.lag("close").over(by_symbol()))})
     rows = rows.withColumns(
         {
-            "range_breakout": F.coalesce(full(C > F.max("high").over(prior(20)), prior(20), 20), F.lit(False)),
-            "base_breakout": F.coalesce(full(C > F.max("high").over(prior(60)), prior(60), 60), F.lit(False)),
-            "high_52w_breakout": F.coalesce(full(C > F.max("high").over(prior(252)), prior(252), 252), F.lit(False)),
-            "contraction": ratio(F.avg(ratio(H - L, C)).over(prior(5)), F.avg(ratio(H - L, C)).over(prior(20))),
-            "volume_ratio": ratio(V, F.avg("volume").over(prior(20))),
-            "vol_z20": full(ratio(V - F.avg("volume").over(prior(20)), F.stddev_pop("volume").over(prior(20))), prior(20), 20),
+            "range_breakout": F.coalesce(full(close_() > F.max("high").over(prior(20)), prior(20), 20), F.lit(False)),
+            "base_breakout": F.coalesce(full(close_() > F.max("high").over(prior(60)), prior(60), 60), F.lit(False)),
+            "high_52w_breakout": F.coalesce(full(close_() > F.max("high").over(prior(252)), prior(252), 252), F.lit(False)),
+            "contraction": ratio(F.avg(ratio(high_() - low_(), close_())).over(prior(5)), F.avg(ratio(high_() - low_(), close_())).over(prior(20))),
+            "volume_ratio": ratio(volume_(), F.avg("volume").over(prior(20))),
+            "vol_z20": full(ratio(volume_() - F.avg("volume").over(prior(20)), F.stddev_pop("volume").over(prior(20))), prior(20), 20),
             "_atr": F.avg("_tr").over(prior(14)),
             "_d20": F.avg("delivery_pct").over(prior(20)),
         }
@@ -117,8 +147,8 @@ def breakouts(bars: DataFrame) -> DataFrame:
         F.when(F.col("range_breakout"), 35.0).otherwise(0.0),
         F.when(F.col("volume_ratio") >= 1.5, 25.0).otherwise(0.0),
         F.when(F.col("delivery_pct") > F.col("_d20"), 20.0).otherwise(0.0),
-        F.when(H - L >= 1.5 * F.col("_atr"), 10.0).otherwise(0.0),
-        F.when(C >= L + 0.75 * (H - L), 10.0).otherwise(0.0),
+        F.when(high_() - low_() >= 1.5 * F.col("_atr"), 10.0).otherwise(0.0),
+        F.when(close_() >= low_() + 0.75 * (high_() - low_()), 10.0).otherwise(0.0),
     ]
     family = F.when(F.col("high_52w_breakout"), "high_52w").when(F.col("base_breakout"), "base").when(F.col("range_breakout"), "range")
     return rows.withColumns({"conviction": sum(points[1:], points[0]), "setup_family": family}).drop("_tr", "_atr", "_d20")
@@ -136,31 +166,31 @@ def volume_confirmations(rows: DataFrame) -> DataFrame:
 
 
 def volume_shocks(rows: DataFrame, universe: DataFrame, z: float = 3.0, turnover: float = 1e5) -> DataFrame:
-    hit = rows.filter((F.col("vol_z20") >= z) & (C * V >= turnover)).join(universe.select("symbol_id").distinct(), "symbol_id", "left_semi")
+    hit = rows.filter((F.col("vol_z20") >= z) & (close_() * volume_() >= turnover)).join(universe.select("symbol_id").distinct(), "symbol_id", "left_semi")
     return hit.withColumn("intensity", F.when(F.col("vol_z20") >= 2 * z, "extreme").otherwise("high"))
 
 
 def failed_breakouts(rows: DataFrame, latest: DataFrame) -> DataFrame:
     """Symbols whose latest close is below the close of their first breakout."""
     first = rows.filter(F.col("setup_family").isNotNull()).groupBy("symbol_id").agg(F.min("trade_date").alias("first_day"), F.min_by("close", "trade_date").alias("trigger"))
-    return first.join(latest.select("symbol_id", C.alias("last_close")), "symbol_id").filter(F.col("last_close") < F.col("trigger"))
+    return first.join(latest.select("symbol_id", close_().alias("last_close")), "symbol_id").filter(F.col("last_close") < F.col("trigger"))
 
 
 def daily_gainers(bars: DataFrame, percent: float) -> DataFrame:
-    moved = bars.withColumn("gain", 100 * (ratio(C, F.lag("close").over(W)) - 1))
+    moved = bars.withColumn("gain", 100 * (ratio(close_(), F.lag("close").over(by_symbol())) - 1))
     n = F.row_number().over(Window.partitionBy("symbol_id").orderBy(F.desc("trade_date")))
     return moved.withColumn("_n", n).filter((F.col("_n") == 1) & (F.col("gain") > percent)).select("symbol_id", "trade_date", "close", "gain")
 
 
 def top_gainers(bars: DataFrame, lag: int, n: int) -> DataFrame:
     k = F.row_number().over(Window.partitionBy("symbol_id").orderBy(F.desc("trade_date")))
-    rows = bars.withColumns({"gain": F.round(100 * (ratio(C, F.lag("close", lag).over(W)) - 1), 6), "_n": k}).filter("_n = 1 and gain is not null")
+    rows = bars.withColumns({"gain": F.round(100 * (ratio(close_(), F.lag("close", lag).over(by_symbol())) - 1), 6), "_n": k}).filter("_n = 1 and gain is not null")
     return rows.orderBy(F.desc("gain"), "symbol_id").limit(n).select("symbol_id", "gain")
 
 
 def unusual_activity(rows: DataFrame, n: int) -> DataFrame:
     """Five-bar gain and delivery of at least 5 % and 40 %, with volume that stands out."""
-    gained = rows.withColumn("gain", F.round(100 * (ratio(C, F.lag("close", 5).over(W)) - 1), 6))
+    gained = rows.withColumn("gain", F.round(100 * (ratio(close_(), F.lag("close", 5).over(by_symbol())) - 1), 6))
     hit = gained.filter((F.col("gain") >= 5) & (F.col("delivery_pct") >= 40) & ((F.col("vol_z20") >= 1) | (F.col("volume_ratio") >= 1.25)))
     return hit.orderBy(F.desc("gain"), "symbol_id", "trade_date").limit(n).select("symbol_id", "trade_date", "gain")
 
@@ -169,8 +199,8 @@ def forward(bars: DataFrame, *horizons: int) -> DataFrame:
     """Returns over the next bars and the date on which each is known; null until then."""
     out = {}
     for n in horizons:
-        out[f"fwd_{n}"] = ratio(F.lead("close", n).over(W), C) - 1
-        out[f"matured_{n}"] = F.lead("trade_date", n).over(W)
+        out[f"fwd_{n}"] = ratio(F.lead("close", n).over(by_symbol()), close_()) - 1
+        out[f"matured_{n}"] = F.lead("trade_date", n).over(by_symbol())
     return bars.withColumns(out)
 
 
@@ -183,21 +213,21 @@ def setup_statistics(rows: DataFrame) -> DataFrame:
 def cross_events(bars: DataFrame, fast: int = 20, slow: int = 50) -> DataFrame:
     """Crossings of two moving averages, with their direction."""
     above = F.avg("close").over(trailing(fast)) > F.avg("close").over(trailing(slow))
-    rows = bars.withColumn("_a", F.when(F.row_number().over(W) >= slow, above)).withColumn("_b", F.lag("_a").over(W))
+    rows = bars.withColumn("_a", F.when(F.row_number().over(by_symbol()) >= slow, above)).withColumn("_b", F.lag("_a").over(by_symbol()))
     return rows.filter(F.col("_a") != F.col("_b")).select("symbol_id", "trade_date", "close", F.when(F.col("_a"), "up").otherwise("down").alias("direction"))
 
 
 def high_volume_breaks(bars: DataFrame, n: int = 20, k: float = 1.5) -> DataFrame:
     prior = trailing(n, skip=1)
     rows = bars.withColumns({"_h": F.max("high").over(prior), "_v": F.avg("volume").over(prior), "_n": F.count(F.lit(1)).over(prior)})
-    return rows.filter((F.col("_n") >= n) & (C > F.col("_h")) & (V > k * F.col("_v"))).select("symbol_id", "trade_date", "close")
+    return rows.filter((F.col("_n") >= n) & (close_() > F.col("_h")) & (volume_() > k * F.col("_v"))).select("symbol_id", "trade_date", "close")
 
 
 def average_touches(bars: DataFrame, n: int = 50, percent: float = 2.0) -> DataFrame:
     """Bars within some per cent of a rising average on more than mean volume."""
     rows = bars.withColumns({"_m": full(F.avg("close").over(trailing(n)), trailing(n), n), "_v": F.avg("volume").over(trailing(20))})
-    rows = rows.withColumn("_p", F.lag("_m", 5).over(W))
-    return rows.filter((F.abs(ratio(C, F.col("_m")) - 1) <= percent / 100) & (F.col("_m") > F.col("_p")) & (V > F.col("_v"))).select("symbol_id", "trade_date", "close")
+    rows = rows.withColumn("_p", F.lag("_m", 5).over(by_symbol()))
+    return rows.filter((F.abs(ratio(close_(), F.col("_m")) - 1) <= percent / 100) & (F.col("_m") > F.col("_p")) & (volume_() > F.col("_v"))).select("symbol_id", "trade_date", "close")
 
 
 # --- breadth ------------------------------------------------------------------------------------------------
@@ -205,17 +235,17 @@ def average_touches(bars: DataFrame, n: int = 50, percent: float = 2.0) -> DataF
 
 def breadth(bars: DataFrame) -> DataFrame:
     """One row per date: shares above the 50- and 200-bar means and near the high, new highs and lows, advances and declines."""
-    rows = bars.withColumns({"_s50": full(F.avg("close").over(trailing(50)), trailing(50), 50), "_s200": full(F.avg("close").over(trailing(200)), trailing(200), 200), "_hi": F.max("high").over(trailing(252)), "_lo": F.min("low").over(trailing(252)), "_p": F.lag("close").over(W)})
+    rows = bars.withColumns({"_s50": full(F.avg("close").over(trailing(50)), trailing(50), 50), "_s200": full(F.avg("close").over(trailing(200)), trailing(200), 200), "_hi": F.max("high").over(trailing(252)), "_lo": F.min("low").over(trailing(252)), "_p": F.lag("close").over(by_symbol())})
     share = lambda c: F.avg(c.cast("double"))
     return rows.groupBy("trade_date").agg(
         F.count("*").alias("n"),
-        share(C > F.col("_s50")).alias("pct50"),
-        share(C > F.col("_s200")).alias("pct200"),
-        share(C >= 0.95 * F.col("_hi")).alias("pct_high"),
-        F.count_if(H >= F.col("_hi")).alias("new_highs"),
-        F.count_if(L <= F.col("_lo")).alias("new_lows"),
-        F.count_if(C > F.col("_p")).alias("advances"),
-        F.count_if(C < F.col("_p")).alias("declines"),
+        share(close_() > F.col("_s50")).alias("pct50"),
+        share(close_() > F.col("_s200")).alias("pct200"),
+        share(close_() >= 0.95 * F.col("_hi")).alias("pct_high"),
+        F.count_if(high_() >= F.col("_hi")).alias("new_highs"),
+        F.count_if(low_() <= F.col("_lo")).alias("new_lows"),
+        F.count_if(close_() > F.col("_p")).alias("advances"),
+        F.count_if(close_() < F.col("_p")).alias("declines"),
     )
 
 
@@ -252,12 +282,11 @@ def regime_with_hysteresis(rows: DataFrame, margin: float = 3.0) -> DataFrame:
     return rows.withColumn("_all", F.lit(1)).select("_all", "trade_date", "score").groupBy("_all").applyInPandas(lambda p: fold(p), "trade_date date, score double, held_label string")
 
 
-DAYS = Window.orderBy("trade_date")
 
 
 def confirmed(rows: DataFrame, n: int = 3) -> DataFrame:
     """A label is confirmed when at least two of the last n days are at or above it."""
-    spec = DAYS.rowsBetween(-(n - 1), 0)
+    spec = by_day().rowsBetween(-(n - 1), 0)
     rank = sum((F.when(F.col("label") == x, float(i)).otherwise(0.0) for i, x in enumerate(LABELS)), F.lit(0.0))
     rows = rows.withColumn("_r", rank)
     at_least = lambda k: F.sum((F.col("_r") >= k).cast("int")).over(spec) >= 2
@@ -266,15 +295,15 @@ def confirmed(rows: DataFrame, n: int = 3) -> DataFrame:
 
 
 def regime_age(rows: DataFrame) -> DataFrame:
-    change = F.when(F.lag("label").over(DAYS).eqNullSafe(F.col("label")), 0).otherwise(1)
-    run = rows.withColumn("_run", F.sum(change).over(DAYS.rowsBetween(Window.unboundedPreceding, 0)))
+    change = F.when(F.lag("label").over(by_day()).eqNullSafe(F.col("label")), 0).otherwise(1)
+    run = rows.withColumn("_run", F.sum(change).over(by_day().rowsBetween(Window.unboundedPreceding, 0)))
     return run.withColumn("days_in_label", F.row_number().over(Window.partitionBy("_run").orderBy("trade_date"))).drop("_run")
 
 
 def velocity(rows: DataFrame, n: int = 60) -> DataFrame:
     """Five-day change of the score and its place among the changes of the last n days, in fifths."""
-    rows = rows.withColumn("velocity", F.col("score") - F.lag("score", 5).over(DAYS))
-    spec = DAYS.rowsBetween(-(n - 1), 0)
+    rows = rows.withColumn("velocity", F.col("score") - F.lag("score", 5).over(by_day()))
+    spec = by_day().rowsBetween(-(n - 1), 0)
     edges = {q: F.percentile("velocity", F.lit(q / 5)).over(spec) for q in (1, 2, 3, 4)}
     v = F.round("velocity", 6)
     bucket = sum((F.when(v > F.round(e, 6), 1).otherwise(0) for e in edges.values()), F.lit(1))
@@ -293,7 +322,7 @@ def members(bars: DataFrame, n: int = 20, lookback: int = 180) -> DataFrame:
     days = bars.groupBy(F.trunc("trade_date", "MM").alias("month")).agg(F.min("trade_date").alias("rebalance"))
     # a bar can count towards the months of its look-back only, so it is given those, not compared with all
     reach = lookback // 28 + 2
-    near = bars.select("symbol_id", "trade_date", (C * V).alias("_v")).withColumn("month", F.explode(F.transform(F.sequence(F.lit(0), F.lit(reach)), lambda k: F.add_months(F.trunc("trade_date", "MM"), k))))
+    near = bars.select("symbol_id", "trade_date", (close_() * volume_()).alias("_v")).withColumn("month", F.explode(F.transform(F.sequence(F.lit(0), F.lit(reach)), lambda k: F.add_months(F.trunc("trade_date", "MM"), k))))
     held = near.join(days, "month").filter((F.col("trade_date") < F.col("rebalance")) & (F.datediff("rebalance", "trade_date") <= lookback))
     value = held.groupBy("rebalance", "symbol_id").agg(F.percentile("_v", F.lit(0.5)).alias("median_value"))
     k = F.row_number().over(Window.partitionBy("rebalance").orderBy(F.round("median_value", 6).desc(), "symbol_id"))
@@ -302,26 +331,26 @@ def members(bars: DataFrame, n: int = 20, lookback: int = 180) -> DataFrame:
 
 def equal_weight_index(bars: DataFrame, base: float = 100.0) -> DataFrame:
     """Level of the mean return of all symbols with a bar before, over one row per date."""
-    moved = bars.withColumn("_r", ratio(C, F.lag("close").over(W)) - 1)
+    moved = bars.withColumn("_r", ratio(close_(), F.lag("close").over(by_symbol())) - 1)
     day = moved.groupBy("trade_date").agg(F.avg(clip(F.col("_r"), -0.5, 0.5)).alias("ret"), F.count("_r").alias("n"))
-    return day.withColumn("level", base * F.exp(F.sum(F.log1p(F.coalesce("ret", F.lit(0.0)))).over(DAYS)))
+    return day.withColumn("level", base * F.exp(F.sum(F.log1p(F.coalesce("ret", F.lit(0.0)))).over(by_day())))
 
 
 # --- sectors ------------------------------------------------------------------------------------------------
 
 
 def sector_breadth(bars: DataFrame, master: DataFrame) -> DataFrame:
-    rows = bars.join(master.select("symbol_id", "sector"), "symbol_id").withColumns({"_a": full(C > F.avg("close").over(trailing(50)), trailing(50), 30), "_b": full(C > F.avg("close").over(trailing(200)), trailing(200), 120)})
+    rows = bars.join(master.select("symbol_id", "sector"), "symbol_id").withColumns({"_a": full(close_() > F.avg("close").over(trailing(50)), trailing(50), 30), "_b": full(close_() > F.avg("close").over(trailing(200)), trailing(200), 120)})
     return rows.groupBy("trade_date", "sector").agg((0.6 * F.avg(F.col("_a").cast("double")) + 0.4 * F.avg(F.col("_b").cast("double"))).alias("breadth"), F.count("*").alias("n"))
 
 
 def against_benchmark(bars: DataFrame, bench: DataFrame) -> DataFrame:
-    return bars.join(bench, "trade_date", "left").withColumn("rs", ratio(C, F.col("bench_close")) - 1)
+    return bars.join(bench, "trade_date", "left").withColumn("rs", ratio(close_(), F.col("bench_close")) - 1)
 
 
 def sector_returns(bars: DataFrame, master: DataFrame, n: int = 20) -> DataFrame:
     """Mean n-bar return of each sector and date with its percentile."""
-    rows = bars.withColumn("_r", ratio(C, F.lag("close", n).over(W)) - 1).join(master.select("symbol_id", "sector"), "symbol_id")
+    rows = bars.withColumn("_r", ratio(close_(), F.lag("close", n).over(by_symbol())) - 1).join(master.select("symbol_id", "sector"), "symbol_id")
     day = rows.groupBy("trade_date", "sector").agg(F.round(F.avg("_r"), 9).alias("sector_return"))
     return day.withColumn("sector_pct", pct_rank("sector_return", "trade_date"))
 
@@ -367,7 +396,7 @@ def alpha_bucket(alpha: Column) -> Column:
 def group_index(bars: DataFrame, master: DataFrame, base: float = 100.0) -> DataFrame:
     """Cap-weighted level of each sector on a base, over forward-filled closes of its members' sessions."""
     rows = bars.join(master.select("symbol_id", "sector", "market_cap"), "symbol_id")
-    day = rows.groupBy("sector", "trade_date").agg((F.sum(C * F.col("market_cap")) / F.nullif(F.sum("market_cap"), F.lit(0.0))).alias("_v"))
+    day = rows.groupBy("sector", "trade_date").agg((F.sum(close_() * F.col("market_cap")) / F.nullif(F.sum("market_cap"), F.lit(0.0))).alias("_v"))
     first = F.first("_v").over(along("sector").rowsBetween(Window.unboundedPreceding, 0))
     return day.select("sector", "trade_date", (base * ratio(F.col("_v"), first)).alias("line"))
 
@@ -377,5 +406,5 @@ def accumulation(bars: DataFrame) -> DataFrame:
     z = lambda c: ratio(F.col(c) - F.avg(c).over(trailing(20)), F.stddev_samp(c).over(trailing(20)))
     rows = bars.withColumns({"delivery_z": F.round(z("delivery_pct"), 6), "volume_z": F.round(z("volume"), 6)})
     rows = rows.withColumn("score", 60 * F.coalesce(pct_rank("delivery_z", "trade_date"), F.lit(0.5)) + 40 * F.coalesce(pct_rank("volume_z", "trade_date"), F.lit(0.5)))
-    up = C >= F.lag("close").over(W)
+    up = close_() >= F.lag("close").over(by_symbol())
     return rows.withColumn("_up", up).withColumn("label", F.when((F.col("score") >= 70) & F.col("_up"), "ACCUMULATION").when((F.col("score") >= 70) & ~F.col("_up"), "DISTRIBUTION").otherwise("NEUTRAL")).drop("_up")

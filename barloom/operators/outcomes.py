@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from barloom.functions.stats import along, pct_rank, ratio, reasons
 
-W = along()
-C = F.col("close")
+
+def close_() -> Column:
+    return F.col("close")
+
+
+def by_symbol() -> WindowSpec:
+    return along()
+
 BANDS = ((1, 10, "top_10"), (11, 50, "11_50"), (51, 200, "51_200"), (201, 10**9, "201_plus"))
 
 
@@ -88,8 +94,8 @@ def excursions(bars: DataFrame, events: DataFrame, horizon: int) -> DataFrame:
 
     Bars and events meet by symbol and session number, each bar with the events at most ``horizon`` sessions before.
     """
-    numbered = bars.withColumn("_n", F.row_number().over(W)).select("symbol_id", "trade_date", "close", "high", "low", "_n")
-    entry = events.select("symbol_id", "trade_date").join(numbered, ["symbol_id", "trade_date"]).select("symbol_id", F.col("trade_date").alias("event_date"), C.alias("_c"), F.col("_n").alias("_e"))
+    numbered = bars.withColumn("_n", F.row_number().over(by_symbol())).select("symbol_id", "trade_date", "close", "high", "low", "_n")
+    entry = events.select("symbol_id", "trade_date").join(numbered, ["symbol_id", "trade_date"]).select("symbol_id", F.col("trade_date").alias("event_date"), close_().alias("_c"), F.col("_n").alias("_e"))
     reach = entry.withColumn("_n", F.explode(F.sequence(F.col("_e") + 1, F.col("_e") + horizon)))
     met = reach.join(numbered.drop("trade_date"), ["symbol_id", "_n"])
     return met.groupBy("symbol_id", "event_date").agg((F.max_by("close", "_n") / F.first("_c") - 1).alias("ret"), (F.max("high") / F.first("_c") - 1).alias("mfe"), (F.min("low") / F.first("_c") - 1).alias("mae"), F.count("*").alias("sessions"))

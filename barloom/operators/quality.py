@@ -2,20 +2,38 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from barloom.functions.stats import along, ratio, reasons
 
-W = along()
-C, H, L, O = (F.col(c) for c in ("close", "high", "low", "open"))
+
+def close_() -> Column:
+    return F.col("close")
+
+
+def high_() -> Column:
+    return F.col("high")
+
+
+def low_() -> Column:
+    return F.col("low")
+
+
+def open_() -> Column:
+    return F.col("open")
+
+
+def by_symbol() -> WindowSpec:
+    return along()
+
 
 
 def bar_violations(bars: DataFrame) -> DataFrame:
     """What is wrong with each bar, as a comma-joined list; empty for valid bars. A null volume counts as 0."""
     prices = [F.col(c) for c in ("open", "high", "low", "close")]
     missing = prices[0].isNull() | prices[1].isNull() | prices[2].isNull() | prices[3].isNull()
-    return bars.withColumn("violations", F.concat_ws(",", reasons((missing, "null_price"), (F.coalesce("volume", F.lit(0.0)) < 0, "volume"), (H < F.greatest(O, C, L), "high"), (L > F.least(O, C, H), "low"))))
+    return bars.withColumn("violations", F.concat_ws(",", reasons((missing, "null_price"), (F.coalesce("volume", F.lit(0.0)) < 0, "volume"), (high_() < F.greatest(open_(), close_(), low_()), "high"), (low_() > F.least(open_(), close_(), high_()), "low"))))
 
 
 def split(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -30,7 +48,7 @@ def delivery_violations(rows: DataFrame) -> DataFrame:
 
 def rule_table(bars: DataFrame, key: tuple[str, ...] = ("symbol_id", "trade_date")) -> DataFrame:
     """One row per rule with its number of failing rows."""
-    rules = {"null_fields": C.isNull() | O.isNull(), "ohlc": (H < L) | (H < C) | (L > C), "negative_volume": F.col("volume") < 0, "wide_range": ratio(H, L) > 2}
+    rules = {"null_fields": close_().isNull() | open_().isNull(), "ohlc": (high_() < low_()) | (high_() < close_()) | (low_() > close_()), "negative_volume": F.col("volume") < 0, "wide_range": ratio(high_(), low_()) > 2}
     counted = bars.agg(*[F.count_if(F.coalesce(c, F.lit(False))).alias(k) for k, c in rules.items()])
     listed = counted.select(F.explode(F.array(*[F.struct(F.lit(k).alias("rule"), F.col(k).alias("failed")) for k in rules])).alias("x")).select("x.rule", "x.failed")
     doubles = bars.groupBy(*key).count().filter("count > 1").agg(F.lit("duplicate_key").alias("rule"), F.count("*").alias("failed"))
@@ -38,7 +56,7 @@ def rule_table(bars: DataFrame, key: tuple[str, ...] = ("symbol_id", "trade_date
 
 
 def moves(bars: DataFrame) -> DataFrame:
-    return bars.withColumn("move", ratio(C, F.lag("close").over(W)) - 1)
+    return bars.withColumn("move", ratio(close_(), F.lag("close").over(by_symbol())) - 1)
 
 
 def jump_days(bars: DataFrame, median: float = 0.1, symbols: int = 3) -> DataFrame:
@@ -72,7 +90,7 @@ def segment_drift(rows: DataFrame, as_of: Column, limit: float = 0.05) -> DataFr
 def critical_universe(bars: DataFrame, n: int, as_of: Column, lookback: int = 365, min_days: int = 10) -> DataFrame:
     """The n symbols of the highest median traded value within the look-back that traded on enough days."""
     age = F.datediff(as_of, F.col("trade_date"))
-    recent = bars.filter((age >= 0) & (age <= lookback)).groupBy("symbol_id").agg(F.percentile(C * F.col("volume"), F.lit(0.5)).alias("median_value"), F.count("*").alias("days"))
+    recent = bars.filter((age >= 0) & (age <= lookback)).groupBy("symbol_id").agg(F.percentile(close_() * F.col("volume"), F.lit(0.5)).alias("median_value"), F.count("*").alias("days"))
     return recent.filter(F.col("days") >= min_days).orderBy(F.round("median_value", 6).desc(), "symbol_id").limit(n)
 
 
@@ -96,7 +114,7 @@ def basis_shifts(bars: DataFrame, gap: float = 0.3, symbols: int = 2) -> DataFra
 def reconcile_providers(primary: DataFrame, fallback: DataFrame) -> DataFrame:
     """Each primary close with the fallback's: confidence 1 where equal, 0.8 with a note where not, null without one."""
     other = fallback.select("symbol_id", "trade_date", F.col("close").alias("_o"))
-    differs = F.abs(C - F.col("_o")) > 0
+    differs = F.abs(close_() - F.col("_o")) > 0
     return primary.join(other, ["symbol_id", "trade_date"], "left").withColumns({"confidence": F.when(differs, 0.8).when(F.col("_o").isNotNull(), 1.0), "note": F.when(differs, "differs")}).drop("_o")
 
 
@@ -125,7 +143,7 @@ def trust_summary(rows: DataFrame, quarantine: DataFrame, warn: float = 0.2, blo
 def compare_bars(stored: DataFrame, reference: DataFrame) -> DataFrame:
     """Per symbol: dates missing from the stored bars, extra in them, mismatched and matched."""
     key = ["symbol_id", "trade_date"]
-    both = stored.select(*key, C.alias("_a"), F.lit(True).alias("_s")).join(reference.select(*key, C.alias("_b"), F.lit(True).alias("_r")), key, "full_outer")
+    both = stored.select(*key, close_().alias("_a"), F.lit(True).alias("_s")).join(reference.select(*key, close_().alias("_b"), F.lit(True).alias("_r")), key, "full_outer")
     kind = F.when(F.col("_s").isNull(), "missing").when(F.col("_r").isNull(), "extra").when(F.col("_a").eqNullSafe(F.col("_b")), "match").otherwise("mismatch")
     return both.groupBy("symbol_id").agg(*[F.count_if(kind == k).alias(k) for k in ("missing", "extra", "mismatch", "match")])
 
@@ -149,7 +167,7 @@ def stale_symbols(bars: DataFrame, cutoff: Column, min_rows: int = 300) -> DataF
 
 
 def readiness(bars: DataFrame, n: int) -> DataFrame:
-    return bars.withColumn("ready", F.row_number().over(W) >= n)
+    return bars.withColumn("ready", F.row_number().over(by_symbol()) >= n)
 
 
 def feature_confidence(rows: DataFrame) -> DataFrame:

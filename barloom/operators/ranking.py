@@ -2,13 +2,23 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from barloom.functions.stats import along, clip, full, pct_rank, ratio, reasons, trailing
 
-W = along()
-C, V = F.col("close"), F.col("volume")
+
+def close_() -> Column:
+    return F.col("close")
+
+
+def volume_() -> Column:
+    return F.col("volume")
+
+
+def by_symbol() -> WindowSpec:
+    return along()
+
 DATE = ("trade_date",)
 
 #: Fixed weights of the composite and of the relative-strength blend.
@@ -31,17 +41,17 @@ def tail(rows: DataFrame, n: int) -> DataFrame:
 
 def returns(bars: DataFrame, *lags: int) -> DataFrame:
     """Returns over several lags, in per cent."""
-    return bars.withColumns({f"ret_{n}": 100 * (ratio(C, F.lag("close", n).over(W)) - 1) for n in (lags or (5, 10, 20, 60, 120))})
+    return bars.withColumns({f"ret_{n}": 100 * (ratio(close_(), F.lag("close", n).over(by_symbol())) - 1) for n in (lags or (5, 10, 20, 60, 120))})
 
 
 def volume_stats(bars: DataFrame, n: int = 20) -> DataFrame:
     """Mean and maximum over the last n + 1 bars, and the z-score against the n bars before (sample deviation)."""
     here, before = trailing(n + 1), trailing(n, skip=1)
-    return bars.withColumns({"vol_mean": F.avg("volume").over(here), "vol_max": F.max("volume").over(here), "vol_z": ratio(V - F.avg("volume").over(before), F.stddev_samp("volume").over(before))})
+    return bars.withColumns({"vol_mean": F.avg("volume").over(here), "vol_max": F.max("volume").over(here), "vol_z": ratio(volume_() - F.avg("volume").over(before), F.stddev_samp("volume").over(before))})
 
 
 def averages(bars: DataFrame) -> DataFrame:
-    return bars.withColumns({f"sma_{n}": F.avg("close").over(trailing(n)) for n in (20, 50, 200)} | {"bar_count": F.count(F.lit(1)).over(W.rowsBetween(Window.unboundedPreceding, 0))})
+    return bars.withColumns({f"sma_{n}": F.avg("close").over(trailing(n)) for n in (20, 50, 200)} | {"bar_count": F.count(F.lit(1)).over(by_symbol().rowsBetween(Window.unboundedPreceding, 0))})
 
 
 def year_high(bars: DataFrame) -> DataFrame:
@@ -72,20 +82,20 @@ def acceleration(rows: DataFrame, rs_delta: str | None = None) -> DataFrame:
 
 
 def volume_intensity(rows: DataFrame) -> DataFrame:
-    return rows.withColumn("volume_intensity", 0.6 * clip(ratio(V, F.col("vol_mean")), 0, 5) + 0.4 * clip(F.col("vol_z"), -3, 5))
+    return rows.withColumn("volume_intensity", 0.6 * clip(ratio(volume_(), F.col("vol_mean")), 0, 5) + 0.4 * clip(F.col("vol_z"), -3, 5))
 
 
 def trend_score(rows: DataFrame) -> DataFrame:
-    above = F.when(C > F.col("sma_20"), 40.0).otherwise(0.0) + F.when(C > F.col("sma_50"), 60.0).otherwise(0.0)
+    above = F.when(close_() > F.col("sma_20"), 40.0).otherwise(0.0) + F.when(close_() > F.col("sma_50"), 60.0).otherwise(0.0)
     return rows.withColumn("trend", 0.7 * F.least(F.coalesce(F.col("adx"), F.lit(0.0)) / 50 * 100, F.lit(100.0)) + 0.3 * above)
 
 
 def above_long_average(rows: DataFrame) -> DataFrame:
-    return rows.withColumn("above_sma200_pct", F.when(F.col("bar_count") >= 200, 100 * (ratio(C, F.col("sma_200")) - 1)).otherwise(0.0))
+    return rows.withColumn("above_sma200_pct", F.when(F.col("bar_count") >= 200, 100 * (ratio(close_(), F.col("sma_200")) - 1)).otherwise(0.0))
 
 
 def proximity(rows: DataFrame) -> DataFrame:
-    return rows.withColumns({"proximity": clip(100 * ratio(C, F.col("high_52w")), 0, 100), "short_history": F.col("lookback") < 252})
+    return rows.withColumns({"proximity": clip(100 * ratio(close_(), F.col("high_52w")), 0, 100), "short_history": F.col("lookback") < 252})
 
 
 def fill_by_sector(rows: DataFrame, column: str, default: float = 20.0) -> DataFrame:
@@ -165,17 +175,17 @@ def factor_correlation(rows: DataFrame, factors: list[str], limit: float = 0.7)
 
 
 def eligibility(rows: DataFrame, price: float = 20.0, liquidity: float = 0.2, history: int = 60) -> DataFrame:
-    gates = reasons((C < price, "price"), (F.col("bar_count") < history, "history"), (F.coalesce(F.col("liquidity_pct"), F.lit(0.0)) < liquidity, "liquidity"))
+    gates = reasons((close_() < price, "price"), (F.col("bar_count") < history, "history"), (F.coalesce(F.col("liquidity_pct"), F.lit(0.0)) < liquidity, "liquidity"))
     return rows.withColumn("_why", gates).withColumns({"rejection": F.concat_ws(",", "_why"), "eligible": F.size("_why") == 0}).drop("_why")
 
 
 def penalties(rows: DataFrame) -> DataFrame:
     """Points off: below the long average, illiquid, a wide range, exhaustion."""
-    stretched = ratio(C, F.col("sma_20")) - 1
+    stretched = ratio(close_(), F.col("sma_20")) - 1
     parts = [
-        F.when((F.col("bar_count") >= 200) & (C < F.col("sma_200")), 10.0).otherwise(0.0),
+        F.when((F.col("bar_count") >= 200) & (close_() < F.col("sma_200")), 10.0).otherwise(0.0),
         F.when(F.coalesce(F.col("liquidity_pct"), F.lit(0.0)) < 0.2, 10.0).otherwise(0.0),
-        F.when(ratio(F.col("atr_14"), C) > 0.08, 5.0).otherwise(0.0),
+        F.when(ratio(F.col("atr_14"), close_()) > 0.08, 5.0).otherwise(0.0),
         F.when(stretched > 0.25, 8.0).when(stretched > 0.15, 3.0).otherwise(0.0),
     ]
     return rows.withColumn("penalty", sum(parts[1:], parts[0]))
@@ -220,7 +230,7 @@ def rank_latest(bars: DataFrame, master: DataFrame, n: int = 25, history: int =
     rows = latest(year_high(averages(volume_stats(returns(atr(adx(near))))))).withColumn("session", F.col("trade_date"))
     end = rows.agg(F.max("trade_date").alias("_end"))
     rows = rows.join(F.broadcast(end)).withColumn("trade_date", F.col("_end")).drop("_end")
-    rows = rows.withColumn("liquidity_pct", pct_rank(C * V, "trade_date")).join(master, "symbol_id", "left").withColumn("sector", F.coalesce("sector", F.lit("Other")))
+    rows = rows.withColumn("liquidity_pct", pct_rank(close_() * volume_(), "trade_date")).join(master, "symbol_id", "left").withColumn("sector", F.coalesce("sector", F.lit("Other")))
     rows = proximity(above_long_average(trend_score(volume_intensity(acceleration(relative_strength(rows))))))
     sector = rows.groupBy("sector", "trade_date").agg(F.avg("rel_strength").alias("sector_rs"))
     judged = confidence(penalties(eligibility(composite(attach_sector(rows, sector)))))
