@@ -28,6 +28,11 @@ THRESHOLD = -0.15
 BASE = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
 
 
+def _word_hashes(words: Column) -> Column:
+    """Each word is hashed once; windows and n-grams hash these numbers."""
+    return F.transform(words, lambda w: F.xxhash64(w))
+
+
 def _window_hashes(words: Column) -> Column:
     last = F.size(words) - WINDOW
     hashes = F.transform(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), lambda i: F.xxhash64(F.slice(words, i + 1, WINDOW)))
@@ -41,7 +46,7 @@ def _repeated_starts(hashes: Column) -> Column:
 
 
 def base_rules(docs: DataFrame) -> DataFrame:
-    """Add the word and repeat figures, ``base_failed`` and the words themselves (``_words``).
+    """Add the word and repeat figures, ``base_failed`` and the hashes of the words (``_words``).
 
     Null texts count as empty: no words, and failed. A line counts as repeated
     when it has a word and equals an earlier line of its text.
@@ -50,7 +55,9 @@ def base_rules(docs: DataFrame) -> DataFrame:
     blanks = " \t\n\x0b\x0c\r"
     lines = F.filter(F.split(text, "\n"), lambda x: F.btrim(x, F.lit(blanks)) != "")
     measured = (
-        docs.withColumn("_words", words_of(F.col("text")))
+        docs.withColumn("_parts", words_of(F.col("text")))
+        .withColumn("_words", _word_hashes(F.col("_parts")))
+        .drop("_parts")
         .withColumn("_lines", lines)
         .withColumns(
             {
@@ -80,10 +87,10 @@ def base_rules(docs: DataFrame) -> DataFrame:
 
 
 def _buckets(words: Column) -> Column:
-    """Buckets of all words and neighbouring word pairs."""
-    bucket = lambda *x: F.pmod(F.xxhash64(*x), F.lit(BUCKETS)).cast("int")
+    """Buckets of all words and neighbouring word pairs, from the words' hashes."""
+    bucket = lambda x: F.pmod(x, F.lit(BUCKETS)).cast("int")
     single = F.transform(words, lambda w: bucket(w))
-    double = F.transform(words, lambda w, i: bucket(F.get(words, i - 1), w))
+    double = F.transform(words, lambda w, i: bucket(F.xxhash64(F.get(words, i - 1), w)))
     return F.concat(single, F.slice(double, 2, F.greatest(F.size(words) - 1, F.lit(0))))
 
 
@@ -96,7 +103,7 @@ def weights(docs: DataFrame, labels: DataFrame) -> DataFrame:
     good = labels.filter(F.col("quality") == 1).select("doc_id").distinct().withColumn("_good", F.lit(1))
     if good.count() <= BROADCAST_IDS:  # beyond that the texts are shuffled to the ids
         good = F.broadcast(good)
-    grams = docs.select("doc_id", words_of(F.col("text")).alias("_words")).join(good, "doc_id", "left")
+    grams = docs.select("doc_id", words_of(F.col("text")).alias("_parts")).select("doc_id", _word_hashes(F.col("_parts")).alias("_words")).join(good, "doc_id", "left")
     counts = stash(
         grams.select("_good", F.explode(_buckets(F.col("_words"))).alias("bucket"))
         .groupBy("bucket")
