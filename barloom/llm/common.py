@@ -52,7 +52,15 @@ def stash(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/barloom-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    back = spark.read.schema(df.schema).parquet(path)
+    back._barloom_path = path
+    return back
+
+
+def discard(df: DataFrame) -> None:
+    """Delete what ``stash`` wrote for a result that no later step reads."""
+    path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._barloom_path)
+    path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
 def release(spark: SparkSession) -> None:

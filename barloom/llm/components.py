@@ -26,3 +26,14 @@ def components(links: DataFrame) -> DataFrame:
         step = parent.select(F.col("x").alias("component"), "parent")
         found = stash(found.join(step, "component", "left").select("node", F.coalesce("parent", "component").alias("component")))
     return found
+
+
+def merged(groups: DataFrame, links: DataFrame) -> DataFrame:
+    """``groups`` after further links: only links between different components enter the contraction."""
+    of = lambda side: groups.select(F.col("node").alias(side), F.col("component").alias(f"_{side}"))
+    named = links.join(of("x"), "x", "left").join(of("y"), "y", "left")
+    across = named.select(F.coalesce("_x", "x").alias("x"), F.coalesce("_y", "y").alias("y")).filter("x <> y").distinct()
+    step = stash(components(stash(across)))
+    moved = groups.join(step.select(F.col("node").alias("component"), F.col("component").alias("_next")), "component", "left")
+    fresh = step.join(groups.select("node"), "node", "left_anti").select("node", "component")
+    return stash(moved.select("node", F.coalesce("_next", "component").alias("component")).unionByName(fresh))

@@ -22,8 +22,8 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from barloom.llm.common import release, stash
-from barloom.llm.components import components
+from barloom.llm.common import discard, release, stash
+from barloom.llm.components import components, merged
 
 WORDS = 5
 PERCENT = 80
@@ -32,6 +32,8 @@ FREQUENT = 24
 #: Frequent shingles up to this many bytes go to all tasks; more are joined instead.
 BROADCAST_BYTES = 64 << 20
 KEYS_PER_PART = 1 << 20
+#: Leaders that the nodes of a list are compared with before pairs are.
+LEADERS = 5
 #: Rows of text a task holds at once.
 ROWS = 512
 
@@ -138,6 +140,7 @@ def prefixes(docs: DataFrame, total: int) -> DataFrame:
     spark = docs.sparkSession
     counted, shift = frequent_shingles(docs, total)
     counted = stash(counted)
+    release(spark)
     size = counted.agg(F.sum(F.octet_length("keys") + F.octet_length("counts"))).first()[0] or 0
     if size <= BROADCAST_BYTES:
         return _ranked_in_tasks(docs, counted, shift)
@@ -199,7 +202,7 @@ def _ranked_by_join(docs: DataFrame, counted: DataFrame, shift: int) -> DataFram
     return rows.join(known, "key", "left").withColumn("pos", F.row_number().over(order) - 1).filter(F.col("pos") < size).select("shingle", "node", "n", "pos")
 
 
-def similar(a: np.ndarray, b: np.ndarray, percent: int = PERCENT) -> tuple[int, int]:
+def similar(a: np.ndarray, b: np.ndarray, percent: int = PERCENT, exact: bool = False) -> tuple[int, int]:
     """Sizes of intersection and union; (0, 1) where the suffix filter rules the pair out.
 
     Cut at a's median, the sets differ at least by the differences of their
@@ -207,7 +210,7 @@ def similar(a: np.ndarray, b: np.ndarray, percent: int = PERCENT) -> tuple[int,
     """
     allowed = (100 - percent) * (len(a) + len(b)) // (100 + percent)
     half = np.searchsorted(b, a[len(a) // 2])
-    if abs(len(a) // 2 - half) + abs((len(a) - len(a) // 2) - (len(b) - half)) > allowed:
+    if not exact and abs(len(a) // 2 - half) + abs((len(a) - len(a) // 2) - (len(b) - half)) > allowed:
         return 0, 1
     if len(a) > len(b):
         a, b = b, a
@@ -217,8 +220,11 @@ def similar(a: np.ndarray, b: np.ndarray, percent: int = PERCENT) -> tuple[int,
     return both, len(a) + len(b) - both
 
 
-def verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """Add ``both`` and ``union``, the exact sizes, to pairs (x, y) of nodes; each pair comes once."""
+def verify(pairs: DataFrame, texts: DataFrame, exact: bool = False) -> DataFrame:
+    """Add ``both`` and ``union``, the exact sizes, to pairs (x, y) of nodes; each pair comes once.
+
+    Pairs that the suffix filter rules out have no sizes, unless they are to be exact.
+    """
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         recent: OrderedDict[int, np.ndarray] = OrderedDict()
@@ -231,7 +237,7 @@ def verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
             return recent[node]
 
         for batch in batches:
-            sizes = [similar(own(x, s), own(y, t)) for x, y, s, t in zip(batch["x"], batch["y"], batch["s"], batch["t"], strict=True)]
+            sizes = [similar(own(x, s), own(y, t), exact=exact) for x, y, s, t in zip(batch["x"], batch["y"], batch["s"], batch["t"], strict=True)]
             yield pd.DataFrame({"x": batch["x"], "y": batch["y"], "both": np.array([v[0] for v in sizes], dtype=np.int64), "union": np.array([v[1] for v in sizes], dtype=np.int64)})
 
     left = texts.select(F.col("node").alias("x"), F.col("text").alias("s"))
@@ -239,28 +245,50 @@ def verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return pairs.select("x", "y").join(left, "x").join(right, "y").mapInPandas(count, "x long, y long, both long, union long")
 
 
-def _texts(docs: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The text of one document of each node in the pairs."""
-    needed = pairs.select(F.col("x").alias("node")).unionByName(pairs.select(F.col("y").alias("node"))).distinct()
-    wanted = classes.join(needed, "node").select("node", F.col("first_id").alias("doc_id"))
+def _texts(docs: DataFrame, classes: DataFrame, nodes_: DataFrame) -> DataFrame:
+    """The text of one document of each of the nodes."""
+    wanted = classes.join(nodes_, "node").select("node", F.col("first_id").alias("doc_id"))
     return docs.select("doc_id", "text").join(wanted, "doc_id").groupBy("node").agg(F.min("text").alias("text"))
 
 
-def links(docs: DataFrame, known: DataFrame) -> DataFrame:
-    """Links between nodes that give the same components as all links do."""
+def _near(a: str, b: str):
+    return 100 * F.least(F.col(a), F.col(b)) >= PERCENT * F.greatest(F.col(a), F.col(b))
+
+
+def _linked(sizes: DataFrame) -> DataFrame:
+    return sizes.filter(100 * F.col("both") >= PERCENT * F.col("union")).select("x", "y")
+
+
+def linked_groups(docs: DataFrame, known: DataFrame) -> DataFrame:
+    """Components of the nodes that any link joins; not all links are formed, but those that are give the same components."""
     spark = docs.sparkSession
     classes = known.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("first_id"))
     total = known.agg(F.sum("n_shingles")).first()[0] or 0
     rows = stash(prefixes(docs, total))
     heads = rows.groupBy("shingle").agg(F.min(F.struct("node", "n")).alias("head"), F.max("node").alias("other")).filter(F.col("head.node") != F.col("other"))
     lists = stash(rows.join(heads, "shingle").select("shingle", "node", "n", "pos", F.col("head.node").alias("leader"), F.col("head.n").alias("leader_n")))
+    discard(rows)
+    release(spark)
+    texts = stash(_texts(docs, classes, lists.select("node").distinct()))
     release(spark)
-    near = lambda a, b: 100 * F.least(a, b) >= PERCENT * F.greatest(a, b)
-    first = stash(lists.filter((F.col("node") != F.col("leader")) & near(F.col("n"), F.col("leader_n"))).select(F.col("node").alias("x"), F.col("leader").alias("y")).distinct())
-    seen = stash(verify(first, stash(_texts(docs, classes, first))))
+
+    first = stash(lists.filter((F.col("node") != F.col("leader")) & _near("n", "leader_n")).select(F.col("node").alias("x"), F.col("leader").alias("y")).distinct())
+    led = stash(verify(first, texts, exact=True))
+    seen, groups = led, components(_linked(led))
+    for k in range(1, LEADERS):
+        release(spark)
+        named = lists.select("shingle", "node", "n").join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        head = F.min(F.struct(F.xxhash64("node", F.lit(k)).alias("h"), F.col("node").alias("leader"), F.col("n").alias("leader_n"), F.col("component").alias("lead")))
+        split = named.groupBy("shingle").agg(head.alias("head"), F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("shingle", "head.leader", "head.leader_n", "head.lead")
+        met = named.join(split, "shingle").filter((F.col("component") != F.col("lead")) & _near("n", "leader_n"))
+        pairs = met.select(F.least("node", "leader").alias("x"), F.greatest("node", "leader").alias("y")).distinct()
+        pairs = stash(pairs.join(_ordered(seen), ["x", "y"], "left_anti"))
+        if not pairs.limit(1).count():
+            break
+        sizes = stash(verify(pairs, texts, exact=True))
+        seen, groups = seen.unionByName(sizes), merged(groups, _linked(sizes))
     release(spark)
-    linked = lambda d: d.filter(100 * F.col("both") >= PERCENT * F.col("union")).select("x", "y")
-    groups = components(linked(seen))
+
     # lists whose nodes are not yet one component
     grouped = (
         lists.join(groups, "node", "left")
@@ -268,9 +296,9 @@ def links(docs: DataFrame, known: DataFrame) -> DataFrame:
         .join(groups.select(F.col("node").alias("leader"), F.col("component").alias("lead_component")), "leader", "left")
         .withColumn("lead_component", F.coalesce("lead_component", "leader"))
     )
-    mixed = grouped.groupBy("shingle").agg(F.count_if(F.col("component") != F.col("lead_component")).alias("apart")).filter("apart > 0").select("shingle")
-    # distance to the leader: known where verified and not ruled out, else bounded by the sizes
-    distance = seen.filter("both > 0").select(F.col("x").alias("node"), F.col("y").alias("leader"), (1 - F.col("both") / F.col("union")).alias("d"))
+    mixed = grouped.groupBy("shingle").agg(F.count_if(F.col("component") != F.col("lead_component")).alias("apart_n")).filter("apart_n > 0").select("shingle")
+    # distance to the first leader: exact where they were compared, else bounded by the sizes
+    distance = led.select(F.col("x").alias("node"), F.col("y").alias("leader"), (1 - F.col("both") / F.col("union")).alias("d"))
     own = F.col("node") == F.col("leader")
     by_size = 1 - F.least("n", "leader_n") / F.greatest("n", "leader_n")
     open_ = stash(
@@ -287,16 +315,18 @@ def links(docs: DataFrame, known: DataFrame) -> DataFrame:
         (c("a.shingle") == c("b.shingle"))
         & (c("a.component") != c("b.component"))
         & (~c("b.apart") | (c("a.node") < c("b.node")))
-        & near(c("a.n"), c("b.n"))
+        & _near("a.n", "b.n")
         & ((100 + PERCENT) * overlap >= PERCENT * (c("a.n") + c("b.n")))
         & (c("a.low") - c("b.high") <= reach)
         & (c("b.low") - c("a.high") <= reach)
     )
     pairs = a.join(b, meeting).select(F.least("a.node", "b.node").alias("x"), F.greatest("a.node", "b.node").alias("y")).distinct()
-    # pairs with a leader have been counted already
-    second = stash(pairs.join(seen.select(F.greatest("x", "y").alias("y"), F.least("x", "y").alias("x")), ["x", "y"], "left_anti"))
-    more = verify(second, stash(_texts(docs, classes, second)))
-    return linked(seen).unionByName(linked(more))
+    second = stash(pairs.join(_ordered(seen), ["x", "y"], "left_anti"))
+    return merged(groups, stash(_linked(verify(second, texts))))
+
+
+def _ordered(sizes: DataFrame) -> DataFrame:
+    return sizes.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))
 
 
 def join_documents(docs: DataFrame) -> DataFrame:
@@ -308,7 +338,7 @@ def join_documents(docs: DataFrame) -> DataFrame:
     64-bit hashes. An empty table gives an empty result.
     """
     known = stash(nodes(docs))
-    groups = components(stash(links(docs, known)))
+    groups = linked_groups(docs, known)
     named = known.join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
     smallest = named.filter("component is not null").groupBy("component").agg(F.min("doc_id").alias("component_id"))
     return named.join(smallest, "component", "left").select("doc_id", "n_shingles", F.coalesce("component_id", F.when(F.col("component").isNull(), F.col("doc_id"))).alias("component_id"))
