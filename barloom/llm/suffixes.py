@@ -5,8 +5,8 @@ the smallest hash (the leftmost of equals), so equal windows have equal anchors
 equal places. Neighbouring windows with one anchor form a run. Runs are the
 suffixes that get sorted: by their leading token (the anchor's hash), then by the
 hash of all their bytes, then by place. Sampled splitters deal them to ranges,
-each range sorts on its own, and neighbours are compared; the groups at the edges
-of a range go on to be compared across ranges. Equal runs repeat whole. Runs that
+each range sorts on its own, neighbours are compared, and the rows at the edges of
+ranges are compared across them. Equal runs repeat whole. Runs that
 share an anchor but differ somewhere are compared window by window, and for that
 the first run of each content is enough.
 """
@@ -106,31 +106,61 @@ def suffixes(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").filter("doc_id is not null").mapInPandas(emit, RUN)
 
 
-def repeated_candidates(rows: DataFrame) -> DataFrame:
-    """Runs whose leading token another run has, found by sorting ranges and comparing neighbours.
+def sorted_neighbours(rows: DataFrame, keys: list[str], shared: bool) -> DataFrame:
+    """Sort rows by keys and place in ranges, and mark with ``again`` those whose keys an earlier row has.
 
-    The first and the last run of a range always stay, since their likes may
-    lie in the range next to it.
+    Sampled splitters cut between places too, so one key's rows may spread over
+    ranges. The first and last rows of all ranges (two a range) show where a key
+    goes on. Only marked rows come back, without their keys, and with ``shared``
+    also the first rows of keys whose first column another key has.
     """
+    order = [*keys, "doc_id", "start"]
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held, before = None, None  # the last row so far, and the token before it
+        held, before, opened = None, None, (0, 0)  # the last row so far; the keys before it and where theirs came first
+
+        def marked(frame: pd.DataFrame, last: bool) -> tuple[pd.DataFrame, tuple]:
+            columns = [frame[k].to_numpy() for k in keys]
+            token = columns[0]
+            same = np.logical_and.reduce([c[1:] == c[:-1] for c in columns])
+            same = np.concatenate([[before is not None and all(b == c[0] for b, c in zip(before, columns, strict=True))], same])
+            at = np.maximum.accumulate(np.where(same, -1, np.arange(len(frame))))
+            # a repeated row has its likes' place and is no repeat of them
+            places = [frame[c].to_numpy() for c in ("doc_id", "start")]
+            first = [np.where(at >= 0, p[at], o) for p, o in zip(places, opened, strict=True)]
+            again = (places[0] != first[0]) | (places[1] != first[1])
+            edge = np.zeros(len(frame), dtype=bool)
+            edge[0], edge[-1] = before is None, last
+            alike = np.concatenate([[before is not None and before[0] == token[0]], token[1:] == token[:-1]])
+            wanted = again | edge | ((alike | np.concatenate([alike[1:], [False]])) & shared)
+            if not last:
+                wanted[-1] = False
+            out = frame.assign(again=again, edge=edge)
+            for k, c in zip(keys, columns, strict=True):
+                out[k] = np.where(again & ~edge, 0, c)
+            return out[wanted], tuple(int(f[-2]) for f in first) if len(frame) > 1 else opened
+
         for batch in batches:
-            if held is not None:
-                batch = pd.concat([held, batch], ignore_index=True)
-            if not len(batch):
+            frame = batch if held is None else pd.concat([held, batch], ignore_index=True)
+            if not len(frame):
                 continue
-            token = batch["leading"].to_numpy()
-            last = np.concatenate([[before is None or before == token[0]], token[1:] == token[:-1]])
-            next_ = np.concatenate([last[1:], [False]])
-            yield batch[(last | next_)[:-1].tolist() + [False]]
-            held, before = batch.iloc[[-1]], (token[-2] if len(token) > 1 else before)
+            out, opened_ = marked(frame, False)
+            yield out
+            held, opened = frame.iloc[[-1]], opened_
+            if len(frame) > 1:
+                before = tuple(frame[k].iloc[-2] for k in keys)
         if held is not None:
-            yield held
+            yield marked(held, True)[0]
 
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    order = ["leading", "content", "doc_id", "start"]
-    return rows.repartitionByRange(n, *order).sortWithinPartitions(*order).mapInPandas(compare, RUN)
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema)
+    found = stash(rows.repartitionByRange(n, *order).sortWithinPartitions(*order).mapInPandas(compare, f"{schema}, again boolean, edge boolean"))
+    release(rows.sparkSession)
+    place = F.struct("doc_id", "start")
+    # two rows a range at most
+    earliest = F.broadcast(found.filter("edge").groupBy(*keys).agg(F.min(place).alias("_first")))
+    joined = found.join(earliest, keys, "left")
+    return joined.withColumn("again", F.col("again") | (F.col("edge") & F.coalesce(place != F.col("_first"), F.lit(False)))).drop("edge", "_first")
 
 
 def _to_texts(docs: DataFrame, small: DataFrame, size: Column, how: str = "inner") -> DataFrame:
@@ -142,16 +172,13 @@ def _to_texts(docs: DataFrame, small: DataFrame, size: Column, how: str = "inner
 
 def repeats(docs: DataFrame) -> DataFrame:
     """doc_id, starts and ends (arrays) of the windows that also start earlier, neighbours joined to stretches."""
-    spark = docs.sparkSession
-    rows = stash(repeated_candidates(suffixes(docs)))
-    release(spark)
-    place = F.struct("doc_id", "start")
-    firsts = stash(rows.groupBy("leading", "content").agg(F.min(F.struct("doc_id", "start", "windows")).alias("first")))
+    rows = sorted_neighbours(suffixes(docs), ["leading", "content"], True)
     # runs that repeat an earlier one whole
-    whole = rows.join(firsts, ["leading", "content"]).filter(place != F.struct("first.doc_id", "first.start")).select("doc_id", "start", (F.col("start") + F.col("windows") + WINDOW - 1).alias("end"))
+    whole = rows.filter("again").select("doc_id", "start", (F.col("start") + F.col("windows") + WINDOW - 1).alias("end"))
+    firsts = rows.filter("not again")
     # different contents with one leading token: windows of the first run of each
-    several = firsts.groupBy("leading").agg(F.count("*").alias("contents")).filter("contents > 1").select("leading")
-    partly = firsts.join(several, "leading").select("first.*").groupBy("doc_id").agg(F.collect_list(F.struct("start", "windows")).alias("runs"))
+    several = firsts.groupBy("leading").agg(F.countDistinct("content").alias("contents")).filter("contents > 1").select("leading")
+    partly = firsts.join(several, "leading").groupBy("doc_id").agg(F.collect_list(F.struct("start", "windows")).alias("runs"))
 
     def hashes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -164,10 +191,8 @@ def repeats(docs: DataFrame) -> DataFrame:
                 yield pd.DataFrame({"doc_id": doc_id, "start": starts, "window": rolling(data, WINDOW)[starts].astype(np.int64)})
 
     texts = docs.select("doc_id", "text").filter("doc_id is not null")
-    windows = stash(_to_texts(texts, partly, F.size("runs") * 16).mapInPandas(hashes, "doc_id long, start long, window long").distinct())
-    release(spark)
-    earliest = windows.groupBy("window").agg(F.min(place).alias("first"), F.count("*").alias("n")).filter("n > 1").select("window", "first")
-    single = windows.join(earliest, "window").filter(place != F.col("first")).select("doc_id", "start", (F.col("start") + WINDOW).alias("end"))
+    windows = _to_texts(texts, partly, F.size("runs") * 16).mapInPandas(hashes, "doc_id long, start long, window long")
+    single = sorted_neighbours(windows, ["window"], False).filter("again").select("doc_id", "start", (F.col("start") + WINDOW).alias("end"))
     return whole.unionByName(single).groupBy("doc_id").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("spans")).select("doc_id", F.col("spans.start").alias("starts"), F.col("spans.end").alias("ends"))
 
 

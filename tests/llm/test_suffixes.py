@@ -39,6 +39,7 @@ def passages(seed):
             parts.insert(rng.randint(0, 3), p[a : a + rng.randint(60, 60 + len(p))])
         rows.append((rng.randint(10, 10**12) if i else 5, "\n".join(parts), "en", "a", 1))
     rows += [(2000 + i, "ab" * rng.randint(40, 200), "en", "a", 1) for i in range(3)] + [(3000, rows[0][1], "en", "a", 1), (3001, "x" * 99, "en", "a", 1), (3002, "x" * 99, "en", "a", 1), (3003, "To " * 300, "en", "a", 1)]
+    rows += [rows[7], rows[7], rows[20]]  # rows that come again
     return rows
 
 
