@@ -167,7 +167,8 @@ def test_mix(spark):
     for source in order:
         part = got[got.source.isna()] if source is None else got[got.source == source]
         assert abs(part.target.iloc[0] - want[source]) < 1e-6 * max(1, want[source])
-        assert abs(part.taken.sum() - part.target.iloc[0]) <= 0.02 * part.target.iloc[0] + 2
+        # documents are whole: one of nearly a source's size leaves no mix that is nearer than half of it
+        assert abs(part.taken.sum() - part.target.iloc[0]) <= max(0.02 * part.target.iloc[0] + 2, part["size"].max() / 2)
     assert (got.taken <= 2 * got["size"]).all()
     again = mixing.mix(docs, block=20).toPandas()
     order_by = ["doc_id", "size", "source", "taken"]
