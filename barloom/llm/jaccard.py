@@ -74,7 +74,7 @@ def _pieces(texts: pd.Series) -> Iterator[list[np.ndarray]]:
 
 
 def nodes(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles and node (null without shingles) of every row."""
+    """doc_id, n_shingles, node (null without shingles) and a hash of the text of every row."""
 
     @F.pandas_udf("n long, node long")
     def measure(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
@@ -82,7 +82,8 @@ def nodes(docs: DataFrame) -> DataFrame:
             rows = [(len(s), node_of(s) if len(s) else None) for part in _pieces(texts) for s in part]
             yield pd.DataFrame({"n": [r[0] for r in rows], "node": pd.array([r[1] for r in rows], dtype="Int64")})
 
-    return docs.select("doc_id", measure("text").alias("m")).select("doc_id", F.col("m.n").alias("n_shingles"), F.col("m.node").alias("node"))
+    rows = docs.select("doc_id", measure("text").alias("m"), F.xxhash64("text").alias("text_hash"))
+    return rows.select("doc_id", F.col("m.n").alias("n_shingles"), F.col("m.node").alias("node"), "text_hash")
 
 
 def frequent_shingles(docs: DataFrame, total: int) -> tuple[DataFrame, int]:
@@ -246,9 +247,15 @@ def verify(pairs: DataFrame, texts: DataFrame, exact: bool = False) -> DataFrame
 
 
 def _texts(docs: DataFrame, classes: DataFrame, nodes_: DataFrame) -> DataFrame:
-    """The text of one document of each of the nodes."""
-    wanted = classes.join(nodes_, "node").select("node", F.col("first_id").alias("doc_id"))
-    return docs.select("doc_id", "text").join(wanted, "doc_id").groupBy("node").agg(F.min("text").alias("text"))
+    """The text of one row of each of the nodes.
+
+    A row is found by its id, null or not, and the hash of its text, so that rows
+    of one id keep their own texts.
+    """
+    wanted = classes.join(nodes_, "node").select("node", F.col("row.doc_id").alias("_id"), F.col("row.text_hash").alias("_hash"))
+    rows = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
+    same = (F.col("text_hash") == F.col("_hash")) & F.col("doc_id").eqNullSafe(F.col("_id"))
+    return rows.join(wanted, same).groupBy("node").agg(F.min("text").alias("text"))
 
 
 def _near(a: str, b: str):
@@ -262,7 +269,8 @@ def _linked(sizes: DataFrame) -> DataFrame:
 def linked_groups(docs: DataFrame, known: DataFrame) -> DataFrame:
     """Components of the nodes that any link joins; not all links are formed, but those that are give the same components."""
     spark = docs.sparkSession
-    classes = known.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("first_id"))
+    row = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "text_hash")
+    classes = known.filter("node is not null").groupBy("node").agg(F.min(row).alias("row"))
     total = known.agg(F.sum("n_shingles")).first()[0] or 0
     rows = stash(prefixes(docs, total))
     heads = rows.groupBy("shingle").agg(F.min(F.struct("node", "n")).alias("head"), F.max("node").alias("other")).filter(F.col("head.node") != F.col("other"))
@@ -334,8 +342,9 @@ def join_documents(docs: DataFrame) -> DataFrame:
 
     Null, empty and blank texts have no shingle, no link and their own id as
     component. Equal texts are linked, repeated rows too. Rows with a null id
-    take part; a component of such rows alone has a null id. Sets are named by
-    64-bit hashes. An empty table gives an empty result.
+    take part; a component of such rows alone has a null id. Rows of one id with
+    different texts are linked each by its own. Sets are named by 64-bit hashes,
+    and so are the texts of one id. An empty table gives an empty result.
     """
     known = stash(nodes(docs))
     groups = linked_groups(docs, known)

@@ -80,3 +80,22 @@ def test_one_of_each_group_stays(spark):
     kept = {r["doc_id"] for r in jaccard.keep_first(docs).collect()}
     assert kept == {i for i, _, c in by_hand(rows) if i == c}
     assert jaccard.join_documents(docs.limit(0)).count() == 0 and jaccard.keep_first(docs).columns == docs.columns
+
+
+def chain(name, start):
+    return " ".join(f"{name}{i}" for i in range(start, start + 60))
+
+
+def test_null_ids_and_ids_of_two_texts_keep_their_links(spark):
+    rows = [
+        (10, chain("a", 0)), (None, chain("a", 4)), (20, chain("a", 8)),  # 10 and 20 meet only over the null id
+        (30, chain("b", 0)), (None, chain("b", 3)),  # a near copy without an id
+        (40, chain("c", 0)), (40, chain("d", 0)), (41, chain("c", 3)), (42, chain("d", 3)),  # one id, two texts
+        (50, chain("e", 0)), (50, chain("e", 20)), (51, chain("f", 0)),  # no links
+        (None, chain("g", 0)), (None, chain("g", 2)),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    key = lambda r: tuple(-1 if v is None else v for v in r)
+    got = sorted(key((r["doc_id"], r["component_id"])) for r in jaccard.join_documents(docs).collect())
+    want = [(10, 10), (None, 10), (20, 10), (30, 30), (None, 30), (40, 40), (40, 40), (41, 40), (42, 40), (50, 50), (50, 50), (51, 51), (None, None), (None, None)]
+    assert got == sorted(map(key, want))
