@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from barloom.functions.stats import along, full, ratio, trailing
+from barloom.operators.indicators import volume_zscore
 
 
 def smooth(bars: DataFrame, k: int = 2) -> DataFrame:
@@ -42,6 +43,28 @@ def inside_bar_breaks(bars: DataFrame) -> DataFrame:
     return rows.filter(F.col("_inside") & (F.col("close") > F.col("_mother"))).select("symbol_id", "trade_date", "close")
 
 
+def inside_run_breaks(bars: DataFrame, most: int = 3, least_ratio: float = 1.5, least_z: float = 2.0) -> DataFrame:
+    """Closes above the mother bar of the one to ``most`` inside bars just before, with the volume confirmed.
+
+    A bar is inside when it passes neither end of the bar before it; the mother
+    precedes the first of the run, of which the last ``most`` bars count. Volume
+    is confirmed by its ratio and one of its z-scores. The first most + 1 bars
+    of a symbol give no signal.
+    """
+    w = along()
+    h, low = F.col("high"), F.col("low")
+    rows = volume_zscore(bars).withColumns({"_inside": F.coalesce((h <= F.lag(h).over(w)) & (low >= F.lag(low).over(w)), F.lit(False)), "_v": ratio(F.col("volume"), F.avg("volume").over(trailing(20, skip=1))), "_n": F.row_number().over(w)})
+    rows = rows.withColumns({f"_i{k}": F.coalesce(F.lag("_inside", k).over(w), F.lit(False)) for k in range(1, most + 1)})
+    run = F.lit(most)
+    for k in range(most, 0, -1):
+        run = F.when(~F.col(f"_i{k}"), k - 1).otherwise(run)
+    rows = rows.withColumn("inside_bars", run)
+    of = lambda c: F.coalesce(*[F.when(F.col("inside_bars") == k, F.lag(c, k + 1).over(w)) for k in range(1, most + 1)])
+    rows = rows.withColumns({"mother_date": of("trade_date"), "mother_high": of("high"), "mother_low": of("low")})
+    confirmed = (F.col("_v") >= least_ratio) & (F.coalesce(F.col("vol_z20") >= least_z, F.lit(False)) | F.coalesce(F.col("vol_z50") >= least_z, F.lit(False)))
+    return rows.filter((F.col("_n") >= most + 2) & (F.col("close") > F.col("mother_high")) & confirmed).select("symbol_id", "trade_date", "close", "inside_bars", "mother_date", "mother_high", "mother_low")
+
+
 def tight_weeks(weeks: DataFrame, percent: float = 1.5) -> DataFrame:
     """Weeks that close within some per cent of both weeks before."""
     c, w = F.col("close"), along(order="week_end")

@@ -12,7 +12,7 @@ from barloom.operators import ranking as rk
 from barloom.plans import companies, markets  # noqa: F401  their SQL definitions are used here
 from barloom.plans.kit import NEEDS, SQL, Registry
 from barloom.plans.ranks import LATEST
-from barloom.plans.technical import W, frame, pct, r
+from barloom.plans.technical import VZ, W, frame, pct, r
 from barloom.sources.bars import bars, events, master
 
 R = Registry()
@@ -24,6 +24,11 @@ R.add("pt9_flat_base", lambda s, d: pt.flat_base(bars(s, d), 10, 0.9), "bars", f
 R.add("pt12_pocket_pivot", lambda s, d: pt.pocket_pivot(bars(s, d)), "bars", f"WITH x AS (SELECT *, lag(close) {W} AS p FROM bars), y AS (SELECT *, CASE WHEN close < p THEN volume END AS dv FROM x), z AS (SELECT *, max(dv) {frame(10, 1)} AS m FROM y) SELECT symbol_id, trade_date, {close} FROM z WHERE close > p AND volume > m")
 R.add("pt16_tight_weeks", lambda s, d: pt.tight_weeks(mk.weekly(bars(s, d)), 20.0), "wk", f"WITH x AS (SELECT *, lag(close, 1) OVER w AS a, lag(close, 2) OVER w AS b FROM wk WINDOW w AS (PARTITION BY symbol_id ORDER BY week_end)) SELECT symbol_id, week_end, {close} FROM x WHERE abs(close / nullif(a, 0) - 1) <= 0.2 AND abs(a / nullif(b, 0) - 1) <= 0.2")
 R.add("pt18_inside_bars", lambda s, d: pt.inside_bar_breaks(bars(s, d)), "bars", f"WITH x AS (SELECT *, lag(high, 1) {W} AS h1, lag(high, 2) {W} AS h2, lag(low, 1) {W} AS l1, lag(low, 2) {W} AS l2 FROM bars) SELECT symbol_id, trade_date, {close} FROM x WHERE h1 <= h2 AND l1 >= l2 AND close > h2")
+RUNS = f"""WITH a AS (SELECT *, volume / nullif(avg(volume) {frame(20, 1)}, 0) AS v, {VZ}, row_number() {W} AS n, CASE WHEN high <= lag(high) {W} AND low >= lag(low) {W} THEN 0 ELSE 1 END AS out FROM bars),
+b AS (SELECT *, max(CASE WHEN out = 1 THEN n END) OVER (PARTITION BY symbol_id ORDER BY trade_date ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS last_out FROM a), c AS (SELECT *, least(n - 1 - last_out, 3) AS inside_bars FROM b)
+SELECT c.symbol_id, c.trade_date, {r("c.close", "close")}, CAST(inside_bars AS INTEGER) AS inside_bars, m.trade_date AS mother_date, {r("m.high", "mother_high")}, {r("m.low", "mother_low")}
+FROM c JOIN a m ON m.symbol_id = c.symbol_id AND m.n = c.n - 1 - inside_bars WHERE inside_bars > 0 AND c.n >= 5 AND c.close > m.high AND c.v >= 1.5 AND (c.vol_z20 >= 2 OR c.vol_z50 >= 2)"""
+R.add("pt18_inside_runs", lambda s, d: pt.inside_run_breaks(bars(s, d)), "bars", RUNS)
 R.add("pt25_changed", lambda s, d: pt.changed_symbols(bars(s, d)), "bars", f"WITH x AS (SELECT symbol_id, trade_date, abs(close / nullif(lag(close) {W}, 0) - 1) AS m, volume / nullif(avg(volume) {frame(20, 1)}, 0) AS v FROM bars {LATEST}) SELECT symbol_id, trade_date FROM x WHERE m >= 0.01 OR v >= 1.3")
 SQL["sig"] = f"SELECT symbol_id, trade_date, setup_family AS family, conviction, round(lead(close, 20) {W} / nullif(close, 0) - 1, 6) AS fwd_20 FROM bo"
 NEEDS["sig"] = ["bo"]

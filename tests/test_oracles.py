@@ -5,7 +5,7 @@ import datetime as dt
 import pandas as pd
 import pytest
 
-from barloom.operators import indicators, market
+from barloom.operators import indicators, market, patterns
 from barloom.plans import registry
 from tests.compare import close, compare, connect
 
@@ -70,3 +70,20 @@ def test_awkward_frames_and_no_look_ahead(spark, operator):
     if key == "trade_date" and operator is not market.accumulation:
         past = operator(rows.filter("trade_date <= '2020-01-10'"))
         assert [tuple(r) for r in past.orderBy("symbol_id", key).select(sorted(out.columns)).collect()] == before
+
+
+@pytest.mark.parametrize("inside", [0, 1, 2, 3])
+def test_inside_runs_know_the_real_mother(spark, inside):
+    day = dt.date(2020, 1, 1)
+    ends = [(100.0 + i, 90.0 + i) for i in range(25)] + [(200.0 - 10 * i, 20.0 + 10 * i) for i in range(inside + 1)]
+    bars = [(day + dt.timedelta(days=i), h, low, (h + low) / 2, 10.0 + i % 3) for i, (h, low) in enumerate(ends)]
+
+    def found(close, volume):
+        rows = bars + [(day + dt.timedelta(days=len(bars)), close + 5, 60.0, close, volume)]
+        made = spark.createDataFrame([(1, d, c, h, low, c, v, 50.0) for d, h, low, c, v in rows], BARS)
+        return [(r["inside_bars"], r["mother_high"], r["mother_low"]) for r in patterns.inside_run_breaks(made).collect()]
+
+    # above the last inside bar alone is not above the mother
+    assert found(199.0, 100.0) == []
+    assert found(201.0, 100.0) == ([(inside, 200.0, 20.0)] if inside else [])
+    assert found(201.0, 12.0) == []
