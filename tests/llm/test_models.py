@@ -176,6 +176,19 @@ def test_mix(spark):
     assert mixing.mix(docs.limit(0)).count() == 0
 
 
+def test_mix_misses_a_target_only_by_a_document_of_half_the_source(spark):
+    docs = spark.createDataFrame(awkward() + crowd(300), SCHEMA).repartition(3)
+    got = mixing.mix(docs, block=20).toPandas()
+    for _, part in got.groupby("source", dropna=False):
+        target, total, large = part.target.iloc[0], part["size"].sum(), part["size"].max()
+        low = int(target / total + 1e-9)
+        # the largest document is taken low or low + 1 times, the others keep their share as their chances say
+        rest = target / total * (total - large)
+        nearest = min(abs(t * large + rest - target) for t in (low, low + 1))
+        nearest = nearest if large > 0.5 * total else 0
+        assert abs(part.taken.sum() - target) <= nearest + 0.02 * target + 2
+
+
 def test_flight_keeps_totals():
     rng = np.random.default_rng(0)
     size = np.floor(rng.lognormal(4, 1, 500)) + 1
