@@ -31,7 +31,7 @@ R.add("st6_appearances", lambda s, d: utc(jobs.drain(jobs.appearances(stream(s,
 
 
 def split(s, d):
-    path = store.shared_dir(s)
+    path = store.table_path(s)
     jobs.split_batches(stream(s, d), lambda b: (F.col("importance") > 20) & F.col("category").isNotNull(), f"{path}/good", f"{path}/bad", f"{path}/state")
     good, bad = (s.read.parquet(f"{path}/{k}") for k in ("good", "bad"))
     return good.agg(F.lit("valid").alias("part"), F.count("*").alias("n")).unionByName(bad.agg(F.lit("rejected").alias("part"), F.count("*").alias("n")))
@@ -41,7 +41,7 @@ R.add("st7_split", split, "ev", "SELECT 'valid' AS part, count(*) FILTER (WHERE
 
 
 def refreshed(s, d):
-    path = store.shared_dir(s)
+    path = store.table_path(s)
     daily = bars(s, d)
     daily.filter("trade_date < '2001-06-01'").write.parquet(f"{path}/bars")
     jobs.refresh(path, lambda b: ti.sma(b, 20), 40)(daily.filter("trade_date >= '2001-06-01'"), 0)
@@ -56,7 +56,7 @@ R.add("src3_latest", lambda s, d: store.latest_values(bars(s, d), D("2000-06-30"
 
 
 def snapshots(s, d):
-    path = store.shared_dir(s)
+    path = store.table_path(s)
     rows = ti.sma(bars(s, d), 20).select(*KEY, "sma_20")
     store.write_features(rows, path, "one")
     store.write_features(rows.withColumn("sma_20", -F.col("sma_20")), path, "two")
@@ -70,7 +70,7 @@ R.add("src10_attach_master", lambda s, d: store.attach_master(bars(s, d).select(
 
 
 def raw(s, d):
-    path = store.shared_dir(s)
+    path = store.table_path(s)
     text = bars(s, d).select(F.col("symbol_id").cast("string").alias("SC_CODE"), F.date_format("trade_date", "dd-MM-yyyy").alias("TRADING_DATE"), *[F.when(F.dayofmonth("trade_date") != 13, F.format_number(c, 2)).alias(c.upper()) for c in ("open", "high", "low", "close")], F.format_number("volume", 0).alias("NO_OF_SHRS"))
     text.unionAll(text.filter("SC_CODE = '3'")).write.option("header", True).csv(path)
     names = text.columns

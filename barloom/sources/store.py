@@ -2,17 +2,17 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from barloom.functions.shared import shared_dir
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share, as the session names it; a temporary one where it names none."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    return (named or "file://" + tempfile.mkdtemp(prefix="barloom-")).rstrip("/") + f"/table-{uuid.uuid4().hex}"
+
+def table_path(spark: SparkSession) -> str:
+    """A new path in the shared folder."""
+    return f"{shared_dir(spark)}/table-{uuid.uuid4().hex}"
 
 
 def with_fallback(rows: DataFrame) -> DataFrame:

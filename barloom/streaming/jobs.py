@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from barloom.sources.store import shared_dir
+from barloom.sources.store import table_path
 
 EVENTS = "event_id long, symbol_id long, category string, importance double, source long, ts timestamp"
 
@@ -25,7 +25,7 @@ def event_stream(spark: SparkSession, path: str) -> DataFrame:
 
 def drain(stream: DataFrame, mode: str = "append") -> DataFrame:
     """Run a stream over what is there now into a table in the shared folder, and read that."""
-    spark, path = stream.sparkSession, shared_dir(stream.sparkSession)
+    spark, path = stream.sparkSession, table_path(stream.sparkSession)
     query = stream.writeStream.format("parquet").outputMode(mode).option("path", f"{path}/data").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
     query.awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{path}/data")
