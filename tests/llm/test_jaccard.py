@@ -66,12 +66,52 @@ def test_components_against_all_pairs(spark, monkeypatch, frequent):
 
 
 def test_ranking_by_join_is_the_same(spark):
-    docs = spark.createDataFrame(near_copies(9), SCHEMA).repartition(3)
-    counted, shift = jaccard.frequent_shingles(docs, 1000)
+    docs = spark.createDataFrame(near_copies(9) + awkward(), SCHEMA).repartition(3)
+    counted, shift = jaccard.frequent_shingles(docs, 6000)
     counted = counted.cache()
-    one = {tuple(r) for r in jaccard._ranked_in_tasks(docs, counted, shift).collect()}
-    two = {tuple(r) for r in jaccard._ranked_by_join(docs, counted, shift).collect()}
-    assert one == two
+
+    def found(rank):
+        rows = rank(docs, counted, shift).collect()
+        return {(r["doc_id"], r["text_hash"], r["n"], r["node"]) for r in rows}, {(r["node"], tuple(r["prefix"])) for r in rows if r["prefix"]}
+
+    assert found(jaccard._ranked_in_tasks) == found(jaccard._ranked_by_join)
+
+
+def test_both_ways_beyond_the_broadcast_bound(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "BROADCAST_BYTES", 0)
+    rows = near_copies(3)
+    docs = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    assert sorted(tuple(r) for r in jaccard.join_documents(docs).collect()) == by_hand(rows)
+
+
+def spread(n, seed):
+    """A large group of near copies of one text, each changed in a few places, so that many pairs fall just short."""
+    rng = random.Random(seed)
+    base = [f"b{rng.randint(0, 300)}" for _ in range(110)]
+    rows = []
+    for i in range(n):
+        t = list(base)
+        for _ in range(rng.choice([0, 1, 1, 2, 3, 4, 5])):
+            t[rng.randrange(len(t))] = f"x{rng.randint(0, 60)}"
+        rows.append((i, " ".join(t), "en", "a", 1))
+    return rows
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_one_large_group_of_near_copies(spark, monkeypatch, seed):
+    monkeypatch.setattr(jaccard, "FREQUENT", 5)
+    rows = spread(150, seed)
+    docs = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    assert sorted(tuple(r) for r in jaccard.join_documents(docs).collect()) == by_hand(rows)
+
+
+def test_extra_columns_with_clashing_names_stay(spark):
+    rows = [(*r, i, "n") for i, r in enumerate(near_copies(5))]
+    docs = spark.createDataFrame(rows, SCHEMA + ", node int, component_id string").withColumnsRenamed({"n_chars": "_doc", "lang": "_hash"})
+    kept = jaccard.keep_first(docs)
+    assert kept.columns == docs.columns
+    assert {r["doc_id"] for r in kept.collect()} == {i for i, _, c in by_hand(rows) if i == c}
+    assert jaccard.join_documents(docs).columns == ["doc_id", "n_shingles", "component_id"]
 
 
 def test_one_of_each_group_stays(spark):
