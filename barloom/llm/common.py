@@ -5,7 +5,7 @@ from __future__ import annotations
 import gc
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from barloom.functions.shared import shared_dir
@@ -19,6 +19,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def beside(docs: DataFrame, found: Column, names: list[str]) -> DataFrame:
+    """``docs`` with the fields of a struct as columns; columns of those names are replaced, and no other name is taken."""
+    rows = docs.select(F.struct(*docs.columns).alias("row"), found.alias("found"))
+    return rows.select(*[F.col("row")[c].alias(c) for c in docs.columns if c not in names], *[F.col("found")[c].alias(c) for c in names])
+
+
 def held_out(doc_id: Column | str, mod: int, remainder: int) -> Column:
     """True where crc32 of the id's decimal text leaves ``remainder``; false for a null id."""
     col = F.col(doc_id) if isinstance(doc_id, str) else doc_id
@@ -58,20 +64,24 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def settled_labels(labels: DataFrame, key: str, label: str) -> DataFrame:
+    """One row of ``key`` and ``label`` (0 or 1) for each id; ids that are null or labelled both ways are left out."""
+    known = labels.select(key, F.col(label).cast("int").alias(label)).filter(F.col(label).isin(0, 1) & F.col(key).isNotNull())
+    return known.groupBy(key).agg(F.min(label).alias(label), F.max(label).alias("_other")).filter(F.col(label) == F.col("_other")).drop("_other")
+
+
 def bounded_sample(df: DataFrame, key: str, strata: str, limit: int, salt: int = 17) -> DataFrame:
-    """At most ``limit`` rows of each of the values of ``strata``, the same ones on every run.
+    """At most ``limit`` distinct keys of each of the values of ``strata``, the same ones on every run.
 
-    Rows are taken in the order of a hash of ``key``. ``df`` should hold only the
-    two columns; partial top-k keeps at most ``limit`` rows a value and task.
+    Keys are taken in the order of a hash. Each value's count says below which
+    hash about three times ``limit`` of its keys lie, so that only a bounded
+    number of rows of a value, however frequent, meets in one window. Null values
+    are left out. All values take part, whatever their number.
     """
-    order = F.struct(F.xxhash64(F.col(key), F.lit(salt)).alias("h"), F.col(key).alias("k"))
-    parts = [
-        df.filter(F.col(strata) == F.lit(value)).orderBy(order).limit(limit)
-        for value in sorted(r[0] for r in df.select(strata).where(F.col(strata).isNotNull()).distinct().limit(257).collect())
-    ]
-    if not parts:
-        return df.limit(0)
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionAll(part)
-    return out
+    rows = df.filter(F.col(strata).isNotNull() & F.col(key).isNotNull()).select(key, strata).withColumn("_h", F.xxhash64(F.col(key), F.lit(salt)))
+    counts = rows.groupBy(strata).agg(F.count("*").alias("_n"))
+    # share of all hashes; values of few rows keep them all
+    low = (F.col("_h").cast("double") / 2.0**64 + 0.5) * F.col("_n") <= 3 * limit + 64
+    thinned = rows.join(counts, strata).filter(low).select(key, strata, "_h").distinct()
+    order = Window.partitionBy(strata).orderBy("_h", key)
+    return thinned.withColumn("_k", F.row_number().over(order)).filter(F.col("_k") <= limit).select(key, strata)

@@ -1,41 +1,65 @@
 """Benchmark decontamination by edit distance between items and item-sized windows.
 
-Distances count words. A window within k edits of an item of L words shares at
-least L - 1 - 2k of its word pairs, so windows are taken only where an item's
-pairs gather (no match is lost by that). Each window goes through the CGK random
-walk, which turns edit distance into Hamming distance, and bit-sampling hashes of
-the walk, repeated until the wanted recall, propose items; the exact edit distance
-between item and text decides.
+Distances count words. The CGK random walk turns edit distance into Hamming
+distance, and bit-sampling hashes of the walk, repeated until the wanted recall,
+are the index: items and item-sized windows of the texts are joined on them, and
+the exact edit distance between item and text decides.
+
+A window within k edits of an item of L words keeps at least L - 1 - 2k of the
+item's word pairs. A bitmap of all pairs of the benchmark, whose size is bounded,
+shows which windows hold that many pairs of any items; no other window can match,
+so only those are walked. It names no item and no place. Items too short for an
+edit are searched word for word. Benchmark and windows are tables; nothing but the
+bitmap and the item lengths reaches the driver.
 """
 
 from __future__ import annotations
 
 import math
-from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import regex
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from barloom.llm.common import stash
+
 #: An item leaks where a stretch of text is within this share of its words in edits.
 MAX_EDITS = 0.15
-#: Items of fewer words are no passages and are left out.
-MIN_WORDS = 8
 SAMPLED = 4
 RECALL = 0.99
-#: Share of equal walk positions of a pair at the edit limit, measured on random edits (see tests).
+#: Share of equal walk positions of a pair at the edit limit, as measured in the tests.
 AGREEMENT = 0.55
-#: Items indexed at once; larger benchmarks are searched block by block.
-ITEM_BLOCK = 5000
+#: Bits of the bitmap for each word pair of the benchmark, and its bounds.
+BITS_PER_PAIR = 64
+LEAST_BITS, MOST_BITS = 1 << 20, 1 << 29
+#: Findings up to this many bytes go to all texts; more are joined by shuffle.
+BROADCAST_BYTES = 32 << 20
 SPACED = bytes(b if b > 127 or chr(b).isalnum() else 32 for b in range(256))
-RESULT = "array<struct<item_id:long,distance:int,start:int>>"
+#: Scripts written without blanks: each character is a word.
+UNSPACED = regex.compile(r"[\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}]")
+LEAK = "struct<item_id:long,distance:int,start:int>"
 
 
 def words(text: str | None) -> list[bytes]:
     """Lower-case words without ASCII punctuation."""
-    return (text or "").lower().encode("utf-8", "surrogatepass").translate(SPACED).split()
+    text = text or ""
+    if not text.isascii() and UNSPACED.search(text):
+        text = UNSPACED.sub(r" \g<0> ", text)
+    return text.lower().encode("utf-8", "surrogatepass").translate(SPACED).split()
+
+
+def coded(text: str | None) -> np.ndarray:
+    """The words of a text as 64-bit hashes."""
+    found = words(text)
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, found), dtype=np.uint64, count=len(found))
+
+
+def edit_limit(size: int, max_edits: float = MAX_EDITS) -> int:
+    return int(max_edits * size)
 
 
 def repetitions(recall: float = RECALL, agreement: float = AGREEMENT, sampled: int = SAMPLED) -> int:
@@ -48,6 +72,18 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
+def pair_places(codes: np.ndarray, bits: int) -> np.ndarray:
+    """The bit of each pair of neighbouring words."""
+    return (_mixed(codes[:-1] * np.uint64(0x9E3779B97F4A7C15) + codes[1:]) & np.uint64(bits - 1)).astype(np.int64)
+
+
+def walk_positions(size: int, reps: int, sampled: int = SAMPLED) -> np.ndarray:
+    """Which of the 3 * size steps of a walk each repetition samples."""
+    rep = np.arange(reps, dtype=np.uint64)
+    draws = _mixed(rep[:, None] * np.uint64(977) + np.arange(sampled, dtype=np.uint64)[None, :] + np.uint64(1))
+    return np.sort((draws % np.uint64(3 * size)).astype(np.int64), axis=1)
+
+
 def cgk_samples(windows: np.ndarray, reps: int, sampled: int = SAMPLED) -> np.ndarray:
     """Hashes of sampled positions of the CGK walk of each window (rows of equal length), one column per repetition.
 
@@ -55,10 +91,9 @@ def cgk_samples(windows: np.ndarray, reps: int, sampled: int = SAMPLED) -> np.nd
     of (repetition, step, symbol) says so, for three steps per symbol.
     """
     n, size = windows.shape
-    steps = 3 * size
     padded = np.hstack([windows.astype(np.uint64) + np.uint64(1), np.zeros((n, 1), dtype=np.uint64)])
     rep = np.arange(reps, dtype=np.uint64)
-    chosen = np.sort((_mixed(rep[:, None] * np.uint64(977) + np.arange(sampled, dtype=np.uint64)[None, :] + np.uint64(1)) % np.uint64(steps)).astype(np.int64), axis=1)
+    chosen = walk_positions(size, reps, sampled)
     pointer = np.zeros((n, reps), dtype=np.int64)
     out = np.zeros((n, reps), dtype=np.uint64)
     rows = np.arange(n)[:, None]
@@ -71,114 +106,160 @@ def cgk_samples(windows: np.ndarray, reps: int, sampled: int = SAMPLED) -> np.nd
     return out
 
 
-def edits_within(item: np.ndarray, text: np.ndarray) -> tuple[int, int]:
-    """Smallest edit distance between the item and any stretch of the text, and where that stretch ends."""
-    n = len(text)
-    ramp = np.arange(n + 1)
-    row = np.zeros(n + 1, dtype=np.int64)
+def edits_within(item: np.ndarray, text: np.ndarray) -> int:
+    """Smallest edit distance between the item and any stretch of the text."""
+    ramp = np.arange(len(text) + 1)
+    row = np.zeros(len(text) + 1, dtype=np.int64)
     for k, symbol in enumerate(item):
-        best = np.empty(n + 1, dtype=np.int64)
+        best = np.empty(len(text) + 1, dtype=np.int64)
         best[0] = k + 1
         np.minimum(row[1:] + 1, row[:-1] + (text != symbol), out=best[1:])
         row = np.minimum.accumulate(best - ramp) + ramp  # insertions
-    end = int(row.argmin())
-    return int(row[end]), end
-
-
-class LeakIndex:
-    """Benchmark items by word pairs and by hashes of their walks."""
-
-    def __init__(self, items: list[tuple[int, str | None]], max_edits: float = MAX_EDITS):
-        self.ids: dict[bytes, int] = {}
-        self.items: list[tuple[int, np.ndarray, int]] = []
-        self.reps = repetitions()
-        for item_id, text in items:
-            found = words(text)
-            if len(found) >= MIN_WORDS:
-                coded = np.array([self.ids.setdefault(w, len(self.ids) + 1) for w in found], dtype=np.int64)
-                self.items.append((item_id, coded, int(max_edits * len(found))))
-        pairs = defaultdict(list)
-        for at, (_, coded, _) in enumerate(self.items):
-            for off, key in enumerate(self._pairs(coded)):
-                pairs[int(key)].append((at, off))
-        self.keys = np.array(sorted(pairs), dtype=np.int64)
-        self.places = [np.array(pairs[int(k)], dtype=np.int64) for k in self.keys]
-        self.needs = np.array([max(1, len(c) - 1 - 2 * k) for _, c, k in self.items], dtype=np.int64)
-        self.walks: dict[tuple[int, int, int], list[int]] = defaultdict(list)
-        for at, (_, coded, _) in enumerate(self.items):
-            for rep, h in enumerate(cgk_samples(coded[None, :], self.reps)[0]):
-                self.walks[len(coded), rep, int(h)].append(at)
-
-    def _pairs(self, coded: np.ndarray) -> np.ndarray:
-        return coded[:-1] * (1 << 31) + coded[1:]
-
-    def search(self, text: str | None) -> list[tuple[int, int, int]]:
-        """(item_id, distance, start word) of the items that leak into a text, nearest place each."""
-        found = words(text)
-        if len(found) < 2 or not self.items:
-            return []
-        get = self.ids.get
-        coded = np.array([get(w, 0) for w in found], dtype=np.int64)
-        keys = self._pairs(coded)
-        known = np.nonzero((coded[:-1] > 0) & (coded[1:] > 0))[0]
-        slot = np.searchsorted(self.keys, keys[known])
-        hit = (slot < len(self.keys)) & (self.keys[np.minimum(slot, len(self.keys) - 1)] == keys[known])
-        if hit.sum() < self.needs.min():
-            return []
-        where, slot = known[hit], slot[hit]
-        placed = np.vstack([np.column_stack([p, np.full(len(p), w)]) for w, p in zip(where, (self.places[s] for s in slot), strict=True)])
-        best: dict[int, tuple[int, int]] = {}
-        for at in np.nonzero(np.bincount(placed[:, 0], minlength=len(self.items)) >= self.needs)[0]:
-            _, item, limit = self.items[at]
-            shifts = np.sort((placed[placed[:, 0] == at][:, 2] - placed[placed[:, 0] == at][:, 1]))
-            # starts around which enough pairs lie within the edit limit
-            near = np.searchsorted(shifts, shifts + limit, "right") - np.searchsorted(shifts, shifts - limit, "left")
-            starts = np.unique(np.clip(shifts[near >= self.needs[at]], 0, max(0, len(coded) - len(item))))
-            if not len(starts) or len(coded) < len(item) - limit:
-                continue
-            line = np.concatenate([coded, np.full(len(item), -1, dtype=np.int64)])
-            windows = line[starts[:, None] + np.arange(len(item))[None, :]]
-            for start, hashes in zip(starts, cgk_samples(windows, self.reps), strict=True):
-                proposed = {other for rep, h in enumerate(hashes) for other in self.walks.get((len(item), rep, int(h)), ())}
-                for other in proposed:
-                    item_id, wanted, most = self.items[other]
-                    low = max(0, int(start) - most)
-                    distance, _ = edits_within(wanted, coded[low : int(start) + len(wanted) + most])
-                    if distance <= most and (distance, int(start)) < best.get(item_id, (1 << 30, 0)):
-                        best[item_id] = (distance, int(start))
-        return sorted((i, d, s) for i, (d, s) in best.items())
+    return int(row.min())
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, max_edits: float = MAX_EDITS) -> DataFrame:
-    """Add ``leaks``, an array of (item_id, distance, start), to every row; empty for null and short texts.
+class WindowFinder:
+    """Windows of a text that hold enough pairs of the benchmark, for each of the item lengths."""
 
-    The benchmark is the stated query set: all documents are searched for it,
-    block by block. Null items and items of fewer than MIN_WORDS words are left
-    out; without items nothing leaks. A column ``leaks`` of ``docs`` is replaced.
-    """
+    def __init__(self, bitmap: np.ndarray, sizes: list[int], max_edits: float):
+        self.bitmap, self.bits = bitmap, len(bitmap) * 8
+        self.sizes = [(n, edit_limit(n, max_edits)) for n in sorted(sizes) if n > 1]
+        # the shortest items need the fewest pairs, and the longest windows hold the most
+        self.least = min((n - 1 - 2 * k for n, k in self.sizes), default=1 << 40)
+        self.widest = max((n + k - 1 for n, k in self.sizes), default=0)
+
+    def search(self, codes: np.ndarray) -> Iterator[tuple[int, int, np.ndarray]]:
+        """(length, limit, starts) wherever there are such windows."""
+        if len(codes) < 2:
+            return
+        at = pair_places(codes, self.bits)
+        known = self.bitmap[at >> 3] >> (at & 7).astype(np.uint8) & 1
+        sums = np.concatenate([[0], np.cumsum(known)])
+        if sums[-1] < self.least or self._within(sums, self.widest).max() < self.least:
+            return
+        for size, limit in self.sizes:
+            starts = np.nonzero(self._within(sums, size + limit - 1) >= size - 1 - 2 * limit)[0]
+            starts = np.unique(np.minimum(starts, max(0, len(codes) - size)))
+            if len(starts) and len(codes) >= size - limit:
+                yield size, limit, starts
+
+    @staticmethod
+    def _within(sums: np.ndarray, width: int) -> np.ndarray:
+        n = len(sums) - 1
+        ends = np.minimum(np.arange(n) + width, n)
+        return sums[ends] - sums[:-1]
+
+
+def _items(benchmark: DataFrame, max_edits: float) -> DataFrame:
+    """item_id, size and codes of every item that has a word."""
+
+    def emit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            codes = [coded(t) for t in batch["text"]]
+            rows = pd.DataFrame({"item_id": batch["item_id"], "size": [len(c) for c in codes], "codes": [c.astype(np.int64) for c in codes]})
+            yield rows[rows["size"] > 0]
 
-    def searcher(items: list[tuple[int, str | None]]):
-        @F.pandas_udf(RESULT)
-        def search(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-            index = LeakIndex(items, max_edits)
-            for texts in batches:
-                yield pd.Series([[{"item_id": i, "distance": d, "start": s} for i, d, s in index.search(t)] for t in texts], dtype=object)
+    return benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").filter(F.col("item_id").isNotNull() & F.col("text").isNotNull()).mapInPandas(emit, "item_id long, size int, codes array<long>")
 
-        return search
 
-    block: list[tuple[int, str | None]] = []
-    columns = []
-    for row in benchmark.select("item_id", "text").filter(F.col("item_id").isNotNull() & F.col("text").isNotNull()).toLocalIterator():
-        block.append((row[0], row[1]))
-        if len(block) == ITEM_BLOCK:
-            columns.append(searcher(block)("text"))
-            block = []
-    if block or not columns:
-        columns.append(searcher(block)("text"))
-    return docs.withColumn("leaks", F.array_sort(F.concat(*columns)))
+def _samples(rows: DataFrame, key: str, reps: int) -> DataFrame:
+    """(key, size, rep, hash) of the walks of rows with ``codes``."""
+
+    def emit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for size, part in batch.groupby("size"):
+                for low in range(0, len(part), 512):
+                    some = part.iloc[low : low + 512]
+                    hashes = cgk_samples(np.vstack(list(some["codes"])).astype(np.int64).view(np.uint64), reps)
+                    yield pd.DataFrame({key: np.repeat(some[key].to_numpy(), reps), "size": np.int32(size), "rep": np.tile(np.arange(reps, dtype=np.int32), len(some)), "hash": hashes.astype(np.int64).ravel()})
+
+    return rows.select(key, "size", "codes").mapInPandas(emit, f"{key} long, size int, rep int, hash long")
+
+
+def _bitmap(items: DataFrame) -> np.ndarray:
+    """Bitmap of all word pairs of the items, MOST_BITS at most."""
+    pairs = items.agg(F.sum("size")).first()[0] or 0
+    bits = min(MOST_BITS, max(LEAST_BITS, 1 << (BITS_PER_PAIR * pairs).bit_length()))
+
+    @F.pandas_udf("array<long>")
+    def places(codes: pd.Series) -> pd.Series:
+        return pd.Series([np.unique(pair_places(np.asarray(c, dtype=np.int64).view(np.uint64), bits)) for c in codes], dtype=object)
+
+    at = items.filter("size > 1").select(F.explode(places("codes")).alias("at"))
+    set_ = at.groupBy(F.shiftright("at", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at & 63 as int))")).alias("mask"))
+    out = np.zeros(bits // 64, dtype=np.uint64)
+    for row in set_.toLocalIterator():
+        out[row["word"]] = row["mask"] & (1 << 64) - 1
+    return out.view(np.uint8)
+
+
+def leaks(docs: DataFrame, benchmark: DataFrame, max_edits: float = MAX_EDITS) -> DataFrame:
+    """of_id, of_hash and ``leaks`` of the texts into which items leak."""
+    items = stash(_items(benchmark, max_edits))
+    sizes = [r[0] for r in items.select("size").distinct().collect()]
+    bitmap = docs.sparkSession.sparkContext.broadcast(_bitmap(items))
+    reps = repetitions()
+    kind = docs.schema["doc_id"].dataType.simpleString()
+
+    def emit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        finder = WindowFinder(bitmap.value, sizes, max_edits)
+        singles = 1 in sizes
+        for batch in batches:
+            for of_id, of_hash, text in zip(batch["of_id"], batch["of_hash"], batch["text"], strict=True):
+                codes = coded(text)
+                found = list(finder.search(codes))
+                if singles and len(codes):
+                    first = np.unique(codes, return_index=True)[1]
+                    found.append((1, 0, np.sort(first)))
+                for size, limit, starts in found:
+                    for low in range(0, len(starts), 2048):
+                        some = starts[low : low + 2048]
+                        line = np.concatenate([codes, np.zeros(size, dtype=np.uint64)])
+                        windows = line[some[:, None] + np.arange(size)[None, :]]
+                        around = [codes[max(0, s - limit) : s + size + limit].astype(np.int64) for s in some]
+                        rows = pd.DataFrame({"of_hash": of_hash, "size": np.int32(size), "start": some.astype(np.int32), "window": [np.int64(np.uint64(xxhash.xxh3_64_intdigest(w.tobytes()))) for w in windows], "codes": list(windows.astype(np.int64)), "around": around})
+                        rows.insert(0, "of_id", pd.Series([of_id] * len(rows), dtype=batch["of_id"].dtype))
+                        yield rows
+
+    rows = docs.select(F.col("doc_id").alias("of_id"), F.xxhash64("text").alias("of_hash"), "text").filter("text is not null")
+    windows = stash(rows.mapInPandas(emit, f"of_id {kind}, of_hash long, size int, start int, window long, codes array<long>, around array<long>"))
+    # a passage of many documents is walked once
+    walked = windows.groupBy("window").agg(F.min("size").alias("size"), F.min("codes").alias("codes"))
+    met = _samples(walked, "window", reps).join(_samples(items, "item_id", reps), ["size", "rep", "hash"]).select("window", "item_id").distinct()
+    proposed = windows.select("of_id", "of_hash", "window", "start", "around").join(stash(met), "window").join(items.select("item_id", "codes"), "item_id")
+
+    @F.pandas_udf("int")
+    def distance(item: pd.Series, around: pd.Series) -> pd.Series:
+        return pd.Series([edits_within(i, a) for i, a in zip(item, around, strict=True)], dtype="int32")
+
+    near = proposed.withColumn("distance", distance("codes", "around")).filter(F.col("distance") <= F.floor(F.size("codes") * F.lit(max_edits)))
+    best = near.groupBy("of_id", "of_hash", "item_id").agg(F.min(F.struct("distance", "start")).alias("best"))
+    leak = F.struct(F.col("item_id"), F.col("best.distance").alias("distance"), F.col("best.start").alias("start"))
+    return best.groupBy("of_id", "of_hash").agg(F.array_sort(F.collect_list(leak)).alias("leaks"))
+
+
+def find_leaks(docs: DataFrame, benchmark: DataFrame, max_edits: float = MAX_EDITS) -> DataFrame:
+    """Add ``leaks``, an array of (item_id, distance, start) in that order, to every row; empty for null and empty texts.
+
+    The benchmark is the stated query set: all documents are searched for it, as
+    whole texts. Null items and items without a word leak nowhere, and without
+    items nothing leaks; items too short for an edit (6 words at most) must occur
+    word for word. Of several places of an item the nearest counts, of equals the
+    first; items that repeat an id count as one. Repeated rows get the same
+    leaks, empty tables an empty result. A column ``leaks`` of ``docs`` is
+    replaced, all others stay.
+    """
+    found = stash(leaks(docs, benchmark, max_edits))
+    size = found.agg(F.sum(32 + 16 * F.size("leaks"))).first()[0] or 0
+    if size <= BROADCAST_BYTES:
+        found = F.broadcast(found)
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").alias("own_id"), F.xxhash64("text").alias("own_hash"))
+    joined = rows.join(found, F.col("own_id").eqNullSafe(F.col("of_id")) & (F.col("own_hash") == F.col("of_hash")), "left")
+    none = F.array().cast(f"array<{LEAK}>")
+    return joined.select(*[F.col("row")[c].alias(c) for c in docs.columns if c != "leaks"], F.coalesce("leaks", none).alias("leaks"))
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows into which no item leaks, with the columns they came with."""
-    searched = find_leaks(docs.select(F.struct(*docs.columns).alias("_doc"), "text"), benchmark)
-    return searched.filter(F.size("leaks") == 0).select("_doc.*")
+    wrapped = docs.select(F.struct(*docs.columns).alias("_doc"), "doc_id", "text")
+    return find_leaks(wrapped, benchmark).filter(F.size("leaks") == 0).select("_doc.*")

@@ -123,10 +123,14 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, ratio: float = RA
 
     ``taken`` counts the words the mix takes, repeats included; reruns agree.
     Null, empty and blank texts have size 0 and take 0; a source of such texts
-    has target 0. Null ids and repeated rows count as documents of their own. An
-    empty table gives an empty result; other columns of ``docs`` are ignored.
+    has target 0. Null ids and repeated rows count as documents of their own:
+    rows alike in everything are numbered from their count, and a document's block
+    follows from id, text and number, so that no block holds more than its share.
+    An empty table gives an empty result; other columns of ``docs`` are ignored.
     """
-    sized = docs.select("doc_id", "source", n_words(F.col("text")).alias("size"))
+    rows = docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), F.xxhash64("text").alias("_text"))
+    times = rows.groupBy("doc_id", "source", "size", "_text").agg(F.count("*").alias("_times"))
+    sized = stash(times.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times").cast("int")))).drop("_times"))
     totals = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n_docs"))
     goal = targets(totals, weights, ratio, cap).withColumns({"_none": F.col("source").isNull(), "_key": F.coalesce("source", F.lit(""))})
     units = (
@@ -136,9 +140,9 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, ratio: float = RA
         .withColumn("_factor", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0))
         .withColumn("_base", F.floor(F.col("_factor") + F.lit(TINY)))
         .withColumn("_chance", F.when(F.col("size") == 0, F.lit(0.0)).otherwise(F.greatest(F.lit(0.0), F.col("_factor") - F.col("_base"))))
-        .withColumn("_order", F.xxhash64("doc_id", F.lit(0)))
+        .withColumn("_order", F.xxhash64("doc_id", "_text", "_copy", F.lit(0)))
         .withColumn("_blocks", F.ceil(F.col("n_docs") / block).cast("long"))
-        .withColumn("_block", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.col("_blocks")))
+        .withColumn("_block", F.pmod(F.xxhash64("doc_id", "_text", "_copy", F.lit(1)), F.col("_blocks")))
     )
     # every round leaves at most two documents of a block
     first = stash(_round(units, F.col("_blocks") == 1))
@@ -147,7 +151,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, ratio: float = RA
     most = rest.agg(F.max("_blocks")).first()[0]
     while most is not None:
         parts.append(settled.filter((F.col("_chance") == 0) | (F.col("_chance") == 1)))
-        again = rest.withColumn("_blocks", F.ceil(F.col("_blocks") * 2 / block).cast("long")).withColumn("_block", F.pmod(F.xxhash64("doc_id", F.lit(level)), F.col("_blocks")))
+        again = rest.withColumn("_blocks", F.ceil(F.col("_blocks") * 2 / block).cast("long")).withColumn("_block", F.pmod(F.xxhash64("doc_id", "_text", "_copy", F.lit(level)), F.col("_blocks")))
         settled = stash(_round(again, F.col("_blocks") == 1))
         rest, level = settled.filter((F.col("_chance") > 0) & (F.col("_chance") < 1)), level + 1
         most = rest.agg(F.max("_blocks")).first()[0]

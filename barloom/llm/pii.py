@@ -1,12 +1,15 @@
 """Personal data: fixed patterns, and identifiers found by bootstrapped contexts.
 
-Matches of four fixed patterns are the seeds. Each seed and each other
-identifier-shaped token is an instance, and the word before it, the literal text
-that touches it and its leading letters are lexical patterns that extract it.
-Patterns are scored by the share of their instances that are believed to be
-personal data, instances by the patterns that extract them, and so on for a few
-rounds; tokens that confident patterns extract become spans of kind ``id``. Only
-DataFrame functions run here.
+Seed entities are the matches of four fixed patterns and tokens that look random
+(long, letters and digits in turn). Seeds and all other identifier-shaped tokens
+are instances. What stands around an instance gives the lexical patterns that
+extract it: the word before it, the field name that touches it, the kind of
+assignment or quotes around it, its leading letters, its class of letters and
+length. Patterns are scored by the share of their instances that are believed,
+instances by the patterns that extract them, and so on for a few rounds; tokens
+that confident patterns extract become spans of kind ``id``, and so do seed
+tokens, but only where such a pattern extracts them. Only DataFrame functions run
+here.
 """
 
 from __future__ import annotations
@@ -16,11 +19,11 @@ from pyspark.sql import functions as F
 
 from barloom.llm.common import stash
 
-#: Fixed values, in the order that breaks ties. An email begins where a run of its letters or the last match ends,
-#: which finds the same matches as trying every letter of the run.
+#: Fixed values, in the order that breaks ties. An email begins where a run of its letters or the last match ends, and
+#: an address where a run of digits begins, which finds the same matches as trying every place of the run.
 KINDS = {
     "email": r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]++)++",
-    "ip": r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)",
+    "ip": r"(?<![0-9])[0-9]++(?:\.[0-9]++)(?:\.[0-9]++)(?:\.[0-9]++)",
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
@@ -28,6 +31,11 @@ KINDS = {
 CANDIDATE = r"(?<![A-Za-z0-9_-])(?=[A-Za-z_-]*+[0-9])[A-Za-z0-9_-]{6,}+"
 NEEDS = {"email": "@", "ip": "[0-9]\\.", "card": "[0-9]", "phone": "\\+[0-9]", "id": "[0-9]"}
 FOUND = "id"
+#: A token looks random from this many characters and changes between letters and digits on.
+RANDOM_LENGTH = 20
+RANDOM_CHANGES = 8
+#: Spans up to this many bytes go to all texts; more are joined by shuffle.
+BROADCAST_BYTES = 32 << 20
 ORDER = [*KINDS, FOUND]
 ROUNDS = 3
 MIN_SUPPORT = 3
@@ -49,6 +57,7 @@ def _hits(kind: str) -> Column:
             F.length(F.get(gaps, i)).alias("gap"),
             h.alias("hit"),
             F.substring(F.get(gaps, i), -48, 48).alias("left"),
+            F.substring(F.get(gaps, i + 1), 1, 4).alias("right"),
         ),
     )
 
@@ -77,11 +86,11 @@ def instances(docs: DataFrame) -> DataFrame:
     """All valid base matches and all other identifier-shaped tokens of ``docs``, with one empty row for texts without any.
 
     Columns: _row, doc_id, text_hash, kind (number in ORDER, null for none),
-    start, end (code points, end exclusive), hit and left (up to 48 characters
-    before it). Tokens that overlap a base match are left out.
+    start, end (code points, end exclusive), hit, left and right (up to 48
+    characters before and 4 after it). Tokens that overlap a base match are left out.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
-    none = F.array().cast("array<struct<kind:int,pos:int,gap:int,hit:string,left:string>>")
+    none = F.array().cast("array<struct<kind:int,pos:int,gap:int,hit:string,left:string,right:string>>")
     patterns = {**KINDS, FOUND: CANDIDATE}
     numbered = docs.select(F.monotonically_increasing_id().alias("_row"), "doc_id", F.xxhash64("text").alias("text_hash"), text.alias("text"))
     needed = {k: F.col("text").rlike(NEEDS[k]) for k in patterns}
@@ -102,36 +111,51 @@ def instances(docs: DataFrame) -> DataFrame:
     overlaps = (F.col("kind") == ORDER.index(FOUND)) & (F.coalesce(F.col("_reach") > F.col("start"), F.lit(False)) | F.coalesce(F.col("_ahead") < F.col("end"), F.lit(False)))
     # a first row that is not valid stays as an empty row, so that no text is lost
     keep = F.col("ok") & ~F.coalesce(overlaps, F.lit(False))
-    return clear.select("_row", "doc_id", "text_hash", *[F.when(keep, F.col(c)).alias(c) for c in ("kind", "start", "end", "hit", "left")])
+    return clear.select("_row", "doc_id", "text_hash", *[F.when(keep, F.col(c)).alias(c) for c in ("kind", "start", "end", "hit", "left", "right")])
+
+
+def looks_random(hit: Column) -> Column:
+    """Whether a token is long and its letters and digits take turns often."""
+    turns = F.regexp_replace(F.regexp_replace(F.regexp_replace(hit, "[^A-Za-z0-9]", ""), "[A-Za-z]+", "a"), "[0-9]+", "9")
+    return (F.length(hit) >= RANDOM_LENGTH) & (F.length(turns) > RANDOM_CHANGES)
 
 
 def edges(found: DataFrame) -> DataFrame:
-    """The pattern-instance graph: each pattern that extracts each distinct instance, and whether that is a seed."""
+    """The pattern-instance graph: each pattern that extracts each distinct instance, whether that is a base match and whether it is a seed."""
     left = F.lower(F.col("left"))
+    token = F.col("kind") == ORDER.index(FOUND)
     touching = F.regexp_extract(left, r"([a-z_]{2,}[\x20]?[=:#][\x20]?[\"']?)$", 1)
+    assigned = F.regexp_extract(left, r"[a-z_]{2,}([\x20]?[=:#][\x20]?[\"']?)$", 1)
     word = F.regexp_extract(left, r"([^\x20\x09-\x0D]+)[\x20\x09-\x0D]+$", 1)
+    opened, closed = F.regexp_extract(left, r"([\"'(\[<{])$", 1), F.regexp_extract("right", r"^([\"')\]>}])", 1)
     letters = F.regexp_extract("hit", r"^([A-Z]{3,6})(?=[A-Z0-9]*[0-9])", 1)
+    letter_class = F.when(F.col("hit").rlike("^[0-9a-f]+$"), "hex").when(F.col("hit").rlike("^[0-9A-F]+$"), "HEX").when(F.col("hit").rlike("^[0-9a-z]+$"), "lower").when(F.col("hit").rlike("^[0-9A-Z]+$"), "upper").otherwise("mixed")
     patterns = F.array_compact(
         F.array(
             F.when(touching != "", F.concat(F.lit("touch:"), touching)),
+            F.when((assigned != "") & token, F.concat(F.lit("assign:"), assigned, F.lit(" then "), closed)),
+            F.when((opened != "") & (closed != "") & token, F.concat(F.lit("around:"), opened, closed)),
             F.when(word != "", F.concat(F.lit("word:"), word)),
             F.when(letters != "", F.concat(F.lit("begin:"), letters)),
+            F.when(token & looks_random(F.col("hit")), F.concat(F.lit("class:"), letter_class, F.lit(":"), F.length("hit"))),
         )
     )
     return (
         found.filter(F.col("kind").isNotNull())
-        .select(F.explode(patterns).alias("pattern"), "hit", (F.col("kind") < ORDER.index(FOUND)).alias("seed"))
+        .select(F.explode(patterns).alias("pattern"), "hit", ~token, (~token | looks_random(F.col("hit"))).alias("seed"))
+        .toDF("pattern", "hit", "base", "seed")
         .groupBy("pattern", "hit")
-        .agg(F.max("seed").alias("seed"))
+        .agg(F.max("base").alias("base"), F.max("seed").alias("seed"))
     )
 
 
 def score_graph(graph: DataFrame, rounds: int = ROUNDS) -> DataFrame:
-    """Score the instances that are no seeds, round by round: ``hit`` and ``score``.
+    """Score the instances that are no base matches, round by round: ``hit`` and ``score``.
 
     A pattern's confidence is the mean belief in its distinct instances, and 0
-    with fewer than MIN_SUPPORT that are believed. A token's belief is one minus
-    the chance that all its confident patterns are wrong. Seeds stay at 1.
+    with fewer than MIN_SUPPORT that are believed. Belief in seeds stays at 1, in
+    another token it is its score: one minus the chance that all its confident
+    patterns are wrong.
     """
     graph = stash(graph)
     belief = graph.filter("seed").select("hit", F.lit(1.0).alias("score")).distinct()
@@ -143,15 +167,17 @@ def score_graph(graph: DataFrame, rounds: int = ROUNDS) -> DataFrame:
             .filter((F.col("support") >= MIN_SUPPORT) & (F.col("mean") >= MIN_CONFIDENCE))
             .select("pattern", F.least(F.col("mean"), F.lit(0.999)).alias("mean"))
         )
-        belief = stash(graph.filter(~F.col("seed")).join(confidence, "pattern").groupBy("hit").agg((1 - F.exp(F.sum(F.log1p(-F.col("mean"))))).alias("score")))
+        belief = stash(graph.filter(~F.col("base")).join(confidence, "pattern").groupBy("hit").agg((1 - F.exp(F.sum(F.log1p(-F.col("mean"))))).alias("score")))
     return belief
 
 
 def find(docs: DataFrame) -> DataFrame:
     """One row per row of ``docs``: doc_id, text_hash and the sorted array ``spans`` of (start, kind_no, end, kind).
 
-    Null and empty texts have no spans. Repeated rows stay apart. Tables without
-    any match give empty arrays; other columns of ``docs`` are ignored.
+    Null and empty texts have no spans. Repeated rows stay apart. Spans that begin
+    together come in the order of kinds. Texts of any length are searched whole.
+    Tables without any match give empty arrays, empty tables an empty result;
+    other columns of ``docs`` are ignored.
     """
     found = stash(instances(docs))
     accepted = score_graph(edges(found)).filter(F.col("score") >= ACCEPT).select("hit").withColumn("_accepted", F.lit(True))
@@ -175,15 +201,25 @@ def written(spans: Column) -> Column:
 
 
 def redact(docs: DataFrame) -> DataFrame:
-    """``docs`` with each span of ``text`` replaced by its kind in brackets; null texts stay, and so do all other columns."""
-    spans = find(docs.select("doc_id", "text")).filter(F.size("spans") > 0).dropDuplicates(["doc_id", "text_hash"]).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), F.col("spans").alias("_spans"))
-    joined = docs.join(spans, docs["doc_id"].eqNullSafe(F.col("_id")) & (F.xxhash64(docs["text"]) == F.col("_hash")), "left")
-    state = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))
+    """``docs`` with each span of ``text`` replaced by its kind in brackets.
+
+    Null texts stay, and so do all other columns whatever their names. Repeated
+    rows are changed alike, and rows of one id each by their own text.
+    """
+    spans = find(docs.select("doc_id", "text")).filter(F.size("spans") > 0).dropDuplicates(["doc_id", "text_hash"])
+    spans = stash(spans.select(F.col("doc_id").alias("of_id"), F.col("text_hash").alias("of_hash"), "spans"))
+    size = spans.agg(F.sum(32 + 48 * F.size("spans"))).first()[0] or 0
+    if size <= BROADCAST_BYTES:
+        spans = F.broadcast(spans)
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").alias("own_id"), F.col("text").alias("own_text"), F.xxhash64("text").alias("own_hash"))
+    joined = rows.join(spans, F.col("own_id").eqNullSafe(F.col("of_id")) & (F.col("own_hash") == F.col("of_hash")), "left")
+    state = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<string>").alias("out"))
+    text = F.col("own_text")
 
     def put(a: Column, s: Column) -> Column:
-        kept = F.when(s["start"] > a["at"], F.substr(F.col("text"), (a["at"] + 1).cast("int"), (s["start"] - a["at"]).cast("int"))).otherwise("")
-        return F.struct(F.greatest(a["at"], s["end"]).alias("at"), F.concat(a["out"], kept, F.lit("["), F.upper(s["kind"]), F.lit("]")).alias("out"))
+        kept = F.when(s["start"] > a["at"], F.substr(text, (a["at"] + 1).cast("int"), (s["start"] - a["at"]).cast("int"))).otherwise("")
+        return F.struct(F.greatest(a["at"], s["end"]).alias("at"), F.concat(a["out"], F.array(kept, F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]")))).alias("out"))
 
-    cut = F.aggregate("_spans", state, put, lambda a: F.concat(a["out"], F.substr(F.col("text"), (a["at"] + 1).cast("int"))))
-    changed = joined.withColumn("text", F.when(F.col("_spans").isNotNull(), cut).otherwise(F.col("text")))
-    return changed.select(*docs.columns)
+    cut = F.aggregate("spans", state, put, lambda a: F.concat(F.array_join(a["out"], ""), F.substr(text, (a["at"] + 1).cast("int"))))
+    changed = F.when(F.col("spans").isNotNull(), cut).otherwise(text)
+    return joined.select(*[changed.alias(c) if c == "text" else F.col("row")[c].alias(c) for c in docs.columns])

@@ -17,12 +17,14 @@ import zstandard as zstd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barloom.llm.common import bounded_sample, held_out
-from barloom.llm.zstd_blocks import BlockSizer, trained
+from barloom.llm.common import bounded_sample, held_out, settled_labels
+from barloom.llm.zstd_blocks import BlockSizer, spread, trained
 
-#: Bounds of the labelled sample: texts of each label, and bytes of each text.
+#: Bound of the labelled sample: texts of each label.
 SAMPLE_PER_LABEL = 1500
-SAMPLE_BYTES = 8192
+#: Bytes that one text lends a dictionary at most, in pieces from all over it; differences are taken on whole texts.
+LENT_BYTES = 8192
+PIECE = 2048
 #: Share of the sample that calibrates instead of entering a dictionary.
 CALIBRATION = 0.27
 #: Differences beyond this are as sure as they get.
@@ -68,30 +70,43 @@ def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float,
 def fit(docs: DataFrame, labels: DataFrame, mod: int = 5, remainder: int = 0, per_label: int = SAMPLE_PER_LABEL) -> QualityModel:
     """Learn from a bounded sample of the labelled rows that are not held out.
 
-    Labels other than 0 and 1 and null ids are ignored. Without both labels the
-    model scores every text alike: with the share of good labels, or 0.5.
+    Labels other than 0 and 1, null ids and ids labelled both ways are left out;
+    an id of several texts lends the least of them. Without both labels, and on
+    empty tables, the model scores every text alike: with the share of good
+    labels, or 0.5.
     """
-    known = labels.select("doc_id", F.col("quality").cast("int").alias("quality")).filter(
-        F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out("doc_id", mod, remainder)
-    )
+    known = settled_labels(labels, "doc_id", "quality").filter(~held_out("doc_id", mod, remainder))
     counts = {r["quality"]: r["n"] for r in known.groupBy("quality").agg(F.count("*").alias("n")).collect()}
     total = sum(counts.values())
     prior = (counts.get(1, 0) + 0.5) / (total + 1)
     # ids of the sample are bounded by 2 x per_label, so this broadcast is too
-    ids = F.broadcast(bounded_sample(known.dropDuplicates(["doc_id"]), "doc_id", "quality", per_label))
-    rows = docs.select("doc_id", "text").join(ids, "doc_id").select("doc_id", "quality", F.substring("text", 1, SAMPLE_BYTES).alias("text")).collect()
-    texts: dict[int, list[bytes]] = {0: [], 1: []}
-    order = sorted({(r["doc_id"], r["quality"], r["text"] or "") for r in rows}, key=lambda r: (hash_order(r[0]), r))
-    for _, quality, text in order:
-        if text:
-            texts[quality].append(text.encode("utf-8", "surrogatepass")[:SAMPLE_BYTES])
-    apart = {q: len(t) - int(len(t) * CALIBRATION) for q, t in texts.items()}
-    good, bad = (trained(texts[q][: apart[q]]) if texts[q] else b"" for q in (1, 0))
+    ids = F.broadcast(bounded_sample(known, "doc_id", "quality", per_label))
+
+    @F.pandas_udf("array<binary>")
+    def pieces(texts: pd.Series, seeds: pd.Series) -> pd.Series:
+        return pd.Series([spread(t.encode("utf-8", "surrogatepass"), LENT_BYTES, PIECE, int(k)) for t, k in zip(texts, seeds, strict=True)], dtype=object)
+
+    sampled = docs.select("doc_id", "text").join(ids, "doc_id").filter(F.length("text") > 0).groupBy("doc_id", "quality").agg(F.min("text").alias("text"))
+    rows = sampled.select("doc_id", "quality", pieces("text", F.xxhash64("doc_id")).alias("pieces")).collect()
+    order = sorted(rows, key=lambda r: (hash_order(r["doc_id"]), r["doc_id"]))
+    own = {q: [r for r in order if r["quality"] == q] for q in (0, 1)}
+    apart = {q: len(t) - int(len(t) * CALIBRATION) for q, t in own.items()}
+    good, bad = (trained([bytes(p) for r in own[q][: apart[q]] for p in r["pieces"]]) if own[q] else b"" for q in (1, 0))
     if not good or not bad:
         return QualityModel(b"", b"", 0.0, float(np.log(prior / (1 - prior))))
-    sizer = QualityModel(good, bad, 0, 0).sizer()
-    rest = [(difference(sizer, t.decode("utf-8", "ignore")), q) for q in (0, 1) for t in (texts[q][apart[q] :] or texts[q])]
-    x, y = np.array([r[0] for r in rest]), np.array([r[1] for r in rest], dtype=float)
+    model = QualityModel(good, bad, 0.0, 0.0)
+
+    @F.pandas_udf("double")
+    def measured(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        sizer = model.sizer()
+        for texts in batches:
+            yield pd.Series([difference(sizer, t) for t in texts], dtype=float)
+
+    wanted = [(r["doc_id"],) for q in (0, 1) for r in (own[q][apart[q] :] or own[q])]
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    rest = sampled.join(F.broadcast(docs.sparkSession.createDataFrame(wanted, f"doc_id {kind}")), "doc_id").select("doc_id", "quality", measured("text").alias("x")).collect()
+    rest = sorted((hash_order(r["doc_id"]), r["x"], r["quality"]) for r in rest)
+    x, y = np.array([r[1] for r in rest]), np.array([r[2] for r in rest], dtype=float)
     share = {q: counts[q] / total / max(1, int((y == q).sum())) * len(y) for q in (0, 1)}
     slope, intercept = _logistic(x, y, np.where(y == 1, share[1], share[0]))
     return QualityModel(good, bad, slope, intercept)
@@ -106,7 +121,10 @@ def score(docs: DataFrame, model: QualityModel, threshold: float = 0.3) -> DataF
     """Add ``score`` (probability of label 1) and ``predicted`` to every row.
 
     Null and empty texts have a difference of 0 and get the calibration's value
-    there. Columns of ``docs`` named score or predicted are replaced.
+    there; a score equal to the threshold is predicted 1. Texts are compressed
+    whole, block by block. Repeated rows get the same score, an empty table an
+    empty result. Columns of ``docs`` named score or predicted are replaced, all
+    others stay.
     """
 
     @F.pandas_udf("double")

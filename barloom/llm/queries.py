@@ -6,7 +6,6 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import functions as F
 
 from barloom.llm import decontaminate, jaccard, language, mixing, pii, quality, rules, suffixes, tokens, toxicity
 from barloom.llm.common import held_out, table
@@ -61,7 +60,8 @@ def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = F.filter("spans", lambda s: s["kind_no"] < len(pii.KINDS))
     number_of = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long")
     counts = [number_of(k).alias(f"n_{k}") for k in pii.KINDS]
-    return found.select("doc_id", *counts, F.sha2(pii.written(base), 256).alias("base_sha256"), pii.written(F.col("spans")).alias("spans"))
+    every = F.size("spans").cast("long").alias("n_spans")
+    return found.select("doc_id", *counts, F.sha2(pii.written(base), 256).alias("base_sha256"), pii.written(F.col("spans")).alias("spans"), every)
 
 
 def op9_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -110,7 +110,9 @@ def weights(docs: DataFrame, labels: DataFrame) -> DataFrame:
         .agg(F.count("*").alias("raw"), F.count("_good").alias("target"))
     )
     total = counts.agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).first()
-    share = lambda c: (F.col(c) + SMOOTHING) / ((total[c] or 0) + SMOOTHING * BUCKETS)
+    if not total["target"]:  # nothing to compare with
+        return counts.select("bucket", F.lit(0.0).alias("weight"))
+    share = lambda c: (F.col(c) + SMOOTHING) / (total[c] + SMOOTHING * BUCKETS)
     return counts.select("bucket", (F.log(share("target")) - F.log(share("raw"))).alias("weight"))
 
 
@@ -119,8 +121,11 @@ def judge(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> D
 
     ``llr`` is the mean weight of the document's n-grams, 0 without words. A
     document is kept when the base rules pass and ``llr`` reaches the threshold.
-    The same text always gets the same verdict. Repeated rows stay apart. Without
-    labels every ratio compares an empty target, so it depends on counts alone.
+    The same text always gets the same verdict; a ratio equal to the threshold is
+    kept. Repeated rows stay apart. Without any text labelled 1 there is no target
+    and every ratio is 0, so the base rules alone decide. Ids with a label 1
+    among others count as good. Texts of any length are taken whole. Empty tables
+    give an empty result; other columns of ``docs`` are ignored.
     """
     # the weights have at most BUCKETS rows, so the broadcast has a fixed bound
     known = F.broadcast(weights(docs, labels))

@@ -21,12 +21,11 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barloom.llm.common import bounded_sample
+from barloom.llm.common import beside, bounded_sample, settled_labels
 from barloom.llm.quality import hash_order
 
-#: Bounds of the labelled sample: documents of each label, and characters of each.
+#: Bound of the labelled sample: documents of each label.
 SAMPLE_PER_LABEL = 2500
-SAMPLE_CHARS = 60_000
 MAX_TERMS = 400
 MAX_CATEGORIES = 6
 FOLDS = 5
@@ -68,18 +67,18 @@ class Chain:
     links: tuple[np.ndarray, ...]  # weights: terms, earlier probabilities, intercept
     base: float
 
-    def features(self, texts: list[str | None]) -> np.ndarray:
+    def features(self, sets: list[set[str]]) -> np.ndarray:
         at = {t: i for i, t in enumerate(self.names)}
-        out = np.zeros((len(texts), len(at)))
-        for row, text in enumerate(texts):
-            out[row, [at[t] for t in terms(text) if t in at]] = 1.0
+        out = np.zeros((len(sets), len(at)))
+        for row, found in enumerate(sets):
+            out[row, [at[t] for t in found if t in at]] = 1.0
         return out
 
     def predict(self, texts: list[str | None]) -> np.ndarray:
         """Probabilities of the categories in chain order, the label last."""
         if not self.links:
             return np.full((len(texts), 1), self.base)
-        x = self.features(texts)
+        x = self.features([terms(t) for t in texts])
         found = np.zeros((len(texts), 0))
         for w in self.links:
             found = np.hstack([found, _chance(np.hstack([x, found]), w)[:, None]])
@@ -118,14 +117,13 @@ def _categories(x: np.ndarray, y: np.ndarray) -> list[list[int]]:
     return groups
 
 
-def train(texts: list[str | None], y: np.ndarray) -> Chain:
-    """Fit the chain on labelled texts; without both labels it predicts the share of toxic ones."""
+def train(sets: list[set[str]], y: np.ndarray) -> Chain:
+    """Fit the chain on the terms of labelled texts; without both labels it predicts the share of toxic ones."""
     base = float((y.sum() + 0.05) / (len(y) + 1)) if len(y) else 0.05
-    sets = [terms(t) for t in texts]
     names = _telling_terms(sets, y) if 0 < y.sum() < len(y) else []
     if not names:
         return Chain((), (), (), base)
-    x = Chain(tuple(names), (), (), base).features(texts)
+    x = Chain(tuple(names), (), (), base).features(sets)
     groups = _categories(x, y)
     goals = [((x[:, g].max(axis=1) > 0) & (y == 1)).astype(float) for g in groups] + [y.astype(float)]
     fold = np.arange(len(y)) % FOLDS
@@ -141,22 +139,33 @@ def train(texts: list[str | None], y: np.ndarray) -> Chain:
 
 
 def fit(docs: DataFrame, labels: DataFrame, per_label: int = SAMPLE_PER_LABEL) -> Chain:
-    """Learn from a bounded sample of the labelled documents; null ids and other labels are ignored."""
-    known = labels.select("doc_id", F.col("toxic").cast("int").alias("toxic")).filter(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull()).dropDuplicates(["doc_id"])
+    """Learn from a bounded sample of the labelled documents, each as a whole.
+
+    Null ids, other labels and ids labelled both ways are left out; of repeated
+    and equal texts one counts. Empty tables give a chain of no links.
+    """
     # at most 2 x per_label ids
-    ids = F.broadcast(bounded_sample(known, "doc_id", "toxic", per_label))
-    rows = docs.select("doc_id", F.substring("text", 1, SAMPLE_CHARS).alias("text")).join(ids, "doc_id").collect()
+    ids = F.broadcast(bounded_sample(settled_labels(labels, "doc_id", "toxic"), "doc_id", "toxic", per_label))
+
+    @F.pandas_udf("array<string>")
+    def terms_of(texts: pd.Series) -> pd.Series:
+        return pd.Series([sorted(terms(t)) for t in texts], dtype=object)
+
+    sampled = docs.select("doc_id", "text").join(ids, "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
     # copies of a text would make their own words look telling
-    apart = {(r["text"] or "", r["toxic"]): r["doc_id"] for r in sorted(rows, key=lambda r: -r["doc_id"])}
-    order = sorted(((i, t, v) for (t, v), i in apart.items()), key=lambda r: (hash_order(r[0]), r))
-    return train([t for _, t, _ in order], np.array([v for *_, v in order], dtype=float))
+    apart = sampled.groupBy(F.sha2(F.coalesce("text", F.lit("")), 256).alias("of"), "toxic").agg(F.min("doc_id").alias("doc_id"), F.min("text").alias("text"))
+    rows = apart.select("doc_id", "toxic", terms_of("text").alias("terms")).collect()
+    order = sorted(rows, key=lambda r: (hash_order(r["doc_id"]), r["doc_id"]))
+    return train([set(r["terms"]) for r in order], np.array([r["toxic"] for r in order], dtype=float))
 
 
 def score(docs: DataFrame, chain: Chain, threshold: float = THRESHOLD) -> DataFrame:
     """Add ``toxicity`` (probability), ``categories`` (probability of each link before it) and ``toxic`` to every row.
 
-    Null and empty texts use no term and get the chain's probability for that.
-    Columns of those names in ``docs`` are replaced.
+    Null and empty texts use no term and get the chain's probability for that;
+    a probability equal to the threshold is toxic. Texts are read whole. Repeated
+    rows get the same answer, an empty table an empty result. Columns of those
+    names in ``docs`` are replaced, all others stay.
     """
 
     @F.pandas_udf("toxicity double, categories array<double>")
@@ -165,8 +174,8 @@ def score(docs: DataFrame, chain: Chain, threshold: float = THRESHOLD) -> DataFr
             found = np.vstack([chain.predict(list(texts[i : i + 500])) for i in range(0, len(texts), 500)]) if len(texts) else np.zeros((0, 1))
             yield pd.DataFrame({"toxicity": found[:, -1], "categories": [list(r[:-1]) for r in found]})
 
-    scored = docs.withColumn("_found", predict("text"))
-    return scored.withColumns({"toxicity": F.col("_found.toxicity"), "categories": F.col("_found.categories")}).drop("_found").withColumn("toxic", F.col("toxicity") >= threshold)
+    scored = beside(docs, predict("text"), ["toxicity", "categories"])
+    return scored.withColumn("toxic", F.col("toxicity") >= threshold)
 
 
 def clean(docs: DataFrame, chain: Chain) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import xxhash
 import zstandard as zstd
 
 BLOCK = 1024
@@ -32,18 +33,23 @@ class BlockSizer:
         return len(raw), [sum(len(c.compress(b)) for b in blocks) for c in self.compressors]
 
 
-def trained(texts: list[bytes], size: int = 112_640) -> bytes:
-    """A zstandard dictionary trained on the texts; their raw bytes where training finds too little to work with."""
-    samples = [t[i : i + 2048] for t in texts for i in range(0, len(t), 2048)]
+def spread(raw: bytes, size: int, piece: int, seed: int) -> list[bytes]:
+    """Pieces from all over a text, ``size`` bytes in all: the text in equal strips and one piece of each, where a hash puts it."""
+    if len(raw) <= size:
+        return [raw[i : i + piece] for i in range(0, len(raw), piece)]
+    many = max(1, size // piece)
+    edges = [len(raw) * k // many for k in range(many + 1)]
+    out = []
+    for k, (a, b) in enumerate(zip(edges, edges[1:], strict=False)):
+        room = max(1, b - a - piece + 1)
+        at = a + xxhash.xxh3_64_intdigest(k.to_bytes(4, "little"), seed=seed & (1 << 64) - 1) % room
+        out.append(raw[at : at + piece])
+    return out
+
+
+def trained(samples: list[bytes], size: int = 112_640) -> bytes:
+    """A zstandard dictionary trained on the samples; their raw bytes where training finds too little to work with."""
     try:
         return zstd.train_dictionary(size, samples).as_bytes()
     except zstd.ZstdError:
         return b"\n".join(samples)[:size]
-
-
-def raw_content(texts: list[bytes], size: int) -> bytes:
-    """An equal share of each text, up to ``size`` bytes in all."""
-    if not texts:
-        return b""
-    share = max(64, size // len(texts))
-    return b"\n".join(t[:share] for t in texts)[:size]

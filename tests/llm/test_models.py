@@ -37,6 +37,42 @@ def test_language_on_held_out_rows(spark):
     assert language.identify(docs.limit(2), language.fit(docs.limit(0))).filter("lang_pred = 'und'").count() == 2
 
 
+def test_every_language_is_learned_from_all_of_a_text(spark):
+    rng = random.Random(6)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    rows, later = [], []
+    for k in range(300):
+        vocab = ["".join(rng.choice(letters) for _ in range(7)) for _ in range(12)]
+        text = lambda n: " ".join(rng.choice(vocab) for _ in range(n))  # noqa: B023, E731
+        # all begin alike: only what follows tells languages apart
+        rows += [(10 * k + j, "licence text that begins every document " * 6 + text(300), f"l{k:03}", "a", 1) for j in range(3)]
+        later.append((100_000 + k, text(60), f"l{k:03}", "a", 1))
+    model = language.fit(spark.createDataFrame(rows, SCHEMA), mod=10**9)
+    assert len(model.langs) == 300
+    found = language.identify(spark.createDataFrame(later[:40], SCHEMA).repartition(4), model).toPandas()
+    assert (found.lang == found.lang_pred).mean() > 0.9
+
+
+def test_labels_that_disagree_are_left_out_in_any_order(spark):
+    docs = spark.createDataFrame([(i, ("good words here " if i % 2 else "bad stuff there ") * 40 + str(i), "en", "a", 1) for i in range(80)], SCHEMA)
+    rows = [(i, i % 2, 1 - i % 2) for i in range(80)] + [(i, 1 - i % 2, i % 2) for i in range(10)] + [(20, 0, 1)] * 3
+    schema = "doc_id long, quality int, toxic int"
+    one, two = (spark.createDataFrame(r, schema).coalesce(1) for r in (rows, rows[::-1]))
+    assert quality.fit(docs, one) == quality.fit(docs, two)
+    chains = [toxicity.fit(docs, x) for x in (one, two)]
+    assert chains[0].names == chains[1].names and all((a == b).all() for a, b in zip(chains[0].links, chains[1].links))
+
+
+def test_columns_with_clashing_names_stay(spark):
+    docs = spark.createDataFrame([(*r, "mine", "row") for r in awkward()], SCHEMA + ", _found string, row string")
+    model = language.LanguageModel(("a",), (b"abc",))
+    for out, new in ((language.identify(docs, model), ["lang_pred", "score", "rejected"]), (toxicity.score(docs, toxicity.Chain((), (), (), 0.1)), ["toxicity", "categories", "toxic"])):
+        assert out.columns == docs.columns + new and {r["_found"] for r in out.collect()} == {"mine"}
+    # columns of docs that the mix and the counts do not read may have any name
+    extra = spark.createDataFrame([(*r, 1) for r in awkward()], SCHEMA + ", size int").withColumnRenamed("lang", "_chance")
+    assert mixing.mix(extra).count() == tokens.count_tokens(extra, BPE).count() == len(awkward())
+
+
 def test_toxicity_chain(spark):
     docs, labels = table(spark, SF, "documents"), table(spark, SF, "labels")
     chain = toxicity.fit(docs, labels)
@@ -58,7 +94,7 @@ def test_chain_learns_categories():
             t += rng.sample(["grumble", "snarl"] if i % 8 else ["hexes", "curse"], 2)
         texts.append(" ".join(t))
         y.append(float(i % 4 == 0))
-    chain = toxicity.train(texts, np.array(y))
+    chain = toxicity.train([toxicity.terms(t) for t in texts], np.array(y))
     assert len(chain.links) == len(chain.categories) + 1 >= 3
     p = chain.predict(["wak grumble", "curse hexes", "wak wbl", "", None])[:, -1]
     assert min(p[:2]) > 0.5 > max(p[2:])
@@ -96,49 +132,72 @@ def test_token_columns(spark):
     assert tokens.count_tokens(short, BPE).agg(F.max("n_tokens")).first()[0] <= 4
 
 
-def edit_distance(a, b):
-    row = list(range(len(b) + 1))
-    for i, x in enumerate(a, 1):
+def nearest(item, text):
+    """Smallest edit distance between the item and any stretch of the text, by the plain table."""
+    row = [0] * (len(text) + 1)
+    for i, x in enumerate(item, 1):
         row, last = [i], row
-        for j, y in enumerate(b, 1):
+        for j, y in enumerate(text, 1):
             row.append(min(last[j] + 1, row[-1] + 1, last[j - 1] + (x != y)))
-    return row[-1]
+    return min(row)
+
+
+def edited(rng, v, vocab, edits):
+    """Words after so many random edits: replaced, left out or put in."""
+    v = list(v)
+    for _ in range(edits):
+        p = rng.randrange(len(v))
+        v[p : p + rng.randint(0, 1)] = [rng.choice(vocab)] * rng.randint(0, 1)
+    return v
+
 
+def test_walks_agree_at_the_limit_as_assumed():
+    rng, vocab, agree, least = random.Random(4), [f"w{i}" for i in range(300)], [], decontaminate.AGREEMENT
+    for size in (10, 20, 40, 80):
+        for _ in range(150):
+            item = [rng.choice(vocab) for _ in range(size)]
+            v = (edited(rng, item, vocab, decontaminate.edit_limit(size)) + [rng.choice(vocab) for _ in range(size)])[:size]
+            a, b = (decontaminate.cgk_samples(decontaminate.coded(" ".join(x))[None, :], 300, 1)[0] for x in (item, v))
+            agree.append((a == b).mean())
+    assert least - 0.1 <= np.mean(agree)
 
-def test_leaks_against_brute_force():
+
+def test_leaks_against_brute_force(spark):
     rng = random.Random(2)
-    words = [f"w{i}" for i in range(300)]
-    items = [(i, " ".join(rng.choice(words) for _ in range(rng.randint(10, 40)))) for i in range(20)]
-    index, found, planted = decontaminate.LeakIndex([*items, (98, None), (99, "too short")]), 0, 0
-    for _ in range(200):
-        item_id, text = rng.choice(items)
-        v = text.split()
-        edits = rng.randint(0, int(0.3 * len(v)))
-        for _ in range(edits):
-            p = rng.randrange(len(v))
-            v[p : p + rng.randint(0, 1)] = [rng.choice(words)] * rng.randint(0, 1)
-        t = [rng.choice(words) for _ in range(25)]
+    vocab = [f"w{i}" for i in range(300)]
+    sizes = [1, 2, 3, 5, 6, 7, 8, 12, 20, 40]
+    items = {i: [rng.choice(vocab) if n > 1 else f"single{i}" for _ in range(n)] for i, n in enumerate(sizes * 2)}
+    rows = []
+    for k in range(300):
+        item = items[rng.choice(list(items))]
+        v = edited(rng, item, vocab, rng.randint(0, decontaminate.edit_limit(len(item)) + 1)) if k % 3 else list(item)
+        t = [rng.choice(vocab) for _ in range(25)]
         t[10:10] = v
-        limit = int(decontaminate.MAX_EDITS * len(text.split()))
-        near = edit_distance(text.split(), v) <= limit
-        said = {i for i, d, _ in index.search(" ".join(t).upper())}
-        planted += near
-        found += near and item_id in said
-        for i in said:  # exact verification: nothing that is farther than the limit
-            w = items[i][1].split()
-            assert min(edit_distance(w, t[a:b]) for a in range(len(t)) for b in range(a + len(w) - limit - 6, min(len(t), a + len(w) + 7)) if b > a) <= int(decontaminate.MAX_EDITS * len(w))
-    assert found >= 0.95 * planted > 20
-    assert index.search(None) == index.search("") == index.search("w1") == []
+        rows.append((k, " ".join(t).upper(), "en", "a", 1))
+    docs = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    bench = spark.createDataFrame([(i, " ".join(v)) for i, v in items.items()] + [(98, None), (None, "x " * 30), (99, " .!")], "item_id long, text string")
+    got = {r["doc_id"]: {x["item_id"]: x["distance"] for x in r["leaks"]} for r in decontaminate.find_leaks(docs, bench).collect()}
+    wanted = {(k, i): d for k, text, *_ in rows for i, v in items.items() if (d := nearest(v, text.lower().split())) <= decontaminate.edit_limit(len(v))}
+    said = {(k, i): d for k, found in got.items() for i, d in found.items()}
+    assert not set(said) - set(wanted) and all(wanted[k] <= d for k, d in said.items())
+    exact = {k for k, d in wanted.items() if d == 0}
+    assert exact <= set(said)  # a copy is found whatever its length
+    at_limit = {k for k, d in wanted.items() if 0 < d == decontaminate.edit_limit(len(items[k[1]]))}
+    assert len(at_limit) > 20 and len(at_limit & set(said)) >= 0.95 * len(at_limit)
+    assert len(set(said)) >= 0.98 * len(wanted)
 
 
 def test_leaks_in_frames(spark):
-    docs = spark.createDataFrame([*awkward(), (70, "before " + " ".join(f"q{i}" for i in range(20)) + " after", "en", "a", 1)], SCHEMA)
-    bench = spark.createDataFrame([(5, " ".join(f"Q{i}" for i in range(20))), (6, None), (None, "x " * 30)], "item_id long, text string")
+    rows = [*awkward(), (70, "before " + " ".join(f"q{i}" for i in range(20)) + " after", "en", "a", 1), (None, "q3 q4 q5", "en", "a", 1), (71, "この文章は漏れたら困る問題です。", "ja", "a", 1)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    bench = spark.createDataFrame([(5, " ".join(f"Q{i}" for i in range(20))), (6, None), (None, "x " * 30), (7, "q4 Q5"), (8, "漏れたら困る問題")], "item_id long, text string")
     leaks = {r["doc_id"]: [x["item_id"] for x in r["leaks"]] for r in decontaminate.find_leaks(docs, bench).collect()}
-    assert leaks[70] == [5] and not any(v for k, v in leaks.items() if k != 70)
+    assert leaks[70] == [5, 7] and leaks[None] == [7] and leaks[71] == [8] and not any(v for k, v in leaks.items() if k not in (70, None, 71))
     assert decontaminate.clean(docs, bench).count() == len(awkward())
-    assert decontaminate.clean(docs, bench.limit(0)).count() == len(awkward()) + 1
+    assert decontaminate.clean(docs, bench.limit(0)).count() == len(rows)
     assert decontaminate.clean(docs.limit(0), bench).columns == docs.columns
+    odd = docs.withColumnsRenamed({"lang": "of_id", "source": "row"}).withColumn("leaks", F.lit("mine"))
+    assert decontaminate.find_leaks(odd, bench).columns == odd.columns and decontaminate.clean(odd, bench).columns == odd.columns
 
 
 def water_fill(sizes, weights, ratio=1.5, cap=2.0):
@@ -189,6 +248,14 @@ def test_mix_misses_a_target_only_by_a_document_of_half_the_source(spark):
         assert abs(part.taken.sum() - target) <= nearest + 0.02 * target + 2
 
 
+def test_mix_spreads_rows_of_one_id(spark):
+    rows = [(None if i % 2 else 7, f"text {i} " + "word " * (i % 9), "en", "a", 1) for i in range(400)] + [(8, "the same", "en", "a", 1)] * 200 + crowd(50)
+    got = mixing.mix(spark.createDataFrame(rows, SCHEMA).repartition(3), block=20).toPandas()
+    assert len(got) == len(rows)
+    for _, part in got[got.source == "a"].groupby("source"):
+        assert abs(part.taken.sum() - part.target.iloc[0]) <= 0.02 * part.target.iloc[0] + 2
+
+
 def test_flight_keeps_totals():
     rng = np.random.default_rng(0)
     size = np.floor(rng.lognormal(4, 1, 500)) + 1

@@ -1,4 +1,5 @@
 import hashlib
+import random
 import re
 from collections import Counter
 
@@ -42,6 +43,22 @@ def test_ratio_tells_target_from_raw(spark):
     assert rules.judge(docs.limit(0), labels.limit(0)).count() == 0
 
 
+def test_without_a_target_the_base_rules_decide(spark):
+    docs = spark.createDataFrame(awkward() + crowd(30), SCHEMA)
+    for rows in ([], [(100, 0, 0), (9999, 1, 0)]):
+        labels = spark.createDataFrame(rows, "doc_id long, quality int, toxic int")
+        got = rules.judge(docs, labels).collect()
+        assert all(r["llr"] == 0.0 and r["kept"] != r["base_failed"] for r in got) and any(r["kept"] for r in got)
+
+
+def test_labels_beyond_the_broadcast_bound_give_the_same(spark, monkeypatch):
+    docs = spark.createDataFrame(crowd(40), SCHEMA).repartition(3)
+    labels = spark.createDataFrame([(100 + i, i % 2, 0) for i in range(40)], "doc_id long, quality int, toxic int")
+    few = sorted(map(tuple, rules.judge(docs, labels).collect()))
+    monkeypatch.setattr(rules, "BROADCAST_IDS", 0)
+    assert sorted(map(tuple, rules.judge(docs, labels).collect())) == few
+
+
 def luhn(d):
     return sum(x if i % 2 == 0 else (2 * x - 9 if x > 4 else 2 * x) for i, x in enumerate(map(int, reversed(d)))) % 10 == 0
 
@@ -97,3 +114,60 @@ def test_contexts_find_unseen_identifiers(spark):
     assert clean[0] == "contact: [EMAIL] today" and clean[50] == "contact: [ID] today" and clean[52] is None
     assert pii.redact(docs).count() == len(rows)
     assert pii.find(docs.limit(0)).count() == 0 and pii.redact(docs.limit(0)).columns == docs.columns
+
+
+def test_planted_tokens_are_found_and_clean_texts_left_alone(spark):
+    rng = random.Random(8)
+    hexes = lambda: "".join(rng.choice("0123456789abcdef") for _ in range(40))
+    prose = lambda: " ".join(rng.choice(["the", "of", "river", "stone", "7 days", "v1234-5", "on 2024-01-15", "chapter12"]) for _ in range(12))
+    rows, planted, unseen = [], {}, {}
+    for i in range(60):
+        rows.append((i, f"{prose()} token = \"{(t := hexes())}\" {prose()}", "en", "a", 1))
+        planted[i] = t
+    for i in range(60, 70):  # no random look, only the context
+        t = f"key-{rng.randint(1000, 9999)}"
+        rows.append((i, f"{prose()} token = \"{t}\" {prose()}", "en", "a", 1))
+        unseen[i] = t
+    rows += [(i, f"{prose()} {prose()} order 12345678 page A1234567", "en", "a", 1) for i in range(100, 200)]
+    found = {r["doc_id"]: [dict(rows_of)[r["doc_id"]][s["start"] : s["end"]] for s in r["spans"]] for rows_of in [[(r[0], r[1]) for r in rows]] for r in pii.find(spark.createDataFrame(rows, SCHEMA).repartition(3)).collect()}
+    caught = sum(found[i] == [t] for i, t in (planted | unseen).items())
+    assert caught >= 0.9 * len(planted | unseen)
+    assert sum(not found[i] for i in range(100, 200)) >= 99
+
+
+def score_by_hand(graph, rounds):
+    """The same scoring over plain dictionaries."""
+    belief = {h: 1.0 for p, h, base, seed in graph if seed}
+    for _ in range(rounds):
+        mean = {}
+        for p in {g[0] for g in graph}:
+            own = [1.0 if seed else belief.get(h, 0.0) for q, h, base, seed in graph if q == p]
+            if sum(v >= pii.MIN_CONFIDENCE for v in own) >= pii.MIN_SUPPORT and sum(own) / len(own) >= pii.MIN_CONFIDENCE:
+                mean[p] = min(0.999, sum(own) / len(own))
+        left = {}
+        for p, h, base, seed in graph:
+            if not base and p in mean:
+                left[h] = left.get(h, 1.0) * (1 - mean[p])
+        belief = {h: 1 - v for h, v in left.items()}
+    return belief
+
+
+def test_graph_scores_against_plain_ones(spark):
+    rng = random.Random(3)
+    graph = {(f"p{rng.randint(0, 12)}", f"h{rng.randint(0, 60)}") for _ in range(260)}
+    graph = [(p, h, int(h[1:]) < 20, int(h[1:]) < 30) for p, h in sorted(graph)]
+    got = {r["hit"]: r["score"] for r in pii.score_graph(spark.createDataFrame(graph, "pattern string, hit string, base boolean, seed boolean")).collect()}
+    want = score_by_hand(graph, pii.ROUNDS)
+    assert got.keys() == want.keys() and all(abs(got[h] - want[h]) < 1e-9 for h in want) and len(set(want.values())) > 5
+
+
+def test_redaction_with_clashing_names_and_long_texts(spark, monkeypatch):
+    digits = "7" * 1_000_000
+    rows = [(1, "mail a.b@c.de now", 1, 2, 3), (1, "other x.y@z.de", 1, 2, 3), (None, "no id q@r.st", 4, 5, 6), (2, None, 0, 0, 0), (3, digits + " 1.2.3.4 " + "+" * 1000, 0, 0, 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _id int, _hash int, _spans int").withColumnsRenamed({"_id": "spans", "_hash": "row"})
+    for bound in (pii.BROADCAST_BYTES, 0):
+        monkeypatch.setattr(pii, "BROADCAST_BYTES", bound)
+        out = pii.redact(docs)
+        assert out.columns == docs.columns
+        got = {(r["doc_id"], r["text"]) for r in out.collect()}
+        assert got == {(1, "mail [EMAIL] now"), (1, "other [EMAIL]"), (None, "no id [EMAIL]"), (2, None), (3, digits + " [IP] " + "+" * 1000)}
