@@ -11,8 +11,7 @@ predecessor had seen.
 
 from __future__ import annotations
 
-from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -21,11 +20,13 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barloom.llm.common import beside, bounded_sample, settled_labels
+from barloom.llm.common import beside, bounded_sample, settled_labels, stash
 from barloom.llm.quality import hash_order
 
 #: Bound of the labelled sample: documents of each label.
 SAMPLE_PER_LABEL = 2500
+#: Toxic documents that a telling term has at least.
+LEAST_DOCS = 4
 MAX_TERMS = 400
 MAX_CATEGORIES = 6
 FOLDS = 5
@@ -67,36 +68,31 @@ class Chain:
     links: tuple[np.ndarray, ...]  # weights: terms, earlier probabilities, intercept
     base: float
 
-    def features(self, sets: list[set[str]]) -> np.ndarray:
+    def features(self, texts: list[str | None]) -> np.ndarray:
         at = {t: i for i, t in enumerate(self.names)}
-        out = np.zeros((len(sets), len(at)))
-        for row, found in enumerate(sets):
-            out[row, [at[t] for t in found if t in at]] = 1.0
+        out = np.zeros((len(texts), len(at)))
+        for row, text in enumerate(texts):
+            out[row, [at[t] for t in terms(text) if t in at]] = 1.0
         return out
 
     def predict(self, texts: list[str | None]) -> np.ndarray:
         """Probabilities of the categories in chain order, the label last."""
         if not self.links:
             return np.full((len(texts), 1), self.base)
-        x = self.features([terms(t) for t in texts])
+        x = self.features(texts)
         found = np.zeros((len(texts), 0))
         for w in self.links:
             found = np.hstack([found, _chance(np.hstack([x, found]), w)[:, None]])
         return found
 
 
-def _telling_terms(sets: list[set[str]], y: np.ndarray) -> list[str]:
-    """Terms whose share of toxic documents is beyond chance, the most telling first."""
-    n1, n0 = max(1, int(y.sum())), max(1, int((1 - y).sum()))
-    with_, without = Counter(), Counter()
-    for s, label in zip(sets, y, strict=True):
-        (with_ if label else without).update(s)
+def _telling_terms(counts: Iterable[tuple[str, int, int]], n1: int, n0: int) -> list[str]:
+    """Of terms with their numbers of toxic and other documents, those whose toxic share is beyond chance, the most telling first."""
     scored = []
-    for term, a in with_.items():
-        b = without[term]
+    for term, a, b in counts:
         odds = np.log((a + 0.5) / (n1 - a + 0.5)) - np.log((b + 0.5) / (n0 - b + 0.5))
         z = odds / np.sqrt(1 / (a + 0.5) + 1 / (n1 - a + 0.5) + 1 / (b + 0.5) + 1 / (n0 - b + 0.5))
-        if a >= 4 and z > 3.0 and odds > 1.5:
+        if a >= LEAST_DOCS and z > 3.0 and odds > 1.5:
             scored.append((-z, term))
     return [t for _, t in sorted(scored)[:MAX_TERMS]]
 
@@ -117,13 +113,15 @@ def _categories(x: np.ndarray, y: np.ndarray) -> list[list[int]]:
     return groups
 
 
-def train(sets: list[set[str]], y: np.ndarray) -> Chain:
-    """Fit the chain on the terms of labelled texts; without both labels it predicts the share of toxic ones."""
-    base = float((y.sum() + 0.05) / (len(y) + 1)) if len(y) else 0.05
-    names = _telling_terms(sets, y) if 0 < y.sum() < len(y) else []
+def base_rate(y: np.ndarray) -> float:
+    return float((y.sum() + 0.05) / (len(y) + 1)) if len(y) else 0.05
+
+
+def train(names: list[str], x: np.ndarray, y: np.ndarray) -> Chain:
+    """Fit the chain on the telling terms that labelled documents use; without any it predicts the share of toxic ones."""
+    base = base_rate(y)
     if not names:
         return Chain((), (), (), base)
-    x = Chain(tuple(names), (), (), base).features(sets)
     groups = _categories(x, y)
     goals = [((x[:, g].max(axis=1) > 0) & (y == 1)).astype(float) for g in groups] + [y.astype(float)]
     fold = np.arange(len(y)) % FOLDS
@@ -142,21 +140,38 @@ def fit(docs: DataFrame, labels: DataFrame, per_label: int = SAMPLE_PER_LABEL) -
     """Learn from a bounded sample of the labelled documents, each as a whole.
 
     Null ids, other labels and ids labelled both ways are left out; of repeated
-    and equal texts one counts. Empty tables give a chain of no links.
+    and equal texts one counts. Empty tables give a chain of no links. Terms are
+    counted in Spark; the driver gets those of LEAST_DOCS toxic documents, and of
+    each document which of the telling ones it uses.
     """
     # at most 2 x per_label ids
     ids = F.broadcast(bounded_sample(settled_labels(labels, "doc_id", "toxic"), "doc_id", "toxic", per_label))
 
     @F.pandas_udf("array<string>")
     def terms_of(texts: pd.Series) -> pd.Series:
-        return pd.Series([sorted(terms(t)) for t in texts], dtype=object)
+        return pd.Series([list(terms(t)) for t in texts], dtype=object)
 
     sampled = docs.select("doc_id", "text").join(ids, "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
     # copies of a text would make their own words look telling
-    apart = sampled.groupBy(F.sha2(F.coalesce("text", F.lit("")), 256).alias("of"), "toxic").agg(F.min("doc_id").alias("doc_id"), F.min("text").alias("text"))
-    rows = apart.select("doc_id", "toxic", terms_of("text").alias("terms")).collect()
-    order = sorted(rows, key=lambda r: (hash_order(r["doc_id"]), r["doc_id"]))
-    return train([set(r["terms"]) for r in order], np.array([r["toxic"] for r in order], dtype=float))
+    apart = stash(sampled.groupBy(F.sha2(F.coalesce("text", F.lit("")), 256).alias("of"), "toxic").agg(F.min("doc_id").alias("doc_id"), F.min("text").alias("text")))
+    n = {r["toxic"]: r["n"] for r in apart.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    names: list[str] = []
+    if len(n) == 2:
+        used = apart.select("toxic", F.explode(terms_of("text")).alias("term"))
+        counts = used.groupBy("term").agg(F.sum("toxic").alias("a"), F.sum(1 - F.col("toxic")).alias("b")).filter(F.col("a") >= LEAST_DOCS)
+        names = _telling_terms((tuple(r) for r in counts.collect()), n[1], n[0])
+    at = {t: i for i, t in enumerate(names)}
+
+    @F.pandas_udf("array<int>")
+    def columns(texts: pd.Series) -> pd.Series:
+        return pd.Series([[at[t] for t in terms(text) if t in at] for text in texts], dtype=object)
+
+    rows = apart.select("doc_id", "toxic", columns("text").alias("columns")).collect()
+    order = sorted(rows, key=lambda r: (hash_order(r["doc_id"]), r["doc_id"], r["toxic"]))
+    x, y = np.zeros((len(order), len(names))), np.array([r["toxic"] for r in order], dtype=float)
+    for k, r in enumerate(order):
+        x[k, r["columns"]] = 1.0
+    return train(names, x, y)
 
 
 def score(docs: DataFrame, chain: Chain, threshold: float = THRESHOLD) -> DataFrame:

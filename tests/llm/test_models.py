@@ -84,17 +84,17 @@ def test_toxicity_chain(spark):
     assert toxicity.clean(docs.limit(5), toxicity.fit(docs.limit(0), labels.limit(0))).count() == 5
 
 
-def test_chain_learns_categories():
+def test_chain_learns_categories(spark):
     rng = random.Random(1)
     words = [f"w{c}{d}" for c in "abcdefgh" for d in "klmnop"]
-    texts, y = [], []
+    rows, labels = [], []
     for i in range(400):
         t = [rng.choice(words) for _ in range(30)]
         if i % 4 == 0:
             t += rng.sample(["grumble", "snarl"] if i % 8 else ["hexes", "curse"], 2)
-        texts.append(" ".join(t))
-        y.append(float(i % 4 == 0))
-    chain = toxicity.train([toxicity.terms(t) for t in texts], np.array(y))
+        rows.append((i, " ".join(t), "en", "a", 1))
+        labels.append((i, 0, int(i % 4 == 0)))
+    chain = toxicity.fit(spark.createDataFrame(rows, SCHEMA), spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
     assert len(chain.links) == len(chain.categories) + 1 >= 3
     p = chain.predict(["wak grumble", "curse hexes", "wak wbl", "", None])[:, -1]
     assert min(p[:2]) > 0.5 > max(p[2:])
