@@ -6,11 +6,12 @@ are the index: items and item-sized windows of the texts are joined on them, and
 the exact edit distance between item and text decides.
 
 A window within k edits of an item of L words keeps at least L - 1 - 2k of the
-item's word pairs. A bitmap of all pairs of the benchmark, whose size is bounded,
-shows which windows hold that many pairs of any items; no other window can match,
-so only those are walked. It names no item and no place. Items too short for an
-edit are searched word for word. Benchmark and windows are tables; nothing but the
-bitmap and the item lengths reaches the driver.
+item's word pairs. A bitmap of the benchmark's pairs, whose size is bounded, shows
+which windows hold that many pairs of items of their length; no other window can
+match, so only those are walked. The bitmap names no item and no place. Items too
+short for an edit are searched word for word. Benchmark and hashes are tables and
+joined as such; nothing but two bitmaps (of pairs, and of the items' hashes, to
+keep others from the join) and the item lengths reaches the driver.
 """
 
 from __future__ import annotations
@@ -31,12 +32,16 @@ from barloom.llm.common import stash
 MAX_EDITS = 0.15
 SAMPLED = 4
 RECALL = 0.99
+#: Repetitions that sample one walk.
+TABLES = 6
 #: Share of equal walk positions of a pair at the edit limit, as measured in the tests.
 AGREEMENT = 0.55
-#: Bits of the bitmap for each word pair of the benchmark, and its bounds.
-BITS_PER_PAIR = 64
+#: Bits of a bitmap for each hash in it, and its bounds.
+BITS_PER_HASH = 64
 LEAST_BITS, MOST_BITS = 1 << 20, 1 << 29
-#: Findings up to this many bytes go to all texts; more are joined by shuffle.
+#: Windows that a task walks at once.
+WINDOWS = 4096
+#: Findings, and samples of the items, up to this many bytes go to all texts; more are joined by shuffle.
 BROADCAST_BYTES = 32 << 20
 SPACED = bytes(b if b > 127 or chr(b).isalnum() else 32 for b in range(256))
 #: Scripts written without blanks: each character is a word.
@@ -72,9 +77,23 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
-def pair_places(codes: np.ndarray, bits: int) -> np.ndarray:
-    """The bit of each pair of neighbouring words."""
-    return (_mixed(codes[:-1] * np.uint64(0x9E3779B97F4A7C15) + codes[1:]) & np.uint64(bits - 1)).astype(np.int64)
+def pair_hashes(codes: np.ndarray) -> np.ndarray:
+    """A hash of each pair of neighbouring words."""
+    return _mixed(codes[:-1] * np.uint64(0x9E3779B97F4A7C15) + codes[1:])
+
+
+def of_size(hashes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """What pairs (or single words) are called as parts of items of so many words."""
+    return _mixed(hashes + sizes.astype(np.uint64) * np.uint64(0xD1342543DE82EF95))
+
+
+def item_marks(codes: np.ndarray) -> np.ndarray:
+    """The hashes by which a bitmap knows an item: its pairs as such, and as those of an item of its length."""
+    size = np.array([len(codes)])
+    if len(codes) == 1:
+        return of_size(codes, size)
+    pairs = pair_hashes(codes)
+    return np.concatenate([pairs, of_size(pairs, size)])
 
 
 def walk_positions(size: int, reps: int, sampled: int = SAMPLED) -> np.ndarray:
@@ -85,29 +104,38 @@ def walk_positions(size: int, reps: int, sampled: int = SAMPLED) -> np.ndarray:
 
 
 def cgk_samples(windows: np.ndarray, reps: int, sampled: int = SAMPLED) -> np.ndarray:
-    """Hashes of sampled positions of the CGK walk of each window (rows of equal length), one column per repetition.
+    """Hashes of sampled positions of the CGK walks of each window (rows of equal length), one column per repetition.
 
-    The walk writes the symbol under its pointer and moves on when a random bit
-    of (repetition, step, symbol) says so, for three steps per symbol.
+    A walk writes the symbol under its pointer and moves on when a random bit of
+    (walk, step, symbol) says so, for three steps per symbol. TABLES repetitions
+    sample one walk, each at its own positions.
     """
     n, size = windows.shape
-    padded = np.hstack([windows.astype(np.uint64) + np.uint64(1), np.zeros((n, 1), dtype=np.uint64)])
-    rep = np.arange(reps, dtype=np.uint64)
+    symbols = np.hstack([windows.astype(np.uint64) + np.uint64(1), np.zeros((n, 1), dtype=np.uint64)]).ravel()
+    walks = -(-reps // TABLES)
     chosen = walk_positions(size, reps, sampled)
-    pointer = np.zeros((n, reps), dtype=np.int64)
-    out = np.zeros((n, reps), dtype=np.uint64)
-    rows = np.arange(n)[:, None]
+    by_step: dict[int, list[int]] = {}
+    for k, steps in enumerate(chosen.tolist()):
+        for step in set(steps):
+            by_step.setdefault(step, []).append(k)
+    walk = (np.arange(walks, dtype=np.uint64) * np.uint64(0x2545F4914F6CDD1D))[:, None]
+    pointer = np.tile(np.arange(n, dtype=np.int64) * (size + 1), (walks, 1))
+    last = (np.arange(n, dtype=np.int64) * (size + 1) + size)[None, :]
+    out = np.tile(np.arange(reps, dtype=np.uint64)[:, None], (1, n))
     for step in range(int(chosen.max()) + 1):
-        symbol = padded[rows, pointer]
-        for k in np.nonzero((chosen == step).any(axis=1))[0]:
-            out[:, k] = _mixed(out[:, k] * np.uint64(0x9E3779B97F4A7C15) + symbol[:, k] + np.uint64(step))
-        bit = _mixed(symbol * np.uint64(0xD1342543DE82EF95) + rep[None, :] * np.uint64(0x2545F4914F6CDD1D) + np.uint64(step)) >> np.uint64(63)
-        pointer = np.minimum(pointer + bit.astype(np.int64), size)
-    return out
-
-
-def edits_within(item: np.ndarray, text: np.ndarray) -> int:
-    """Smallest edit distance between the item and any stretch of the text."""
+        symbol = symbols[pointer]
+        for k in by_step.get(step, ()):
+            out[k] = _mixed(out[k] * np.uint64(0x9E3779B97F4A7C15) + symbol[k // TABLES] + np.uint64(step))
+        moved = symbol * np.uint64(0xD1342543DE82EF95) + (walk + np.uint64(step * 0x81DADEF4BC2DD44D & (1 << 64) - 1))
+        moved ^= moved >> np.uint64(29)
+        moved *= np.uint64(0x7FB5D329728EA185)
+        pointer += (moved >> np.uint64(63)).astype(np.int64)
+        np.minimum(pointer, last, out=pointer)
+    return out.T
+
+
+def edits_within(item: np.ndarray, text: np.ndarray) -> tuple[int, int]:
+    """Smallest edit distance between the item and any stretch of the text, and where the first such stretch ends."""
     ramp = np.arange(len(text) + 1)
     row = np.zeros(len(text) + 1, dtype=np.int64)
     for k, symbol in enumerate(item):
@@ -115,33 +143,52 @@ def edits_within(item: np.ndarray, text: np.ndarray) -> int:
         best[0] = k + 1
         np.minimum(row[1:] + 1, row[:-1] + (text != symbol), out=best[1:])
         row = np.minimum.accumulate(best - ramp) + ramp  # insertions
-    return int(row.min())
+    end = int(row.argmin())
+    return int(row[end]), end
 
 
 class WindowFinder:
-    """Windows of a text that hold enough pairs of the benchmark, for each of the item lengths."""
+    """Windows of a text that hold enough pairs of items of their length."""
 
     def __init__(self, bitmap: np.ndarray, sizes: list[int], max_edits: float):
-        self.bitmap, self.bits = bitmap, len(bitmap) * 8
-        self.sizes = [(n, edit_limit(n, max_edits)) for n in sorted(sizes) if n > 1]
+        self.bitmap = bitmap
+        self.single = 1 in sizes
+        self.sizes = np.array([n for n in sorted(sizes) if n > 1], dtype=np.int64)
+        self.limits = [edit_limit(int(n), max_edits) for n in self.sizes]
+        self.needs = np.array([n - 1 - 2 * k for n, k in zip(self.sizes, self.limits, strict=True)], dtype=np.int64)
         # the shortest items need the fewest pairs, and the longest windows hold the most
-        self.least = min((n - 1 - 2 * k for n, k in self.sizes), default=1 << 40)
-        self.widest = max((n + k - 1 for n, k in self.sizes), default=0)
+        self.least = int(self.needs.min()) if len(self.needs) else 1 << 40
+        self.widest = max((int(n) + k - 1 for n, k in zip(self.sizes, self.limits, strict=True)), default=0)
 
     def search(self, codes: np.ndarray) -> Iterator[tuple[int, int, np.ndarray]]:
         """(length, limit, starts) wherever there are such windows."""
+        if self.single and len(codes):
+            starts = np.nonzero(_in(self.bitmap, of_size(codes, np.array([1]))))[0]
+            if len(starts):
+                yield 1, 0, starts
         if len(codes) < 2:
             return
-        at = pair_places(codes, self.bits)
-        known = self.bitmap[at >> 3] >> (at & 7).astype(np.uint8) & 1
-        sums = np.concatenate([[0], np.cumsum(known)])
-        if sums[-1] < self.least or self._within(sums, self.widest).max() < self.least:
+        pairs = pair_hashes(codes)
+        where = np.nonzero(_in(self.bitmap, pairs))[0]
+        if len(where) < self.least or (where[self.least - 1 :] - where[: len(where) - self.least + 1]).min() >= self.widest:
             return
-        for size, limit in self.sizes:
-            starts = np.nonzero(self._within(sums, size + limit - 1) >= size - 1 - 2 * limit)[0]
-            starts = np.unique(np.minimum(starts, max(0, len(codes) - size)))
-            if len(starts) and len(codes) >= size - limit:
-                yield size, limit, starts
+        own = _in(self.bitmap, of_size(pairs[where][:, None], self.sizes[None, :]))
+        for k in np.nonzero(own.sum(axis=0) >= self.needs)[0]:
+            size, limit, need = int(self.sizes[k]), self.limits[k], int(self.needs[k])
+            at = where[own[:, k]]
+            # enough of them within reach of one window
+            if (at[need - 1 :] - at[: len(at) - need + 1]).min() >= size + limit - 1 or len(codes) < size - limit:
+                continue
+            sums = np.zeros(len(pairs) + 1, dtype=np.int64)
+            sums[at + 1] = 1
+            sums = np.cumsum(sums)
+            enough = self._within(sums, size + limit - 1) >= need
+            # of the windows that overlap by half, those with nearly the most pairs: an item's own start is within k of them
+            held = np.where(enough, self._within(sums, size - 1), -1)
+            around = np.lib.stride_tricks.sliding_window_view(np.pad(held, size // 2, constant_values=-1), 2 * (size // 2) + 1)
+            near = np.nonzero(enough)[0]
+            starts = near[held[near] >= around[near].max(axis=1) - limit]
+            yield size, limit, np.unique(np.minimum(starts, max(0, len(codes) - size)))
 
     @staticmethod
     def _within(sums: np.ndarray, width: int) -> np.ndarray:
@@ -162,30 +209,22 @@ def _items(benchmark: DataFrame, max_edits: float) -> DataFrame:
     return benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").filter(F.col("item_id").isNotNull() & F.col("text").isNotNull()).mapInPandas(emit, "item_id long, size int, codes array<long>")
 
 
-def _samples(rows: DataFrame, key: str, reps: int) -> DataFrame:
-    """(key, size, rep, hash) of the walks of rows with ``codes``."""
+def _index(items: DataFrame, reps: int) -> DataFrame:
+    """(size, hash, item_id) of the walks of the items."""
 
     def emit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for size, part in batch.groupby("size"):
-                for low in range(0, len(part), 512):
-                    some = part.iloc[low : low + 512]
-                    hashes = cgk_samples(np.vstack(list(some["codes"])).astype(np.int64).view(np.uint64), reps)
-                    yield pd.DataFrame({key: np.repeat(some[key].to_numpy(), reps), "size": np.int32(size), "rep": np.tile(np.arange(reps, dtype=np.int32), len(some)), "hash": hashes.astype(np.int64).ravel()})
+                hashes = cgk_samples(np.vstack(list(part["codes"])).astype(np.int64).view(np.uint64), reps)
+                yield pd.DataFrame({"size": np.int32(size), "hash": hashes.astype(np.int64).ravel(), "item_id": np.repeat(part["item_id"].to_numpy(), reps)})
 
-    return rows.select(key, "size", "codes").mapInPandas(emit, f"{key} long, size int, rep int, hash long")
+    return items.mapInPandas(emit, "size int, hash long, item_id long")
 
 
-def _bitmap(items: DataFrame) -> np.ndarray:
-    """Bitmap of all word pairs of the items, MOST_BITS at most."""
-    pairs = items.agg(F.sum("size")).first()[0] or 0
-    bits = min(MOST_BITS, max(LEAST_BITS, 1 << (BITS_PER_PAIR * pairs).bit_length()))
-
-    @F.pandas_udf("array<long>")
-    def places(codes: pd.Series) -> pd.Series:
-        return pd.Series([np.unique(pair_places(np.asarray(c, dtype=np.int64).view(np.uint64), bits)) for c in codes], dtype=object)
-
-    at = items.filter("size > 1").select(F.explode(places("codes")).alias("at"))
+def _bitmap(hashes: DataFrame, many: int) -> np.ndarray:
+    """Bitmap of a column ``hash``, MOST_BITS at most."""
+    bits = min(MOST_BITS, max(LEAST_BITS, 1 << (BITS_PER_HASH * many).bit_length()))
+    at = hashes.select((F.col("hash").bitwiseAND(F.lit(bits - 1).cast("long"))).alias("at"))
     set_ = at.groupBy(F.shiftright("at", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at & 63 as int))")).alias("mask"))
     out = np.zeros(bits // 64, dtype=np.uint64)
     for row in set_.toLocalIterator():
@@ -193,47 +232,82 @@ def _bitmap(items: DataFrame) -> np.ndarray:
     return out.view(np.uint8)
 
 
+def _in(bitmap: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    at = (hashes & np.uint64(len(bitmap) * 8 - 1)).astype(np.int64)
+    return (bitmap[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
+
+
+def _stacked(found: list[tuple[int, np.ndarray, np.ndarray]], size: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Windows of several texts under each other, with their texts' places and their starts, WINDOWS at a time or few more."""
+    held, many = [], 0
+    for place, codes, starts in found:
+        line = np.concatenate([codes, np.zeros(size, dtype=np.uint64)])
+        for few in np.array_split(starts, -(-len(starts) // WINDOWS)):
+            held.append((line[few[:, None] + np.arange(size)[None, :]], np.full(len(few), place), few))
+            many += len(few)
+            if many >= WINDOWS:
+                yield tuple(np.concatenate(x) for x in zip(*held, strict=True))
+                held, many = [], 0
+    if held:
+        yield tuple(np.concatenate(x) for x in zip(*held, strict=True))
+
+
 def leaks(docs: DataFrame, benchmark: DataFrame, max_edits: float = MAX_EDITS) -> DataFrame:
     """of_id, of_hash and ``leaks`` of the texts into which items leak."""
-    items = stash(_items(benchmark, max_edits))
+    items, reps = stash(_items(benchmark, max_edits)), repetitions()
+    index = stash(_index(items, reps))
     sizes = [r[0] for r in items.select("size").distinct().collect()]
-    bitmap = docs.sparkSession.sparkContext.broadcast(_bitmap(items))
-    reps = repetitions()
+
+    @F.pandas_udf("array<long>")
+    def marks(codes: pd.Series) -> pd.Series:
+        return pd.Series([item_marks(np.asarray(c, dtype=np.int64).view(np.uint64)).astype(np.int64) for c in codes], dtype=object)
+
+    pairs = items.agg(F.sum("size")).first()[0] or 0
+    shared = docs.sparkSession.sparkContext.broadcast((_bitmap(items.select(F.explode(marks("codes")).alias("hash")), 2 * pairs), _bitmap(index, index.count())))
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def emit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        finder = WindowFinder(bitmap.value, sizes, max_edits)
-        singles = 1 in sizes
+        """Regions of the texts with the index's hashes that windows in them have."""
+        known, sampled = shared.value
+        finder = WindowFinder(known, sizes, max_edits)
         for batch in batches:
-            for of_id, of_hash, text in zip(batch["of_id"], batch["of_hash"], batch["text"], strict=True):
+            by_size: dict[tuple[int, int], list[tuple[int, np.ndarray, np.ndarray]]] = {}
+            for place, text in enumerate(batch["text"]):
                 codes = coded(text)
-                found = list(finder.search(codes))
-                if singles and len(codes):
-                    first = np.unique(codes, return_index=True)[1]
-                    found.append((1, 0, np.sort(first)))
-                for size, limit, starts in found:
-                    for low in range(0, len(starts), 2048):
-                        some = starts[low : low + 2048]
-                        line = np.concatenate([codes, np.zeros(size, dtype=np.uint64)])
-                        windows = line[some[:, None] + np.arange(size)[None, :]]
-                        around = [codes[max(0, s - limit) : s + size + limit].astype(np.int64) for s in some]
-                        rows = pd.DataFrame({"of_hash": of_hash, "size": np.int32(size), "start": some.astype(np.int32), "window": [np.int64(np.uint64(xxhash.xxh3_64_intdigest(w.tobytes()))) for w in windows], "codes": list(windows.astype(np.int64)), "around": around})
-                        rows.insert(0, "of_id", pd.Series([of_id] * len(rows), dtype=batch["of_id"].dtype))
-                        yield rows
-
-    rows = docs.select(F.col("doc_id").alias("of_id"), F.xxhash64("text").alias("of_hash"), "text").filter("text is not null")
-    windows = stash(rows.mapInPandas(emit, f"of_id {kind}, of_hash long, size int, start int, window long, codes array<long>, around array<long>"))
-    # a passage of many documents is walked once
-    walked = windows.groupBy("window").agg(F.min("size").alias("size"), F.min("codes").alias("codes"))
-    met = _samples(walked, "window", reps).join(_samples(items, "item_id", reps), ["size", "rep", "hash"]).select("window", "item_id").distinct()
-    proposed = windows.select("of_id", "of_hash", "window", "start", "around").join(stash(met), "window").join(items.select("item_id", "codes"), "item_id")
-
-    @F.pandas_udf("int")
-    def distance(item: pd.Series, around: pd.Series) -> pd.Series:
-        return pd.Series([edits_within(i, a) for i, a in zip(item, around, strict=True)], dtype="int32")
-
-    near = proposed.withColumn("distance", distance("codes", "around")).filter(F.col("distance") <= F.floor(F.size("codes") * F.lit(max_edits)))
-    best = near.groupBy("of_id", "of_hash", "item_id").agg(F.min(F.struct("distance", "start")).alias("best"))
+                for size, limit, starts in finder.search(codes):
+                    by_size.setdefault((size, limit), []).append((place, codes, starts))
+            for (size, limit), found in by_size.items():
+                hits: dict[tuple[int, int], set[int]] = {}
+                for windows, places, starts in _stacked(found, size):
+                    hashes = cgk_samples(windows, reps)
+                    met = _in(sampled, hashes)
+                    for row in np.nonzero(met.any(axis=1))[0]:
+                        # windows that begin within one stretch of the item's size share a region
+                        hits.setdefault((int(places[row]), int(starts[row]) // size), set()).update(hashes[row, met[row]].tolist())
+                if not hits:
+                    continue
+                codes_of = {place: codes for place, codes, _ in found}
+                rows = [(size, max(0, k * size - limit), codes_of[place][max(0, k * size - limit) : (k + 2) * size + limit].astype(np.int64), np.array(sorted(some), dtype=np.uint64).astype(np.int64)) for (place, k), some in hits.items()]
+                out = batch[["of_id", "of_hash"]].iloc[[place for place, _ in hits]].reset_index(drop=True)
+                yield pd.concat([out, pd.DataFrame(rows, columns=["size", "start", "around", "hashes"]).astype({"size": np.int32, "start": np.int32})], axis=1)
+
+    texts = docs.select(F.col("doc_id").alias("of_id"), F.xxhash64("text").alias("of_hash"), "text").filter("text is not null")
+    regions = stash(texts.mapInPandas(emit, f"of_id {kind}, of_hash long, size int, start int, around array<long>, hashes array<long>"))
+    if 64 * index.count() <= BROADCAST_BYTES:
+        index = F.broadcast(index)
+    key = ["of_id", "of_hash", "size", "start"]
+    met = regions.select(*key, F.explode("hashes").alias("hash")).join(index, ["size", "hash"]).select(*key, "item_id").distinct()
+    again = [F.col(f"r.{c}").eqNullSafe(F.col(f"m.{c}")) for c in key]
+    proposed = regions.alias("r").join(met.alias("m"), again).select("r.of_id", "r.of_hash", "r.size", "r.start", "r.around", "m.item_id")
+    proposed = proposed.join(items.select("item_id", "size", "codes"), ["item_id", "size"])
+
+    @F.pandas_udf("distance int, at int")
+    def nearest(item: pd.Series, around: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([edits_within(i, a) for i, a in zip(item, around, strict=True)], columns=["distance", "at"]).astype("int32")
+
+    near = proposed.withColumn("n", nearest("codes", "around")).filter(F.col("n.distance") <= F.floor(F.col("size") * F.lit(max_edits)))
+    place = F.greatest(F.lit(0), F.col("start") + F.col("n.at") - F.col("size")).alias("start")
+    best = near.groupBy("of_id", "of_hash", "item_id").agg(F.min(F.struct(F.col("n.distance").alias("distance"), place)).alias("best"))
     leak = F.struct(F.col("item_id"), F.col("best.distance").alias("distance"), F.col("best.start").alias("start"))
     return best.groupBy("of_id", "of_hash").agg(F.array_sort(F.collect_list(leak)).alias("leaks"))
 
