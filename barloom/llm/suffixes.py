@@ -4,9 +4,9 @@ A window is a string of 100 bytes. Each has an anchor, the 40-byte gram in it wi
 the smallest hash (the leftmost of equals), so equal windows have equal anchors at
 equal places. Neighbouring windows with one anchor form a run. Runs are the
 suffixes that get sorted: by their leading token (the anchor's hash), then by the
-hash of all their bytes, then by place. Sampled splitters deal them to ranges,
-each range sorts on its own, neighbours are compared, and the rows at the edges of
-ranges are compared across them. Equal runs repeat whole. Runs that
+hash of all their bytes, then by place. Splitters from a sample of the documents
+deal them to ranges, each range sorts on its own, neighbours are compared, and the
+rows at the edges of ranges are compared across them. Equal runs repeat whole. Runs that
 share an anchor but differ somewhere are compared window by window, and for that
 the first run of each content is enough.
 """
@@ -30,6 +30,8 @@ GRAM = 40
 SEGMENT = 1 << 19
 #: Small results up to this many bytes go to the texts; larger ones are joined by shuffle.
 BROADCAST_BYTES = 32 << 20
+#: Documents whose rows give the splitters.
+SAMPLE_DOCS = 4000
 
 _M = 0x5851F42D4C957F2D
 _INVERSE = pow(_M, -1, 1 << 64)
@@ -93,24 +95,67 @@ def _bytes(text: str | None) -> bytes:
 RUN = "leading long, content long, doc_id long, start long, windows int"
 
 
-def suffixes(docs: DataFrame) -> DataFrame:
-    def emit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            ids = batch["doc_id"].astype("Int64")
-            for low in range(0, len(batch), 256):
-                parts = [(i, runs(_bytes(t))) for i, t in zip(ids.iloc[low : low + 256], batch["text"].iloc[low : low + 256], strict=True)]
-                sizes = [len(p[0]) for _, p in parts]
-                columns = [np.concatenate([p[k] for _, p in parts]) for k in range(4)]
-                yield pd.DataFrame({"leading": columns[0], "content": columns[1], "doc_id": pd.array(np.repeat([-1 if i is pd.NA else i for i, _ in parts], sizes), dtype="Int64"), "start": columns[2], "windows": columns[3].astype(np.int32)})
+def _suffix_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        ids = batch["doc_id"].astype("Int64")
+        for low in range(0, len(batch), 256):
+            parts = [(i, runs(_bytes(t))) for i, t in zip(ids.iloc[low : low + 256], batch["text"].iloc[low : low + 256], strict=True)]
+            sizes = [len(p[0]) for _, p in parts]
+            columns = [np.concatenate([p[k] for _, p in parts]) for k in range(4)]
+            yield pd.DataFrame({"leading": columns[0], "content": columns[1], "doc_id": np.repeat(np.array([i for i, _ in parts], dtype=np.int64), sizes), "start": columns[2], "windows": columns[3].astype(np.int32)})
+
+
+def _window_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        for doc_id, text, own in zip(batch["doc_id"], batch["text"], batch["runs"], strict=True):
+            data = np.frombuffer(_bytes(text), dtype=np.uint8)
+            if len(data) < WINDOW:
+                continue
+            starts = np.concatenate([np.arange(r["start"], r["start"] + r["windows"]) for r in own])
+            starts = np.unique(starts[starts <= len(data) - WINDOW])
+            yield pd.DataFrame({"window": rolling(data, WINDOW)[starts].astype(np.int64), "doc_id": np.int64(doc_id), "start": starts})
+
+
+def dealt(rows: np.ndarray, splitters: np.ndarray) -> np.ndarray:
+    """The range of each row (columns in sort order): how many splitters are not greater than it."""
+    at = np.searchsorted(splitters[:, 0], rows[:, 0], side="left").astype(np.int64)
+    # only rows whose first column a splitter has need the other columns
+    close = np.nonzero((at < len(splitters)) & (splitters[np.minimum(at, len(splitters) - 1), 0] == rows[:, 0]))[0]
+    if len(close):
+        both = np.vstack([splitters, rows[close]])
+        order = np.lexsort((np.concatenate([np.zeros(len(splitters), dtype=np.int8), np.ones(len(close), dtype=np.int8)]), *both.T[::-1]))
+        passed = np.cumsum(order < len(splitters))
+        own = order >= len(splitters)
+        at[close[order[own] - len(splitters)]] = passed[own]
+    return at
+
+
+def in_ranges(docs: DataFrame, make, schema: str, order: list[str]) -> DataFrame:
+    """The rows that ``make`` gives for the documents, dealt to ranges of ``order`` and sorted in each.
+
+    The splitters are quantiles of the rows of about SAMPLE_DOCS documents, chosen
+    by a hash of the id; so the rows themselves are made once. They cut between
+    places too, so the rows of one frequent key may spread over ranges.
+    """
+    spark = docs.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    step = max(1, docs.count() // SAMPLE_DOCS)
+    few = docs.filter(F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(step)) == 0).mapInPandas(make, schema).select(*order)
+    sample = few.toPandas().to_numpy(dtype=np.int64).reshape(-1, len(order))
+    sample = sample[np.lexsort(sample.T[::-1])]
+    shared = spark.sparkContext.broadcast(sample[(np.arange(1, n) * len(sample)) // n] if len(sample) else sample)
 
-    return docs.select("doc_id", "text").filter("doc_id is not null").mapInPandas(emit, RUN)
+    def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in make(batches):
+            yield rows.assign(part=dealt(rows[order].to_numpy(dtype=np.int64), shared.value).astype(np.int32) if len(shared.value) else np.int32(0))
 
+    return docs.mapInPandas(deal, f"{schema}, part int").repartitionById(n, F.col("part")).sortWithinPartitions(*order).drop("part")
 
-def sorted_neighbours(rows: DataFrame, keys: list[str], shared: bool) -> DataFrame:
-    """Sort rows by keys and place in ranges, and mark with ``again`` those whose keys an earlier row has.
 
-    Sampled splitters cut between places too, so one key's rows may spread over
-    ranges. The first and last rows of all ranges (two a range) show where a key
+def sorted_neighbours(docs: DataFrame, make, schema: str, keys: list[str], shared: bool) -> DataFrame:
+    """Sort the rows that ``make`` gives by keys and place in ranges, and mark with ``again`` those whose keys an earlier row has.
+
+    The first and last rows of all ranges (two a range) show where a key
     goes on. Only marked rows come back, without their keys, and with ``shared``
     also the first rows of keys whose first column another key has.
     """
@@ -152,10 +197,8 @@ def sorted_neighbours(rows: DataFrame, keys: list[str], shared: bool) -> DataFra
         if held is not None:
             yield marked(held, True)[0]
 
-    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema)
-    found = stash(rows.repartitionByRange(n, *order).sortWithinPartitions(*order).mapInPandas(compare, f"{schema}, again boolean, edge boolean"))
-    release(rows.sparkSession)
+    found = stash(in_ranges(docs, make, schema, order).mapInPandas(compare, f"{schema}, again boolean, edge boolean"))
+    release(docs.sparkSession)
     place = F.struct("doc_id", "start")
     # two rows a range at most
     earliest = F.broadcast(found.filter("edge").groupBy(*keys).agg(F.min(place).alias("_first")))
@@ -172,7 +215,8 @@ def _to_texts(docs: DataFrame, small: DataFrame, size: Column, how: str = "inner
 
 def repeats(docs: DataFrame) -> DataFrame:
     """doc_id, starts and ends (arrays) of the windows that also start earlier, neighbours joined to stretches."""
-    rows = sorted_neighbours(suffixes(docs), ["leading", "content"], True)
+    texts = docs.select("doc_id", "text").filter("doc_id is not null")
+    rows = sorted_neighbours(texts, _suffix_rows, RUN, ["leading", "content"], True)
     # runs that repeat an earlier one whole
     whole = rows.filter("again").select("doc_id", "start", (F.col("start") + F.col("windows") + WINDOW - 1).alias("end"))
     firsts = rows.filter("not again")
@@ -180,19 +224,8 @@ def repeats(docs: DataFrame) -> DataFrame:
     several = firsts.groupBy("leading").agg(F.countDistinct("content").alias("contents")).filter("contents > 1").select("leading")
     partly = firsts.join(several, "leading").groupBy("doc_id").agg(F.collect_list(F.struct("start", "windows")).alias("runs"))
 
-    def hashes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for doc_id, text, own in zip(batch["doc_id"], batch["text"], batch["runs"], strict=True):
-                data = np.frombuffer(_bytes(text), dtype=np.uint8)
-                if len(data) < WINDOW:
-                    continue
-                starts = np.concatenate([np.arange(r["start"], r["start"] + r["windows"]) for r in own])
-                starts = np.unique(starts[starts <= len(data) - WINDOW])
-                yield pd.DataFrame({"doc_id": doc_id, "start": starts, "window": rolling(data, WINDOW)[starts].astype(np.int64)})
-
-    texts = docs.select("doc_id", "text").filter("doc_id is not null")
-    windows = _to_texts(texts, partly, F.size("runs") * 16).mapInPandas(hashes, "doc_id long, start long, window long")
-    single = sorted_neighbours(windows, ["window"], False).filter("again").select("doc_id", "start", (F.col("start") + WINDOW).alias("end"))
+    windows = _to_texts(texts, partly, F.size("runs") * 16)
+    single = sorted_neighbours(windows, _window_rows, "window long, doc_id long, start long", ["window"], False).filter("again").select("doc_id", "start", (F.col("start") + WINDOW).alias("end"))
     return whole.unionByName(single).groupBy("doc_id").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("spans")).select("doc_id", F.col("spans.start").alias("starts"), F.col("spans.end").alias("ends"))
 
 
