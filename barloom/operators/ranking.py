@@ -105,33 +105,52 @@ def fill_by_sector(rows: DataFrame, column: str, default: float = 20.0) -> DataF
     return rows.withColumns({f"{column}_imputed": F.col(column).isNull(), column: F.coalesce(F.col(column), by_sector, by_all, F.lit(default))})
 
 
+def sector_scores(rows: DataFrame) -> DataFrame:
+    """Percentile of the sector's strength and of the stock's margin over it."""
+    out = rows.withColumn("vs_sector", F.round(F.col("rel_strength") - F.col("sector_rs"), 9))
+    return out.withColumn("sector_strength", 60 * F.coalesce(pct_rank("sector_rs", "trade_date"), F.lit(0.5)) + 40 * F.coalesce(pct_rank("vs_sector", "trade_date"), F.lit(0.5)))
+
+
 def attach_sector(rows: DataFrame, sector_rs: DataFrame) -> DataFrame:
     """The latest known sector strength (carried forward) and its percentile and the stock's margin over it."""
-    filled = sector_rs.withColumn("sector_rs", F.last("sector_rs", ignorenulls=True).over(Window.partitionBy("sector").orderBy("trade_date").rowsBetween(Window.unboundedPreceding, 0)))
-    joined = rows.join(filled.select("sector", "trade_date", "sector_rs"), ["sector", "trade_date"], "left")
-    out = joined.withColumn("vs_sector", F.col("rel_strength") - F.col("sector_rs"))
-    return out.withColumn("sector_strength", 60 * F.coalesce(pct_rank("sector_rs", "trade_date"), F.lit(0.5)) + 40 * F.coalesce(pct_rank("vs_sector", "trade_date"), F.lit(0.5)))
+    filled = sector_rs.withColumn("sector_rs", F.round(F.last("sector_rs", ignorenulls=True).over(Window.partitionBy("sector").orderBy("trade_date").rowsBetween(Window.unboundedPreceding, 0)), 9))
+    return sector_scores(rows.join(filled.select("sector", "trade_date", "sector_rs"), ["sector", "trade_date"], "left"))
+
+
+def own_sector(rows: DataFrame) -> DataFrame:
+    """The same for sector strengths that are means of the rows themselves: a window instead of a join."""
+    return sector_scores(rows.withColumn("sector_rs", F.round(F.avg("rel_strength").over(Window.partitionBy("trade_date", "sector")), 9)))
+
+
+def clipped(column: str, *keys: str, low: float = 0.05, high: float = 0.95) -> Column:
+    """A column clipped at two quantiles of the date; quantiles interpolate."""
+    edges = F.percentile(column, [low, high]).over(Window.partitionBy(*(keys or DATE)))
+    return F.when(F.col(column).isNotNull(), F.greatest(edges[0], F.least(edges[1], F.col(column))))
 
 
 def winsorise(rows: DataFrame, column: str, low: float = 0.05, high: float = 0.95, *keys: str) -> DataFrame:
-    """Clip at two quantiles of the date; quantiles interpolate."""
-    keys = keys or DATE
-    edges = rows.groupBy(*keys).agg(F.percentile(column, F.lit(low)).alias("_lo"), F.percentile(column, F.lit(high)).alias("_hi"))
-    return rows.join(edges, list(keys), "left").withColumn(column, F.when(F.col(column).isNotNull(), F.greatest("_lo", F.least("_hi", column)))).drop("_lo", "_hi")
+    return rows.withColumn(column, clipped(column, *keys, low=low, high=high))
+
+
+def centred(column: str, *keys: str) -> Column:
+    return F.col(column) - F.percentile(column, F.lit(0.5)).over(Window.partitionBy(*(keys or DATE), "sector"))
 
 
 def demean(rows: DataFrame, column: str, *keys: str) -> DataFrame:
-    return rows.withColumn(column, F.col(column) - F.percentile(column, F.lit(0.5)).over(Window.partitionBy(*(keys or DATE), "sector")))
+    return rows.withColumn(column, centred(column, *keys))
 
 
 def composite(rows: DataFrame, weights: dict[str, float] | None = None) -> DataFrame:
-    """Winsorise, de-mean by sector where due, turn into percentiles and weigh; rank overall and within the sector."""
+    """Winsorise, de-mean by sector where due, turn into percentiles and weigh; rank overall and within the sector.
+
+    All factors go through each step together, so that one window by date clips
+    them and one by sector centres them. Factors are rounded first, so that ties
+    do not hang on the last digit.
+    """
     weights = weights or WEIGHTS
-    out = rows.withColumns({f"f_{c}": F.col(c) for c in weights})
-    for c in weights:
-        out = winsorise(out, f"f_{c}")
-        if c in DEMEANED:
-            out = demean(out, f"f_{c}")
+    out = rows.withColumns({f"f_{c}": F.round(c, 6) for c in weights})
+    out = out.withColumns({f"f_{c}": clipped(f"f_{c}") for c in weights})
+    out = out.withColumns({f"f_{c}": F.round(centred(f"f_{c}"), 9) for c in weights if c in DEMEANED})
     scores = [w * 100 * F.coalesce(pct_rank(f"f_{c}", "trade_date"), F.lit(0.5)) for c, w in weights.items()]
     out = out.withColumn("composite", sum(scores[1:], scores[0])).drop(*[f"f_{c}" for c in weights])
     # ties by symbol after rounding, so that order does not hang on the last digit
@@ -213,9 +232,7 @@ def factors(bars: DataFrame, master: DataFrame) -> DataFrame:
 def rank_all_days(bars: DataFrame, master: DataFrame) -> DataFrame:
     """The ranking of every day."""
     rows = factors(bars, master)
-    sector = rows.groupBy("sector", "trade_date").agg(F.avg("rel_strength").alias("sector_rs"))
-    scored = composite(attach_sector(rows, sector))
-    judged = confidence(penalties(eligibility(scored)))
+    judged = confidence(penalties(eligibility(composite(own_sector(rows)))))
     return judged.withColumn("adjusted", clip(F.col("composite") - F.col("penalty"), 0, 100))
 
 
@@ -228,12 +245,11 @@ def rank_latest(bars: DataFrame, master: DataFrame, n: int = 25, history: int =
 
     near = tail(bars, history)
     rows = latest(year_high(averages(volume_stats(returns(atr(adx(near))))))).withColumn("session", F.col("trade_date"))
-    end = rows.agg(F.max("trade_date").alias("_end"))
-    rows = rows.join(F.broadcast(end)).withColumn("trade_date", F.col("_end")).drop("_end")
+    # one row a symbol is left, and all of them are one cross-section
+    rows = rows.withColumn("trade_date", F.max("trade_date").over(Window.partitionBy()))
     rows = rows.withColumn("liquidity_pct", pct_rank(close_() * volume_(), "trade_date")).join(master, "symbol_id", "left").withColumn("sector", F.coalesce("sector", F.lit("Other")))
     rows = proximity(above_long_average(trend_score(volume_intensity(acceleration(relative_strength(rows))))))
-    sector = rows.groupBy("sector", "trade_date").agg(F.avg("rel_strength").alias("sector_rs"))
-    judged = confidence(penalties(eligibility(composite(attach_sector(rows, sector)))))
+    judged = confidence(penalties(eligibility(composite(own_sector(rows)))))
     judged = judged.withColumn("adjusted", clip(F.col("composite") - F.col("penalty"), 0, 100))
     return top(judged.filter("eligible"), n)
 

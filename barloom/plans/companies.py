@@ -19,6 +19,9 @@ R = Registry()
 KEY = ["symbol_id", "trade_date"]
 SQL["pan"] = f"SELECT symbol_id, trade_date, close, high, low, volume, round(close / nullif(lag(close, 20) {W}, 0) - 1, 6) AS s, round(lead(close, 5) {W} / nullif(close, 0) - 1, 6) AS fwd_5, lead(trade_date, 5) {W} AS matured_5, round(lead(close, 20) {W} / nullif(close, 0) - 1, 6) AS fwd_20, lead(trade_date, 20) {W} AS matured_20 FROM bars"
 NEEDS["pan"] = ["bars"]
+#: Returns as they are: means of rounded ones may fall on a half of the last digit.
+SQL["raw"] = f"SELECT symbol_id, trade_date, close / nullif(lag(close, 20) {W}, 0) - 1 AS s, lead(close, 5) {W} / nullif(close, 0) - 1 AS fwd_5 FROM bars"
+NEEDS["raw"] = ["bars"]
 
 
 def pan(s, d):
@@ -28,6 +31,12 @@ def pan(s, d):
     return b.withColumns({"s": F.round(F.col("close") / F.nullif(F.lag("close", 20).over(along()), F.lit(0.0)) - 1, 6), "fwd_5": F.round("fwd_5", 6), "fwd_20": F.round("fwd_20", 6)})
 
 
+def raw(s, d):
+    from barloom.functions.stats import along
+
+    return mk.forward(bars(s, d), 5).withColumn("s", F.col("close") / F.nullif(F.lag("close", 20).over(along()), F.lit(0.0)) - 1)
+
+
 SUMM = lambda v: f"count(*) AS n, {r(f'avg({v})', 'mean')}, {r(f'quantile_cont({v}, 0.5)', 'median')}, {r(f'avg(CASE WHEN {v} > 0 THEN 1.0 ELSE 0 END)', 'win_rate')}"
 R.add("out1_forward", lambda s, d: pan(s, d).select(*KEY, "fwd_5", "matured_5", "fwd_20", "matured_20"), "pan", "SELECT symbol_id, trade_date, fwd_5, matured_5, fwd_20, matured_20 FROM pan")
 RANKD = "row_number() OVER (PARTITION BY trade_date ORDER BY s DESC, symbol_id)"
@@ -44,7 +53,7 @@ def banded(s, d):
 SQL["bnd"] = f"SELECT *, {BAND} AS band FROM (SELECT *, {RANKD} AS k FROM pan WHERE s IS NOT NULL)"
 NEEDS["bnd"] = ["pan"]
 R.add("out2_bands", lambda s, d: out.summary(banded(s, d), "fwd_20", "band"), "bnd", f"SELECT band, {SUMM('fwd_20')} FROM bnd WHERE fwd_20 IS NOT NULL GROUP BY band")
-R.add("out3_buckets", lambda s, d: out.summary(pan(s, d).join(master(s, d), "symbol_id"), "fwd_5", "sector"), "pan master", f"SELECT sector, {SUMM('fwd_5')} FROM pan JOIN master USING (symbol_id) WHERE fwd_5 IS NOT NULL GROUP BY sector")
+R.add("out3_buckets", lambda s, d: out.summary(raw(s, d).join(master(s, d), "symbol_id"), "fwd_5", "sector"), "raw master", f"SELECT sector, {SUMM('fwd_5')} FROM raw JOIN master USING (symbol_id) WHERE fwd_5 IS NOT NULL GROUP BY sector")
 R.add("out4_against_control", lambda s, d: out.against_control(pan(s, d).withColumn("bucket", F.when(F.col("symbol_id") % 4 == 0, "control").otherwise(F.concat(F.lit("b"), (F.col("symbol_id") % 4).cast("string")))), "fwd_5"), "pan", f"WITH x AS (SELECT *, CASE WHEN symbol_id % 4 = 0 THEN 'control' ELSE 'b' || (symbol_id % 4) END AS bucket FROM pan WHERE fwd_5 IS NOT NULL), c AS (SELECT trade_date, avg(fwd_5) AS c FROM x WHERE bucket = 'control' GROUP BY 1) SELECT bucket, count(*) AS n, {r('avg(fwd_5 - c)', 'edge')} FROM x JOIN c USING (trade_date) WHERE bucket <> 'control' GROUP BY bucket")
 IC = lambda keys: f"SELECT {keys + ', ' if keys else ''}count(*) AS n, {r('CASE WHEN count(*) >= 3 AND NOT isnan(corr(a, b)) THEN corr(a, b) END', 'ic')} FROM x {'GROUP BY ' + keys if keys else ''}"
 R.add("out5_spearman", lambda s, d: out.spearman(pan(s, d), "s", "fwd_20"), "pan", f"WITH k AS (SELECT * FROM pan WHERE s IS NOT NULL AND fwd_20 IS NOT NULL), x AS (SELECT {pct('s')} AS a, {pct('fwd_20')} AS b FROM k) {IC('')}")
@@ -66,7 +75,7 @@ R.add("out35_periods", lambda s, d: out.summary(out.long_horizons(banded(s, d).w
 R.add("out37_best_worst", lambda s, d: out.best_and_worst(pan(s, d), "fwd_20", 30, 5), "pan", "WITH m AS (SELECT symbol_id, count(*) AS n, round(avg(fwd_20), 6) AS mean FROM pan WHERE fwd_20 IS NOT NULL GROUP BY 1 HAVING count(*) >= 30) SELECT * FROM (SELECT *, 'best' AS side FROM m ORDER BY mean DESC, symbol_id LIMIT 5) UNION ALL SELECT * FROM (SELECT *, 'worst' AS side FROM m ORDER BY mean, symbol_id LIMIT 5)")
 R.add("out38_opposite_run", lambda s, d: out.first_opposite_run(mk.classify(mk.weekly(bars(s, d))), "S4", 2), "stg", "WITH x AS (SELECT *, row_number() OVER (PARTITION BY symbol_id ORDER BY week_end) - row_number() OVER (PARTITION BY symbol_id, stage ORDER BY week_end) AS k FROM stg), g AS (SELECT symbol_id, k, count(*) AS l, min(week_end) AS since FROM x WHERE stage = 'S4' GROUP BY 1, 2 HAVING count(*) >= 2) SELECT symbol_id, min(since) AS since, arg_min(l, since) AS length FROM g GROUP BY 1")
 R.add("ml1_labels", lambda s, d: out.top_labels(pan(s, d), "fwd_5").select(*KEY, "label"), "pan", "SELECT symbol_id, trade_date, CAST(fwd_5 >= quantile_cont(fwd_5, 0.6) OVER (PARTITION BY trade_date) AS INTEGER) AS label FROM pan WHERE fwd_5 IS NOT NULL")
-R.add("ml7_precision", lambda s, d: out.top_decile_precision(out.top_labels(pan(s, d), "fwd_5").filter("s is not null"), "s", "label", "fwd_5"), "pan", f"WITH x AS (SELECT *, CASE WHEN fwd_5 >= quantile_cont(fwd_5, 0.6) OVER (PARTITION BY trade_date) THEN 1.0 ELSE 0 END AS l FROM pan WHERE fwd_5 IS NOT NULL), y AS (SELECT *, {RANKD} AS k, count(*) OVER (PARTITION BY trade_date) AS c FROM x WHERE s IS NOT NULL) SELECT trade_date, count(*) AS n, {r('avg(l)', 'precision')}, {r('avg(fwd_5)', 'mean_return')} FROM y WHERE k <= ceil(0.1 * c) GROUP BY 1")
+R.add("ml7_precision", lambda s, d: out.top_decile_precision(out.top_labels(raw(s, d), "fwd_5").filter("s is not null"), "s", "label", "fwd_5"), "raw", f"WITH x AS (SELECT *, CASE WHEN fwd_5 >= quantile_cont(fwd_5, 0.6) OVER (PARTITION BY trade_date) THEN 1.0 ELSE 0 END AS l FROM raw WHERE fwd_5 IS NOT NULL), y AS (SELECT *, {RANKD} AS k, count(*) OVER (PARTITION BY trade_date) AS c FROM x WHERE s IS NOT NULL) SELECT trade_date, count(*) AS n, {r('avg(l)', 'precision')}, {r('avg(fwd_5)', 'mean_return')} FROM y WHERE k <= ceil(0.1 * c) GROUP BY 1")
 BIN = " + ".join(f"CASE WHEN x.s > q{k} THEN 1 ELSE 0 END" for k in range(1, 10))
 QS = ", ".join(f"quantile_cont(s, {k / 10}) AS q{k}" for k in range(1, 10))
 R.add("ml8_psi", lambda s, d: out.psi(pan(s, d).filter("trade_date < '1999-01-01'"), pan(s, d).filter("trade_date >= '1999-01-01'"), "s"), "pan", f"WITH e AS (SELECT {QS} FROM pan WHERE trade_date < DATE '1999-01-01'), b AS (SELECT {BIN} AS bin, trade_date < DATE '1999-01-01' AS ref FROM pan x, e WHERE s IS NOT NULL), c AS (SELECT bin, count(*) FILTER (WHERE ref) AS r, count(*) FILTER (WHERE NOT ref) AS c FROM b GROUP BY 1), p AS (SELECT greatest(r * 1.0 / sum(r) OVER (), 1e-6) AS pr, greatest(c * 1.0 / sum(c) OVER (), 1e-6) AS pc FROM c) SELECT {r('sum((pc - pr) * ln(pc / pr))', 'psi')} FROM p")
@@ -127,7 +136,9 @@ R.add("ev11_catalysts", lambda s, d: co.catalysts(events(s, d)), "ev", "WITH x A
 R.add("ev12_trusted", lambda s, d: events(s, d).join(trust(s, d), "source").filter("trust >= 80").select("event_id"), "ev", "SELECT event_id FROM ev WHERE source = 0")
 
 FIFO = """r AS (SELECT *, sum(qty) OVER (PARTITION BY account, instrument, side ORDER BY executed_on, l_orderkey, l_linenumber, price, qty ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS e FROM trades),
-m AS (SELECT b.account, b.instrument, least(b.e, s.e) - greatest(b.e - b.qty, s.e - s.qty) AS qty, b.executed_on AS bought_on, s.executed_on AS sold_on, b.price AS bp, s.price AS sp FROM r b JOIN r s ON b.account = s.account AND b.instrument = s.instrument AND b.side = 'BUY' AND s.side = 'SELL' AND b.e - b.qty < s.e AND s.e - s.qty < b.e)"""
+c AS (SELECT account, instrument, e - qty AS a0, max(CASE WHEN side = 'BUY' THEN {'p': price, 'd': executed_on, 'e': e} END) AS b, max(CASE WHEN side = 'SELL' THEN {'p': price, 'd': executed_on, 'e': e} END) AS s FROM r GROUP BY ALL),
+f AS (SELECT account, instrument, a0, lead(a0) OVER w AS nx, last_value(b IGNORE NULLS) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS b, last_value(s IGNORE NULLS) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS s FROM c WINDOW w AS (PARTITION BY account, instrument ORDER BY a0)),
+m AS (SELECT account, instrument, least(coalesce(nx, b.e), b.e, s.e) - a0 AS qty, b.d AS bought_on, s.d AS sold_on, b.p AS bp, s.p AS sp FROM f WHERE b IS NOT NULL AND s IS NOT NULL AND least(coalesce(nx, b.e), b.e, s.e) > a0)"""
 R.add("tj1_fifo", lambda s, d: co.fifo(trades(s, d)), "trades", f"WITH {FIFO} SELECT account, instrument, {r('qty', 'qty')}, bought_on, sold_on, {r('qty * (sp - bp)', 'pnl')} FROM m")
 NET = "net AS (SELECT account, instrument, sum(CASE WHEN side = 'BUY' THEN qty ELSE -qty END) AS net_qty, max(executed_on) AS last_fill, count(*) AS fills FROM trades GROUP BY 1, 2 HAVING sum(CASE WHEN side = 'BUY' THEN qty ELSE -qty END) <> 0)"
 net = lambda s, d: co.net_positions(trades(s, d))

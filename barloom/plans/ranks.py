@@ -87,22 +87,18 @@ def sectored(s, d):
 
 
 FACTORS = f"""fa AS (SELECT snap.*, adx, atr_14, {RS} AS rel_strength, {TREND} AS trend, greatest(0.0, least(100.0, 100 * close / nullif(high_52w, 0))) AS proximity, close * volume AS tv FROM snap JOIN adx USING (symbol_id)),
-fb AS (SELECT *, {pct('tv')} AS liquidity_pct, avg(rel_strength) OVER (PARTITION BY sector) AS sector_rs, rel_strength - avg(rel_strength) OVER (PARTITION BY sector) AS vs_sector FROM fa),
+fb AS (SELECT *, {pct('tv')} AS liquidity_pct, round(avg(rel_strength) OVER (PARTITION BY sector), 9) AS sector_rs, round(rel_strength - round(avg(rel_strength) OVER (PARTITION BY sector), 9), 9) AS vs_sector FROM fa),
 fc AS (SELECT *, 60 * {p('sector_rs')} + 40 * {p('vs_sector')} AS sector_strength FROM fb)"""
 R.add("rk13_attach_sector", lambda s, d: sectored(s, d).select("symbol_id", "sector_rs"), "bars master", f"WITH {BASE}, {TREND_SQL}, {FACTORS} SELECT symbol_id, {r('sector_rs', 'sector_rs')} FROM fc")
 #: Factors are rounded on both sides before they are ranked, so that ties are the same.
-R.add("rk16_composite", lambda s, d: rk.composite(_even(sectored(s, d)), {"rel_strength": 0.38, "trend": 0.22, "proximity": 0.4}).select("symbol_id", "composite", "rank", "sector_rank", "sector_size"), "bars master", f"""WITH {BASE}, {TREND_SQL}, {FACTORS}, q AS (SELECT symbol_id, sector, round(rel_strength, 6) AS a, round(trend, 6) AS b, round(proximity, 6) AS c FROM fc),
+R.add("rk16_composite", lambda s, d: rk.composite(sectored(s, d), {"rel_strength": 0.38, "trend": 0.22, "proximity": 0.4}).select("symbol_id", "composite", "rank", "sector_rank", "sector_size"), "bars master", f"""WITH {BASE}, {TREND_SQL}, {FACTORS}, q AS (SELECT symbol_id, sector, round(rel_strength, 6) AS a, round(trend, 6) AS b, round(proximity, 6) AS c FROM fc),
 e AS (SELECT quantile_cont(a, 0.05) AS la, quantile_cont(a, 0.95) AS ha, quantile_cont(b, 0.05) AS lb, quantile_cont(b, 0.95) AS hb, quantile_cont(c, 0.05) AS lc, quantile_cont(c, 0.95) AS hc FROM q),
 w AS (SELECT symbol_id, sector, greatest(la, least(ha, a)) AS a, greatest(lb, least(hb, b)) AS b, greatest(lc, least(hc, c)) AS c FROM q, e),
-m AS (SELECT symbol_id, sector, a - quantile_cont(a, 0.5) OVER (PARTITION BY sector) AS a, b - quantile_cont(b, 0.5) OVER (PARTITION BY sector) AS b, c FROM w),
+m AS (SELECT symbol_id, sector, round(a - quantile_cont(a, 0.5) OVER (PARTITION BY sector), 9) AS a, round(b - quantile_cont(b, 0.5) OVER (PARTITION BY sector), 9) AS b, c FROM w),
 t AS (SELECT symbol_id, sector, 38 * {p('a')} + 22 * {p('b')} + 40 * {p('c')} AS composite FROM m)
 SELECT symbol_id, {r('composite', 'composite')}, CAST(row_number() OVER (ORDER BY round(composite, 6) DESC, symbol_id) AS INTEGER) AS rank, CAST(row_number() OVER (PARTITION BY sector ORDER BY round(composite, 6) DESC, symbol_id) AS INTEGER) AS sector_rank, count(*) OVER (PARTITION BY sector) AS sector_size FROM t""")
 
 
-def _even(rows):
-    return rows.withColumns({c: F.round(c, 6) for c in ("rel_strength", "trend", "proximity")})
-
-
 RANKED = f"ranked AS (SELECT symbol_id, {RS} AS composite FROM snap)"
 
 
@@ -147,7 +143,15 @@ def panel(s, d):
 
 R.add("rk30_information", lambda s, d: rk.information(panel(s, d), "s", "o", 5), "bars", f"""WITH {PANEL}, k AS (SELECT * FROM panel WHERE s IS NOT NULL AND o IS NOT NULL), x AS (SELECT trade_date, o, {pct('s', 'trade_date')} AS ps, {pct('o', 'trade_date')} AS po, row_number() OVER (PARTITION BY trade_date ORDER BY s DESC, symbol_id) AS a, row_number() OVER (PARTITION BY trade_date ORDER BY o DESC, symbol_id) AS b, ntile(10) OVER (PARTITION BY trade_date ORDER BY s DESC, symbol_id) AS t FROM k)
 SELECT trade_date, count(*) AS n, {r('CASE WHEN isnan(corr(ps, po)) THEN NULL ELSE corr(ps, po) END', 'ic')}, {r('avg(CASE WHEN a <= 5 THEN CASE WHEN b <= 5 THEN 1.0 ELSE 0.0 END END)', 'hit_rate')}, {r('avg(CASE WHEN t = 1 THEN o END) - avg(o)', 'lift')} FROM x GROUP BY trade_date""")
-R.add("rk26_rank_latest", lambda s, d: rk.rank_latest(bars(s, d), master(s, d)).select("symbol_id", "sector", "composite", "penalty", "adjusted", "rank"))
+FOUR = ("rel_strength", "trend", "proximity", "sector_strength")
+TOP = f"""WITH {BASE}, {TREND_SQL}, {FACTORS}, q AS (SELECT *, {", ".join(f"round({c}, 6) AS f{k}" for k, c in enumerate(FOUR))} FROM fc),
+e AS (SELECT {", ".join(f"quantile_cont(f{k}, 0.05) AS l{k}, quantile_cont(f{k}, 0.95) AS h{k}" for k in range(4))} FROM q),
+w AS (SELECT q.* REPLACE ({", ".join(f"CASE WHEN f{k} IS NOT NULL THEN greatest(l{k}, least(h{k}, f{k})) END AS f{k}" for k in range(4))}) FROM q, e),
+m AS (SELECT * REPLACE ({", ".join(f"round(f{k} - quantile_cont(f{k}, 0.5) OVER (PARTITION BY sector), 9) AS f{k}" for k in range(2))}) FROM w),
+t AS (SELECT *, 38 * {p('f0')} + 22 * {p('f1')} + 18 * {p('f2')} + 22 * {p('f3')} AS composite, concat_ws(',', {ELIG}) AS rejection, {PEN} AS penalty FROM m),
+u AS (SELECT *, CAST(row_number() OVER (ORDER BY round(composite, 6) DESC, symbol_id) AS INTEGER) AS rank FROM t)
+SELECT symbol_id, sector, {r('composite', 'composite')}, {r('penalty', 'penalty')}, {r('greatest(0.0, least(100.0, composite - penalty))', 'adjusted')}, rank FROM u WHERE rejection = '' ORDER BY round(composite, 6) DESC, symbol_id LIMIT 25"""
+R.add("rk26_rank_latest", lambda s, d: rk.rank_latest(bars(s, d), master(s, d)).select("symbol_id", "sector", "composite", "penalty", "adjusted", "rank"), "bars master", TOP)
 R.add("rk27_rank_all_days", lambda s, d: rk.rank_all_days(bars(s, d), master(s, d)).select("symbol_id", "trade_date", "composite", "rank", "adjusted", "eligible"))
 R.add("rk6_excess_strength", lambda s, d: rk.excess_strength(rk.relative_strength(rk.returns(bars(s, d))), rk.returns(benchmark(bars(s, d)).withColumnRenamed("bench_close", "close").withColumn("symbol_id", F.lit(0)), 20, 60)).select("symbol_id", "trade_date", "excess"), "bars bench", f"""WITH b AS (SELECT trade_date, 100 * (bench_close / nullif(lag(bench_close, 20) OVER (ORDER BY trade_date), 0) - 1) AS b20, 100 * (bench_close / nullif(lag(bench_close, 60) OVER (ORDER BY trade_date), 0) - 1) AS b60 FROM bench),
 a AS (SELECT symbol_id, trade_date, {RETS[20]} AS r20, {RETS[60]} AS r60 FROM bars), x AS (SELECT symbol_id, trade_date, r20 - b20 AS p, r60 - b60 AS q FROM a LEFT JOIN b USING (trade_date))
