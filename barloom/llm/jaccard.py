@@ -37,8 +37,9 @@ BROADCAST_BYTES = 64 << 20
 BYTES_PER_PART = 6 << 20
 #: Hot components are dealt to this many places when their smallest id is handed out.
 SALTS = 16
-#: Rows of text a task holds at once.
+#: Rows of text a task holds at once, and those whose shingles it counts at once.
 ROWS = 512
+COUNTED = 2048
 
 _K = np.uint64(0x9E3779B97F4A7C15)
 
@@ -89,22 +90,22 @@ def frequent_shingles(docs: DataFrame, n_bytes: int) -> tuple[DataFrame, int]:
 
     def emit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            seen: dict[int, np.ndarray] = {}
-            for part in _pieces(batch["text"]):
-                seen.update((node_of(s), s) for s in part if len(s))
-            if not seen:
-                continue
-            keys, counts = np.unique(np.concatenate(list(seen.values())) >> shift, return_counts=True)
-            part = (keys >> np.uint64(32)).astype(np.int64)
-            edge = np.searchsorted(part, np.arange((1 << bits) + 1))
-            low, counts = keys.astype(np.uint32), np.minimum(counts, (1 << 31) - 1).astype(np.int32)
-            rows = []
-            for k in range(1 << bits):
-                a, b = edge[k], edge[k + 1]
-                if a < b:
-                    many = np.nonzero(counts[a:b] > 1)[0].astype(np.int32)
-                    rows.append((k, low[a:b].tobytes(), many.tobytes(), counts[a:b][many].tobytes()))
-            yield pd.DataFrame(rows, columns=["part", "keys", "many", "counts"])
+            for low in range(0, len(batch), COUNTED):
+                seen: dict[int, np.ndarray] = {}
+                for found in _pieces(batch["text"].iloc[low : low + COUNTED]):
+                    seen.update((node_of(s), s) for s in found if len(s))
+                if not seen:
+                    continue
+                keys, counts = np.unique(np.concatenate(list(seen.values())) >> shift, return_counts=True)
+                edge = np.searchsorted(keys >> np.uint64(32), np.arange((1 << bits) + 1, dtype=np.uint64))
+                low_bits, counts = keys.astype(np.uint32), np.minimum(counts, (1 << 31) - 1).astype(np.int32)
+                rows = []
+                for k in range(1 << bits):
+                    a, b = edge[k], edge[k + 1]
+                    if a < b:
+                        many = np.nonzero(counts[a:b] > 1)[0].astype(np.int32)
+                        rows.append((k, low_bits[a:b].tobytes(), many.tobytes(), counts[a:b][many].tobytes()))
+                yield pd.DataFrame(rows, columns=["part", "keys", "many", "counts"])
 
     def add_up(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         keys, counts = [], []
