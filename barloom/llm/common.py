@@ -12,6 +12,9 @@ from barloom.functions.shared import shared_dir
 
 #: Words are maximal runs of characters other than space, \t, \n, \v, \f and \r.
 GAP = r"[\x20\x09-\x0D]+"
+#: Bytes of an Arrow batch of texts; the largest row may exceed it.
+BATCH_KEY = "spark.sql.execution.arrow.maxBytesPerBatch"
+BATCH_BYTES = 8 << 20
 NOT_GAP = r"[^\x20\x09-\x0D]"
 
 
@@ -42,9 +45,17 @@ def n_words(text: Column) -> Column:
     return F.when(inner == "", F.lit(0)).otherwise(F.size(F.split(inner, GAP))).cast("long")
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Let Python tasks get texts in batches of BATCH_BYTES at most, however long the texts are."""
+    now = spark.conf.get(BATCH_KEY, None)
+    if now is None or not now.isdigit() or int(now) > BATCH_BYTES or int(now) <= 0:
+        spark.conf.set(BATCH_KEY, str(BATCH_BYTES))
+
+
 def stash(df: DataFrame) -> DataFrame:
     """Write a result to the shared folder and read it back: later steps neither recompute it nor depend on one executor."""
     spark = df.sparkSession
+    small_batches(spark)
     path = f"{shared_dir(spark)}/barloom-{uuid.uuid4().hex}"
     df.write.parquet(path)
     back = spark.read.schema(df.schema).parquet(path)
