@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, Window, WindowSpec
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 SYMBOL = ("symbol_id",)
@@ -41,3 +41,23 @@ def clip(value: Column, low: float, high: float) -> Column:
 def reasons(*pairs: tuple[Column, str]) -> Column:
     """The names of the conditions that hold, in order; unknown conditions do not hold."""
     return F.array_compact(F.array(*[F.when(cond, F.lit(name)) for cond, name in pairs]))
+
+
+def spread_rank(rows: DataFrame, value: str, name: str, *keys: str, pieces: int = 64) -> DataFrame:
+    """Tie-averaged percentile in (0, 1] within a few large groups, without a window over any of them.
+
+    Distinct values are dealt into pieces of about equal size by cut points;
+    a piece knows how many rows lie before it, and a window places the values
+    within it. Rows take their value's percentile by a join; nulls stay null.
+    Cut points and pieces are broadcast: ``pieces`` rows for each of the keys,
+    which must be few (factors, horizons, bands).
+    """
+    counts = rows.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("_c"))
+    cuts = counts.groupBy(*keys).agg(F.percentile_approx(value, [i / pieces for i in range(1, pieces)], 1000).alias("_cuts"))
+    dealt = (counts.join(F.broadcast(cuts), [*keys]) if keys else counts.join(F.broadcast(cuts))).withColumn("_piece", F.size(F.filter("_cuts", lambda c: c < F.col(value))))
+    before = Window.partitionBy(*keys).orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = dealt.groupBy(*keys, "_piece").agg(F.sum("_c").alias("_size"))
+    sizes = sizes.select(*keys, "_piece", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_before"), F.sum("_size").over(Window.partitionBy(*keys)).alias("_all"))
+    within = Window.partitionBy(*keys, "_piece").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+    placed = dealt.join(F.broadcast(sizes), [*keys, "_piece"]).withColumn(name, (F.col("_before") + F.coalesce(F.sum("_c").over(within), F.lit(0)) + (F.col("_c") + 1) / 2) / F.col("_all"))
+    return rows.join(placed.select(*keys, value, name), [*keys, value], "left")
