@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -19,3 +20,10 @@ def shared_dir(spark: SparkSession) -> str:
         known = "file://" + tempfile.mkdtemp(prefix="barloom-")
         spark.conf.set("barloom.shared.dir", known)
     return known
+
+
+def kept(rows: DataFrame) -> DataFrame:
+    """Rows written to the shared folder once and read back, so that what follows does not work them out again."""
+    path = f"{shared_dir(rows.sparkSession)}/table-{uuid.uuid4().hex}"
+    rows.write.parquet(path)
+    return rows.sparkSession.read.parquet(path)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from barloom.functions.shared import kept
+
 SYMBOL = ("symbol_id",)
 
 
@@ -43,14 +45,14 @@ def reasons(*pairs: tuple[Column, str]) -> Column:
     return F.array_compact(F.array(*[F.when(cond, F.lit(name)) for cond, name in pairs]))
 
 
-def spread_rank(rows: DataFrame, value: str, name: str, *keys: str, pieces: int = 64) -> DataFrame:
-    """Tie-averaged percentile in (0, 1] within a few large groups, without a window over any of them.
+def places(rows: DataFrame, value: str, name: str, *keys: str, pieces: int = 64) -> DataFrame:
+    """Tie-averaged percentile in (0, 1] of each distinct value within a few large groups, without a window over any of them.
 
     Distinct values are dealt into pieces of about equal size by cut points;
     a piece knows how many rows lie before it, and a window places the values
-    within it. Rows take their value's percentile by a join; nulls stay null.
-    Cut points and pieces are broadcast: ``pieces`` rows for each of the keys,
-    which must be few (factors, horizons, bands).
+    within it. Rows are read a few times, so they should be a table. Cut points
+    and pieces are broadcast: ``pieces`` rows for each of the keys, which must
+    be few (factors, horizons, bands).
     """
     counts = rows.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("_c"))
     cuts = counts.groupBy(*keys).agg(F.percentile_approx(value, [i / pieces for i in range(1, pieces)], 1000).alias("_cuts"))
@@ -59,5 +61,16 @@ def spread_rank(rows: DataFrame, value: str, name: str, *keys: str, pieces: int
     sizes = dealt.groupBy(*keys, "_piece").agg(F.sum("_c").alias("_size"))
     sizes = sizes.select(*keys, "_piece", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_before"), F.sum("_size").over(Window.partitionBy(*keys)).alias("_all"))
     within = Window.partitionBy(*keys, "_piece").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-    placed = dealt.join(F.broadcast(sizes), [*keys, "_piece"]).withColumn(name, (F.col("_before") + F.coalesce(F.sum("_c").over(within), F.lit(0)) + (F.col("_c") + 1) / 2) / F.col("_all"))
-    return rows.join(placed.select(*keys, value, name), [*keys, value], "left")
+    return dealt.join(F.broadcast(sizes), [*keys, "_piece"]).withColumn(name, (F.col("_before") + F.coalesce(F.sum("_c").over(within), F.lit(0)) + (F.col("_c") + 1) / 2) / F.col("_all")).select(*keys, value, name)
+
+
+def spread_rank(rows: DataFrame, value: str, name: str, *keys: str) -> DataFrame:
+    """Rows, written once, with the percentile of a value within a few large groups; nulls stay null."""
+    rows = kept(rows)
+    return rows.join(places(rows, value, name, *keys), [*keys, value], "left")
+
+
+def rank_pairs(rows: DataFrame, a: str, b: str, *keys: str) -> DataFrame:
+    """Pairs of known values, written once, with their percentiles ``_a`` and ``_b`` within a few large groups."""
+    both = kept(rows.filter(F.col(a).isNotNull() & F.col(b).isNotNull()).select(*keys, a, b))
+    return both.join(places(both, a, "_a", *keys), [*keys, a]).join(places(both, b, "_b", *keys), [*keys, b])

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from barloom.functions.stats import along, pct_rank, ratio, reasons, spread_rank
+from barloom.functions.stats import along, pct_rank, rank_pairs, ratio, reasons
 
 
 def close_() -> Column:
@@ -46,11 +46,11 @@ def against_control(rows: DataFrame, value: str) -> DataFrame:
 
 def spearman(rows: DataFrame, a: str, b: str, *keys: str, least: int = 3) -> DataFrame:
     """Rank correlation of two columns in each group; null below ``least`` pairs."""
-    both = rows.filter(F.col(a).isNotNull() & F.col(b).isNotNull())
     if keys:
+        both = rows.filter(F.col(a).isNotNull() & F.col(b).isNotNull())
         ranked = both.withColumns({"_a": pct_rank(a, *keys), "_b": pct_rank(b, *keys)})
     else:
-        ranked = spread_rank(spread_rank(both.select(a, b), a, "_a"), b, "_b")
+        ranked = rank_pairs(rows, a, b)
     grouped = ranked.groupBy(*keys) if keys else ranked
     return grouped.agg(F.count("*").alias("n"), F.when(F.count("*") >= least, F.nanvl(F.corr("_a", "_b"), F.lit(None))).alias("ic"))
 

@@ -9,7 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from barloom.functions.stats import along, clip, full, ratio, reasons, spread_rank, trailing
+from barloom.functions.shared import kept
+from barloom.functions.stats import along, clip, full, rank_pairs, ratio, reasons, spread_rank, trailing
 
 # Thresholds of the reports.
 ACTIVATION_ROWS, ACTIVATION_IC = 30, 0.02
@@ -30,8 +31,7 @@ def recent(rows: DataFrame, days: int, time: str = "trade_date") -> DataFrame:
 
 def pooled_ic(rows: DataFrame, a: str, b: str, *keys: str, least: int = 3) -> DataFrame:
     """Rank correlation over all rows of a few large groups; null below ``least`` pairs."""
-    both = rows.filter(F.col(a).isNotNull() & F.col(b).isNotNull()).select(*keys, a, b)
-    ranked = spread_rank(spread_rank(both, a, "_a", *keys), b, "_b", *keys)
+    ranked = rank_pairs(rows, a, b, *keys)
     return ranked.groupBy(*keys).agg(F.count("*").alias("n"), F.when(F.count("*") >= least, F.nanvl(F.corr("_a", "_b"), F.lit(None))).alias("ic"))
 
 
@@ -50,7 +50,7 @@ def by_factor(rows: DataFrame, factors: list[str], *keep: str) -> DataFrame:
 
 def drift(rows: DataFrame, factors: list[str], outcome: str, now: int = 30, before: int = 180) -> DataFrame:
     """Information coefficient of each factor over recent days against a longer base, with an alert status."""
-    long = by_factor(rows, factors, "trade_date", outcome)
+    long = kept(by_factor(rows, factors, "trade_date", outcome))
     a = pooled_ic(recent(long, now), "value", outcome, "factor").select("factor", F.col("n").alias("recent_n"), F.col("ic").alias("ic_recent"))
     b = pooled_ic(recent(long, before), "value", outcome, "factor").select("factor", F.col("n").alias("baseline_n"), F.col("ic").alias("ic_baseline"))
     both = a.join(b, "factor", "full_outer").na.fill(0, ["recent_n", "baseline_n"])
@@ -303,7 +303,7 @@ def evaluate(rows: DataFrame, score: str, label: str, outcome: str) -> DataFrame
 
     The place of the last row of the tenth is counted from rank pieces, so no window sees all rows.
     """
-    ranked = spread_rank(rows.filter(F.col(score).isNotNull()), score, "_p")
+    ranked = kept(spread_rank(rows.filter(F.col(score).isNotNull()), score, "_p"))
     all_ = ranked.agg(F.count("*").alias("_n"))
     ranked = ranked.join(F.broadcast(all_))  # one row
     y = F.coalesce(F.col(label), F.lit(0))
