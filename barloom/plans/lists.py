@@ -155,5 +155,5 @@ def peaks(s, d):
 
 
 R.add("pt20_confirmations", lambda s, d: iv.confirmations(bars(s, d), peaks(s, d)), "bars", f"""WITH a AS (SELECT symbol_id, trade_date, close, row_number() {W} AS n, volume / nullif(avg(volume) {frame(20, 1)}, 0) AS v, {VZ}, lag(close) {W} AS b, lead(close) {W} AS f FROM bars),
-l AS (SELECT symbol_id, trade_date AS pattern_end, n, close AS resistance FROM a WHERE close > b AND close > f), m AS (SELECT l.symbol_id, pattern_end, resistance, a.trade_date, a.close, a.n FROM l JOIN a ON a.symbol_id = l.symbol_id AND a.n > l.n AND a.n <= l.n + 15 WHERE a.close > resistance AND (v >= 1.5 OR vol_z20 >= 2 OR vol_z50 >= 2))
+l AS (SELECT symbol_id, trade_date AS pattern_end, n, close AS resistance FROM a WHERE close > b AND close > f), m AS (SELECT l.symbol_id, pattern_end, resistance, a.trade_date, a.close, a.n FROM l JOIN a ON a.symbol_id = l.symbol_id AND a.n > l.n AND a.n <= l.n + 15 WHERE a.close > resistance AND (v >= 1.5 AND (vol_z20 >= 2 OR vol_z50 >= 2)))
 SELECT symbol_id, pattern_end, {r('resistance', 'resistance')}, min(trade_date) AS confirmed_on, {r('arg_min(close, n)', 'confirmed_close')} FROM m GROUP BY symbol_id, pattern_end, resistance""")
