@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -116,23 +118,57 @@ def universe_index(stock: DataFrame, gap: int = 7, base: float = 1000.0) -> Data
     return two.withColumn("level", base * F.product(1 + F.coalesce("return_1d", F.lit(0.0))).over(so_far))
 
 
-def rolling_place(value: str, n: int, least: int | Column, *keys: str) -> Column:
-    """Tie-averaged percentile (0 to 100) of the last known value among the known ones of n rows; the frame bounds the list."""
-    spec = trailing(n, *keys)
-    last = F.last(value, ignorenulls=True).over(spec)
-    seen = F.collect_list(value).over(spec)
-    below, same = F.size(F.filter(seen, lambda x: x < last)), F.size(F.filter(seen, lambda x: x == last))
-    return F.when(F.count(value).over(spec) >= least, F.round(100 * (below + (same + 1) / 2) / F.size(seen), 9))
-
-
-def rolling_score(value: str, n: int, least: int | Column, *keys: str) -> Column:
-    spec = trailing(n, *keys)
-    return F.when(F.count(value).over(spec) >= least, ratio(F.col(value) - F.avg(value).over(spec), F.stddev_samp(value).over(spec)))
+def _past(values: np.ndarray, n: int, chunk: int = 256):
+    """Blocks of trailing windows of n values, the row itself last; what lies before the first row is unknown."""
+    padded = np.concatenate([np.full(n - 1, np.nan), values])
+    windows = np.lib.stride_tricks.sliding_window_view(padded, n)
+    for at in range(0, len(values), chunk):
+        yield at, windows[at : at + chunk]
+
+
+def _measures(values: np.ndarray, n: int, least: int) -> dict[str, np.ndarray]:
+    """Mean, median, z-score (sample deviation) and percentile of the last known value of n rows, where enough are known."""
+    out = {k: np.full(len(values), np.nan) for k in ("avg", "zscore", "percentile")}
+    last = pd.Series(np.where(np.isnan(values), np.nan, np.arange(len(values)))).ffill().to_numpy()
+    for at, w in _past(values, n):
+        known = ~np.isnan(w)
+        count = known.sum(axis=1)
+        rows = np.flatnonzero(count >= max(least, 1))
+        if not len(rows):
+            continue
+        w, known, count, here = w[rows], known[rows], count[rows], at + rows
+        mean = np.where(known, w, 0).sum(axis=1) / count
+        spread = np.sqrt((np.where(known, w - mean[:, None], 0) ** 2).sum(axis=1) / np.where(count > 1, count - 1, np.nan))
+        now = values[last[here].astype(int)][:, None]
+        out["avg"][here] = mean
+        out["zscore"][here] = (values[here] - mean) / np.where(spread == 0, np.nan, spread)
+        out["percentile"][here] = np.round(100 * ((w < now).sum(axis=1) + ((w == now).sum(axis=1) + 1) / 2) / count, 9)
+    out["median"] = pd.Series(values).rolling(n, min_periods=max(least, 1)).median().to_numpy()
+    return out
+
+
+def against_past(rows: DataFrame, key: str, value: str, windows: dict[str, tuple[int, int]], wanted: dict[str, tuple[str, str]], fallback: int | None = None) -> DataFrame:
+    """A daily value of each entity against its own trailing windows, one entity at a time.
+
+    ``windows`` names widths and least numbers of known values, ``wanted`` maps
+    new columns to (window, measure). With a ``fallback``, an entity that has
+    fewer values in all than a window needs, but that many, needs only that many.
+    Rows are one per entity and date, so a group is as long as the calendar;
+    sliding frames of thousands of rows would be summed anew for every row.
+    """
 
+    def fill(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values("trade_date", ignore_index=True)
+        values = group[value].to_numpy(float, na_value=np.nan)
+        all_known = int((~np.isnan(values)).sum())
+        made = {}
+        for label, (n, least) in windows.items():
+            need = min(least, n)
+            made[label] = _measures(values, n, fallback if fallback is not None and fallback <= all_known < need else need)
+        return group.assign(**{c: made[label][measure] for c, (label, measure) in wanted.items()})
 
-def rolling_median(value: str, n: int, least: int | Column, *keys: str) -> Column:
-    spec = trailing(n, *keys)
-    return F.when(F.count(value).over(spec) >= least, F.percentile(value, F.lit(0.5)).over(spec))
+    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema] + [f"`{c}` double" for c in wanted])
+    return rows.groupBy(key).applyInPandas(fill, schema)
 
 
 def zone(place: Column) -> Column:
@@ -146,11 +182,9 @@ def universe_valuation(stock: DataFrame) -> DataFrame:
     day = stock.groupBy("universe", "trade_date").agg(F.sum(cap).alias("total_cap"), none(F.sum(F.when(gain, cap))).alias("profit_cap"), none(F.sum(F.when(gain, p))).alias("_p"), none(F.sum(F.when(~_is(gain), cap))).alias("loss_cap"))
     part = lambda a, b: F.when(F.col(b) > 0, F.col(a) / F.col(b))
     day = day.withColumns({"pe_ttm": part("profit_cap", "_p"), "earnings_yield": part("_p", "profit_cap"), "loss_share": part("loss_cap", "total_cap")})
-    u = "universe"
-    out = {"pe_200dma": full(F.avg("pe_ttm").over(trailing(200, u)), trailing(200, u), 20, F.col("pe_ttm")), "pe_1y_median": rolling_median("pe_ttm", 252, 20, u)}
-    for years, n in ((3, 756), (5, 1260)):
-        out |= {f"pe_{years}y_median": rolling_median("pe_ttm", n, 60, u), f"pe_zscore_{years}y": rolling_score("pe_ttm", n, 60, u), f"pe_percentile_{years}y": rolling_place("pe_ttm", n, 60, u)}
-    return day.withColumns(out).withColumn("valuation_zone", zone(F.coalesce("pe_percentile_5y", "pe_percentile_3y"))).drop("_p")
+    wanted = {"pe_200dma": ("200d", "avg"), "pe_1y_median": ("1y", "median")} | {f"pe_{m}_{y}": (y, m) for y in ("3y", "5y") for m in ("zscore", "percentile")} | {f"pe_{y}_median": (y, "median") for y in ("3y", "5y")}
+    day = against_past(day, "universe", "pe_ttm", {"200d": (200, 20), "1y": (252, 20), "3y": (756, 60), "5y": (1260, 60)}, wanted)
+    return day.withColumn("valuation_zone", zone(F.coalesce("pe_percentile_5y", "pe_percentile_3y"))).drop("_p")
 
 
 def valuation_cycle(rows: DataFrame) -> DataFrame:
@@ -167,15 +201,8 @@ def cycle_features(rows: DataFrame, least: int = 756) -> DataFrame:
 
     An entity with fewer than ``least`` values in all needs 252 of them.
     """
-    n_all = F.count("pe_ttm").over(Window.partitionBy("entity"))
-    out = {}
-    for label, n in (("3y", 756), ("5y", 1260), ("10y", 2520)):
-        want = min(least, n)
-        enough = F.when((n_all >= want) | (n_all < 252), want).otherwise(252)
-        out |= {f"pe_pctile_{label}": rolling_place("pe_ttm", n, enough, "entity"), f"pe_zscore_{label}": rolling_score("pe_ttm", n, enough, "entity")}
-        if label == "5y":
-            out |= {"pe_median_5y": rolling_median("pe_ttm", n, enough, "entity"), "pe_avg_5y": F.when(F.count("pe_ttm").over(trailing(n, "entity")) >= enough, F.avg("pe_ttm").over(trailing(n, "entity")))}
-    rows = rows.withColumns(out)
+    wanted = {f"pe_{name}_{y}": (y, m) for y in ("3y", "5y", "10y") for name, m in (("pctile", "percentile"), ("zscore", "zscore"))} | {"pe_median_5y": ("5y", "median"), "pe_avg_5y": ("5y", "avg")}
+    rows = against_past(rows, "entity", "pe_ttm", {"3y": (756, least), "5y": (1260, least), "10y": (2520, least)}, wanted, fallback=252)
     p, z = (F.coalesce(*[f"pe_{k}_{y}" for y in ("10y", "5y", "3y")]) for k in ("pctile", "zscore"))
     name = F.when(p.isNull(), "unknown").when(p < 10, "depressed").when(p < 20, "cheap").when(p > 90, "bubble").when(p > 80, "expensive").otherwise("fair")
     signal = F.when(F.col("valuation_zone").isin("depressed", "cheap") & (z < -1), "bottom_zone").when((F.col("valuation_zone") == "bubble") & (z > 1.5), "top_zone").otherwise("neutral")

@@ -102,8 +102,8 @@ SQL |= {
 NEEDS |= {"uv0": ["stock"], "uv1": ["uv0"], "uv2": ["uv1"], "uv3": ["uv2"], "uv": ["uv3"]}
 UV = ["pe_ttm", "earnings_yield", "loss_share", "pe_200dma", "pe_1y_median", "pe_3y_median", "pe_5y_median", "pe_zscore_3y", "pe_zscore_5y", "pe_percentile_3y", "pe_percentile_5y"]
 R.add("fu9_universe_valuation", lambda s, d: va.universe_valuation(stock(s, d)).select("universe", "trade_date", *UV, "valuation_zone"), "uv", f"SELECT universe, trade_date, {', '.join(r(c, c) for c in UV)}, valuation_zone FROM uv")
-R.add("fu29_valuation_cycle", lambda s, d: va.valuation_cycle(va.universe_valuation(stock(s, d))).select("universe", "trade_date", "pe_distance", "cycle_signal"), "uv", f"""WITH x AS (SELECT *, 100 * (pe_ttm / nullif(pe_200dma, 0) - 1) AS d FROM uv), y AS (SELECT *, coalesce(d, 0) AS e, coalesce(pe_percentile_5y, 0) AS p FROM x)
-SELECT universe, trade_date, {r('d', 'pe_distance')}, CASE WHEN e > 0 AND p > 80 THEN 'expensive_bull_phase' WHEN e < 0 AND p < 25 THEN 'valuation_reset_bear_phase' WHEN e > 0 AND p < 40 THEN 'early_bull_recovery' WHEN e < 0 AND valuation_zone IN ('late_bull', 'bubble_top_risk') THEN 'top_risk_warning' ELSE 'neutral' END AS cycle_signal FROM y""")
+R.add("fu29_valuation_cycle", lambda s, d: va.valuation_cycle(va.universe_valuation(stock(s, d))).select("universe", "trade_date", "pe_distance", "cycle_signal"), "uv", f"""WITH x AS (SELECT *, 100 * (pe_ttm / nullif(pe_200dma, 0) - 1) AS d FROM uv), y AS (SELECT *, coalesce(d, 0) AS e, coalesce(pe_percentile_5y, 0) AS pl FROM x)
+SELECT universe, trade_date, {r('d', 'pe_distance')}, CASE WHEN e > 0 AND pl > 80 THEN 'expensive_bull_phase' WHEN e < 0 AND pl < 25 THEN 'valuation_reset_bear_phase' WHEN e > 0 AND pl < 40 THEN 'early_bull_recovery' WHEN e < 0 AND valuation_zone IN ('late_bull', 'bubble_top_risk') THEN 'top_risk_warning' ELSE 'neutral' END AS cycle_signal FROM y""")
 entities = lambda s, d: va.universe_index(stock(s, d)).filter("index_type = 'market_cap_weight' and pe_ttm is not null").select(F.col("universe").alias("entity"), "trade_date", "pe_ttm")
 SQL["ent"] = "SELECT *, CASE WHEN n >= 756 OR n < 252 THEN 756 ELSE 252 END AS least FROM (SELECT universe AS entity, trade_date, pe_ttm, count(*) OVER (PARTITION BY universe) AS n FROM ix WHERE index_type = 'market_cap_weight' AND pe_ttm IS NOT NULL)"
 NEEDS["ent"] = ["ix"]
@@ -296,7 +296,7 @@ R.add("wl5_watchlist_warnings", lambda s, d: ca.watchlist_warnings(rk.latest(can
 SQL["spe"] = "SELECT sector, trade_date, sum(market_cap) / nullif(sum(ttm_profit), 0) AS pe_ttm FROM stock GROUP BY ALL"
 NEEDS["spe"] = ["stock"]
 SU = "OVER (PARTITION BY sector ORDER BY trade_date ROWS BETWEEN 1259 PRECEDING AND CURRENT ROW)"
-# the quadrants are those of sr12; here they come from the sign of the P/E so that the SQL stays short
+# the quadrants of this query come from the sign of the P/E, so that its SQL stays short
 quads = lambda s, d: sector_pe(s, d).groupBy("sector").agg(F.max_by("pe_ttm", "trade_date").alias("_v")).select("sector", F.when(F.col("_v") > 0, "Leading").when(F.col("_v") < -200, " Improving ").otherwise("Lagging").alias("quadrant"))
 R.add("fu28_sector_context", lambda s, d: va.sector_context(quads(s, d), sector_pe(s, d)).select("sector", "premium_pct", "valuation"), "spe", f"""WITH a AS (SELECT *, CASE WHEN count(pe_ttm) {SU} >= 60 THEN avg(pe_ttm) {SU} END AS m FROM spe), l AS (SELECT sector, pe_ttm, round(100 * (pe_ttm / nullif(m, 0) - 1), 9) AS p FROM a QUALIFY row_number() OVER (PARTITION BY sector ORDER BY trade_date DESC) = 1)
 SELECT sector, {r('p', 'premium_pct')}, CASE WHEN p IS NULL THEN '5Y avg unavailable' WHEN p <= -10 THEN 'Below 5Y avg' WHEN p < 10 THEN 'Near 5Y avg' WHEN p < 25 THEN 'Above 5Y avg' ELSE 'High premium' END AS valuation FROM l WHERE pe_ttm > 0 OR pe_ttm < -200""")
