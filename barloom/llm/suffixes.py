@@ -32,6 +32,8 @@ SEGMENT = 1 << 19
 BROADCAST_BYTES = 32 << 20
 #: Documents whose rows give the splitters.
 SAMPLE_DOCS = 4000
+#: Of the rows of those, one in so many reaches the driver.
+SAMPLE_ROWS = 16
 
 _M = 0x5851F42D4C957F2D
 _INVERSE = pow(_M, -1, 1 << 64)
@@ -133,15 +135,16 @@ def dealt(rows: np.ndarray, splitters: np.ndarray) -> np.ndarray:
 def in_ranges(docs: DataFrame, make, schema: str, order: list[str]) -> DataFrame:
     """The rows that ``make`` gives for the documents, dealt to ranges of ``order`` and sorted in each.
 
-    The splitters are quantiles of the rows of about SAMPLE_DOCS documents, chosen
-    by a hash of the id; so the rows themselves are made once. They cut between
+    The splitters are quantiles of one in SAMPLE_ROWS rows of about SAMPLE_DOCS
+    documents, chosen by hashes; so the rows themselves are made once. They only
+    balance the ranges: without any, all rows are one range. They cut between
     places too, so the rows of one frequent key may spread over ranges.
     """
     spark = docs.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     step = max(1, docs.count() // SAMPLE_DOCS)
     few = docs.filter(F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(step)) == 0).mapInPandas(make, schema).select(*order)
-    sample = few.toPandas().to_numpy(dtype=np.int64).reshape(-1, len(order))
+    sample = np.array([tuple(r) for r in few.filter(F.pmod(F.xxhash64(*order), F.lit(SAMPLE_ROWS)) == 0).collect()], dtype=np.int64).reshape(-1, len(order))
     sample = sample[np.lexsort(sample.T[::-1])]
     shared = spark.sparkContext.broadcast(sample[(np.arange(1, n) * len(sample)) // n] if len(sample) else sample)
 
