@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.llm import decontaminate, jaccard, language, mixing, pii, quality, rules, suffixes, tokens, toxicity
+from barloom.llm import decontaminate, jaccard, language, mixing, pii, quality, resampling, rules, suffixes, tokens, toxicity
 from barloom.llm.common import held_out, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -74,6 +74,11 @@ def op10_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op13_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    drawn = resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return drawn.select("doc_id", "n_features", "weight", "score", "rank")
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_quality": op1_quality,
@@ -86,6 +91,7 @@ def queries() -> dict[str, Query]:
         "op8_pii": op8_pii,
         "op9_suffixes": op9_suffixes,
         "op10_mix": op10_mix,
+        "op13_resample": op13_resample,
     }
 
 
