@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.llm import decontaminate, jaccard, language, mixing, pii, quality, resampling, rules, suffixes, tokens, toxicity
+from barloom.llm import decontaminate, jaccard, language, mixing, packing, pii, quality, resampling, rules, spelling, suffixes, tokens, toxicity
 from barloom.llm.common import held_out, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -74,6 +74,17 @@ def op10_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op11_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    packed = packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
 def op13_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
     drawn = resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return drawn.select("doc_id", "n_features", "weight", "score", "rank")
@@ -91,6 +102,8 @@ def queries() -> dict[str, Query]:
         "op8_pii": op8_pii,
         "op9_suffixes": op9_suffixes,
         "op10_mix": op10_mix,
+        "op11_packing": op11_packing,
+        "op12_spelling": op12_spelling,
         "op13_resample": op13_resample,
     }
 
