@@ -101,9 +101,9 @@ def near_pairs(words: DataFrame) -> DataFrame:
     Every word must have LEAST_LETTERS letters or more.
     """
     parted = words.select("word", "n", partitions(F.col("word")).alias("parts"))
-    joined = lambda k: F.hash(*[F.col("parts")[p] for p in KEPT[k]]).cast("long") * 1_000_003 + F.xxhash64(*[F.col("parts")[p] for p in KEPT[k]])
+    kept = lambda k: [F.col("parts")[p] for p in KEPT[k]]
     ends = [F.substring("word", 1, END), F.substring("word", -END, END)]
-    made = [F.struct(F.lit(k).alias("kind"), F.lit(e).alias("end"), F.xxhash64(F.lit(k), F.lit(e), joined(k), ends[e]).alias("sign")) for k in range(len(KEPT)) for e in (0, 1)]
+    made = [F.struct(F.lit(k).alias("kind"), F.lit(e).alias("end"), F.xxhash64(F.lit(k), F.lit(e), *kept(k), ends[e]).alias("sign")) for k in range(len(KEPT)) for e in (0, 1)]
     signed = stash(parted.select("word", "n", "parts", F.inline(F.array(*made))))
     a, b = (signed.select(*[F.col(c).alias(f"{x}_{c}") for c in signed.columns]) for x in "ab")
     agree = lambda k: F.forall(F.array(*[F.lit(p) for p in KEPT[k]]), lambda p: F.get("a_parts", p) == F.get("b_parts", p))
