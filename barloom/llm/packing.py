@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from barloom.llm.common import small_batches, stash
+from barloom.llm.tokens import byte_letters
 
 ROOM = 2048
 CLOSING = 0
@@ -29,18 +30,26 @@ BLOCK = 4096
 SPARE = 1 / 256
 ROUNDS = 3
 #: Chunks whose ids a worker keeps before it starts its memory anew; longer chunks are encoded each time.
-REMEMBERED = 500_000
+REMEMBERED = 1_000_000
 CHUNK = 60
 #: Bytes of a text whose chunks are held at once.
 PIECE = 1 << 20
 
 _BLANK = re.compile(rb"[\x20\x09-\x0D]")
+#: A Latin word (of letters only, no more than CHUNK bytes) and ASCII punctuation after it, but for what begins a contraction or a special token.
+_WORD = re.compile(rb"((?:[A-Za-z]|\xC3[\x80-\x96\x98-\xB6\xB8-\xBF]){1,60})([!-&(-/:;=?@\[-`{}~]*)")
 _BYTES = 4  # of an id
 _NONE = 1 << 60
 
 
 class ChunkEncoder:
-    """Ids of texts from those of their chunks between blanks, for tokenizers that drop blanks and split there."""
+    """Ids of texts from those of their chunks between blanks, for tokenizers that drop blanks and split there.
+
+    Most chunks are one Latin word with punctuation after it. Such a word is one
+    pretoken whatever follows, so the library's model gets it as it is, in lower
+    case and in the letters that stand for its bytes; all else goes through the
+    library's whole encoding.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -48,27 +57,68 @@ class ChunkEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        self.model = self.tokenizer.model
+        self.letters = byte_letters()
+        self.four = [k.to_bytes(_BYTES, "little") for k in range(self.tokenizer.get_vocab_size())]
         self.known: dict[bytes, bytes] = {}
+        self.words: dict[bytes, bytes] = {}
 
     def encoded(self, chunks: list[bytes]) -> list[bytes]:
         texts = [c.decode("utf-8", "replace") for c in chunks]
         return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
 
+    def word_ids(self, word: bytes) -> bytes:
+        """The ids of a Latin word, which is one pretoken."""
+        text = word.decode()
+        if not text.isascii():
+            text = "".join([self.letters[b] for b in text.lower().encode()])
+        four = self.four
+        return b"".join([four[token.id] for token in self.model.tokenize(text)])
+
+    def learn(self, chunks: set[bytes]) -> dict[bytes, bytes]:
+        """The ids of new chunks."""
+        if len(self.words) > REMEMBERED:
+            self.words.clear()
+        words, split, rest, tails = self.words, [], [], set()
+        for c in chunks:
+            m = _WORD.fullmatch(c)
+            if m is None:
+                rest.append(c)
+                continue
+            word, tail = m.groups()
+            word = word.lower()  # A-Z only, as the tokenizer does
+            found = words.get(word)
+            if found is None:
+                words[word] = found = self.word_ids(word)
+            split.append((c, found, tail))
+            tails.add(tail)
+        rest += tails.difference(self.known, chunks, [b""])
+        out = dict(zip(rest, self.encoded(rest), strict=True)) if rest else {}
+        ends = {tail: out[tail] if tail in out else self.known.get(tail, b"") for tail in tails}
+        out.update((c, found + ends[tail]) for c, found, tail in split)
+        return out
+
     def ids(self, text: bytes | None) -> Iterator[bytes]:
         """Little-endian ids of a text, part by part."""
         raw, at, known = text or b"", 0, self.known
+        if b"<|" not in raw:  # no special token, whose case would count
+            raw = raw.lower()
         while at < len(raw):
             gap = _BLANK.search(raw, at + PIECE)
             end = gap.start() if gap else len(raw)
             chunks = raw[at:end].split()
-            new = [c for c in set(chunks) if c not in known]
-            if len(known) + len(new) > REMEMBERED:
-                known.clear()
-                new = list(set(chunks))
-            kept = dict(zip(new, self.encoded(new), strict=True))
-            known.update((c, i) for c, i in kept.items() if len(c) <= CHUNK)
-            long = {c: i for c, i in kept.items() if len(c) > CHUNK}
-            yield b"".join([known[c] if c in known else long[c] for c in chunks]) if long else b"".join(map(known.__getitem__, chunks))
+            try:
+                yield b"".join(map(known.__getitem__, chunks))
+            except KeyError:
+                new = set(chunks).difference(known)
+                if len(known) + len(new) > REMEMBERED:
+                    known.clear()
+                    new = set(chunks)
+                known.update(self.learn(new))
+                yield b"".join(map(known.__getitem__, chunks))
+                for chunk in new:
+                    if len(chunk) > CHUNK:
+                        del known[chunk]
             at = end
 
 
