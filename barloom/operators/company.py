@@ -171,12 +171,14 @@ def corroborated(events: DataFrame, hours: int = 24) -> DataFrame:
     """
     t = F.unix_micros(F.col("ts").cast("timestamp"))
     w = Window.partitionBy("symbol_id", "category").orderBy("ts", "event_id")
+    # what follows is read from the other end, since a frame that shrinks would be worked out anew for each event
+    back = Window.partitionBy("symbol_id", "category").orderBy(F.desc("ts"), F.desc("event_id"))
     rows = events.withColumn("_t", t)
     near = []
     for s in (0, 1):
         other = F.when(F.col("source") == s, F.col("_t"))
         before = F.last(other, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
-        after = F.first(other, ignorenulls=True).over(w.rowsBetween(1, Window.unboundedFollowing))
+        after = F.last(other, ignorenulls=True).over(back.rowsBetween(Window.unboundedPreceding, -1))
         gap = F.least(F.col("_t") - before, after - F.col("_t"))
         near.append((F.col("source") != s) & (gap <= hours * 3_600_000_000))
     return rows.withColumn("_ok", F.coalesce(near[0], F.lit(False)) | F.coalesce(near[1], F.lit(False))).filter("_ok").drop("_ok", "_t")

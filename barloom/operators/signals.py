@@ -137,8 +137,9 @@ def matched_controls(signals: DataFrame, classified: DataFrame, *cell: str) -> D
     free = classified.join(signals.select("symbol_id", *cell).distinct(), ["symbol_id", *cell], "left_anti")
     controls = free.groupBy(*cell, "liquidity").agg(F.min("symbol_id").alias("_c")).withColumn("_pair", F.struct(F.col("liquidity").alias("at"), F.col("_c").alias("who"))).drop("_c")
     rows = targets.unionByName(controls, allowMissingColumns=True)
-    order = Window.partitionBy(*cell).orderBy("liquidity")
-    below, above = F.last("_pair", ignorenulls=True).over(order), F.first("_pair", ignorenulls=True).over(order.rangeBetween(0, Window.unboundedFollowing))
+    # growing frames from either end; one that shrinks would be worked out anew for each row
+    order = lambda c: Window.partitionBy(*cell).orderBy(c)
+    below, above = F.last("_pair", ignorenulls=True).over(order(F.asc("liquidity"))), F.last("_pair", ignorenulls=True).over(order(F.desc("liquidity")))
     rows = rows.withColumns({"_b": below, "_a": above}).filter("signal_id is not null")
     gap = lambda c: F.round(F.abs(F.col(f"{c}.at") - F.col("liquidity")), 12)
     option = lambda c: F.when(F.col(c).isNotNull(), F.struct(gap(c).alias("gap"), F.col(f"{c}.who").alias("who"), F.col(f"{c}.at").alias("at")))
@@ -172,7 +173,7 @@ def stage_entries(stages: DataFrame, returns: DataFrame) -> DataFrame:
     """Weekly stages with the returns from the first session of the market at or after the week's end, where the symbol has a bar."""
     ends, days = stages.select(F.col("week_end").alias("d")).distinct(), returns.select(F.col("trade_date").alias("d")).distinct()
     both = ends.join(days.withColumn("session_date", F.col("d")), "d", "full_outer")
-    entry = both.withColumn("trade_date", F.first("session_date", ignorenulls=True).over(Window.orderBy("d").rowsBetween(0, Window.unboundedFollowing)))
+    entry = both.withColumn("trade_date", F.last("session_date", ignorenulls=True).over(Window.orderBy(F.desc("d")).rowsBetween(Window.unboundedPreceding, 0)))
     calendar = ends.join(entry.select("d", "trade_date"), "d").withColumnRenamed("d", "week_end")
     return stages.join(calendar, "week_end").join(returns, ["symbol_id", "trade_date"])
 

@@ -14,6 +14,9 @@ SQL = {
     "ticks": """SELECT l_suppkey AS symbol_id, CAST(l_shipdate AS DATE) AS trade_date, l_extendedprice / l_quantity AS p, l_orderkey, l_linenumber, l_quantity AS q, l_returnflag <> 'R' AS kept FROM lineitem""",
     "bars": """SELECT symbol_id, trade_date, first(p ORDER BY l_orderkey, l_linenumber, p) AS open, max(p) AS high, min(p) AS low, last(p ORDER BY l_orderkey, l_linenumber, p) AS close,
       CAST(sum(q) AS DOUBLE) AS volume, 100.0 * sum(CASE WHEN kept THEN q ELSE 0 END) / sum(q) AS delivery_pct FROM ticks GROUP BY symbol_id, trade_date""",
+    "walks": """WITH d AS (SELECT l_suppkey * 8 + v AS symbol_id, CAST(l_shipdate AS DATE) AS trade_date, round(avg(((l_orderkey * (7 + v) + l_partkey * (13 + 5 * v) + l_linenumber * 29) % 101 - 50) / 50.0 + (l_orderkey * (101 + v) % 1009) / 99991.0), 6) AS step, CAST(sum(l_quantity * l_quantity) AS DOUBLE) AS volume FROM lineitem, range(8) t(v) GROUP BY 1, 2),
+      e AS (SELECT *, 100 * exp(0.04 * sum(step) OVER (PARTITION BY symbol_id ORDER BY trade_date)) AS close FROM d)
+      SELECT symbol_id, trade_date, coalesce(lag(close) OVER (PARTITION BY symbol_id ORDER BY trade_date), close) AS open, close * (1 + (0.01 * abs(step) + 0.002)) AS high, close * (1 - (0.01 * abs(step) + 0.002)) AS low, close, volume FROM e""",
     "master": """SELECT s_suppkey AS symbol_id, n_name AS sector, r_name AS parent, abs(s_acctbal) AS market_cap FROM supplier LEFT JOIN nation ON s_nationkey = n_nationkey LEFT JOIN region ON n_regionkey = r_regionkey""",
     "bench": """SELECT trade_date, avg(close) AS bench_close FROM bars GROUP BY trade_date""",
     "fundamentals": """SELECT o_custkey AS symbol_id, last_day(CAST(date_trunc('quarter', o_orderdate) AS DATE) + INTERVAL 2 MONTH) AS report_date, sum(o_totalprice) AS sales, CAST(count(*) AS DOUBLE) AS orders,

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from barloom.functions.stats import along
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -29,6 +31,21 @@ def bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def walks(spark: SparkSession, sf_dir: str, of_each: int = 8) -> DataFrame:
+    """Bars of ``of_each`` symbols a supplier whose close moves by a few per cent a session, since unit prices jump too far for chart shapes.
+
+    The keys of a session's lines give its step, the steps add up, and the squares of
+    the quantities are the volume, so that some sessions are loud.
+    """
+    lines = table(spark, sf_dir, "lineitem").withColumn("v", F.explode(F.sequence(F.lit(0), F.lit(of_each - 1))))
+    step = ((F.col("l_orderkey") * (7 + F.col("v")) + F.col("l_partkey") * (13 + 5 * F.col("v")) + F.col("l_linenumber") * 29) % 101 - 50) / 50.0 + (F.col("l_orderkey") * (101 + F.col("v")) % 1009) / 99991.0
+    days = lines.groupBy((F.col("l_suppkey") * of_each + F.col("v")).alias("symbol_id"), F.to_date("l_shipdate").alias("trade_date"))
+    days = days.agg(F.round(F.avg(step), 6).alias("_step"), F.sum(F.col("l_quantity") * F.col("l_quantity")).cast("double").alias("volume"))
+    rows = days.withColumn("close", 100 * F.exp(0.04 * F.sum("_step").over(along())))
+    spread = 0.01 * F.abs("_step") + 0.002
+    return rows.select("symbol_id", "trade_date", F.coalesce(F.lag("close").over(along()), F.col("close")).alias("open"), (F.col("close") * (1 + spread)).alias("high"), (F.col("close") * (1 - spread)).alias("low"), "close", "volume")
+
+
 def master(spark: SparkSession, sf_dir: str) -> DataFrame:
     nation = table(spark, sf_dir, "nation").join(F.broadcast(table(spark, sf_dir, "region")), F.col("n_regionkey") == F.col("r_regionkey"))
     # nations are a fixed list of 25
