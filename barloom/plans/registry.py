@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from barloom.plans.kit import Query
 
-PARTS = ("technical", "ranks", "trust", "markets", "companies", "streams", "shapes", "lists", "reports", "valuations", "cohorts", "formations")
+PARTS = ("technical", "ranks", "trust", "markets", "companies", "streams", "shapes", "lists", "reports", "valuations", "cohorts", "formations", "ledgers")
 
 
 def _parts():
