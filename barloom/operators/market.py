@@ -47,36 +47,63 @@ def by_day() -> WindowSpec:
 
 
 def weekly(bars: DataFrame) -> DataFrame:
-    """Bars of weeks that end on Friday, with averages, slope, 52-week range, true range and volume ratio."""
+    """Bars of weeks that end on Friday, with averages, slope, range of the closes of 52 weeks, true range and volume ratio.
+
+    Averages need full windows, the range ten weeks.
+    """
     week = F.next_day(F.date_sub("trade_date", 1), "Fri")
     rows = bars.groupBy("symbol_id", week.alias("week_end")).agg(F.min_by("open", "trade_date").alias("open"), F.max("high").alias("high"), F.min("low").alias("low"), F.max_by("close", "trade_date").alias("close"), F.sum("volume").alias("volume"))
     t = lambda n: trailing(n, order="week_end")
-    rows = rows.withColumns({f"ma{n}w": F.avg("close").over(t(n)) for n in (10, 30, 40)} | {"_tr": F.greatest(high_(), F.lag("close").over(by_week())) - F.least(low_(), F.lag("close").over(by_week()))})
+    mean = lambda c, n: full(F.avg(c).over(t(n)), t(n), n, F.col(c))
+    rows = rows.withColumns({f"ma{n}w": mean("close", n) for n in (10, 30, 40)} | {"_v20": mean("volume", 20), "_tr": F.greatest(high_(), F.lag("close").over(by_week())) - F.least(low_(), F.lag("close").over(by_week()))})
     before = F.lag("ma30w", 4).over(by_week())
-    return rows.withColumns({"ma30w_slope_4w": ratio(F.col("ma30w") - before, before), "high_52w": F.max("high").over(t(52)), "low_52w": F.min("low").over(t(52)), "atr10": F.avg("_tr").over(t(10)), "atr30": F.avg("_tr").over(t(30)), "volume_ratio": ratio(volume_(), F.avg("volume").over(t(10))), "weeks": F.row_number().over(by_week())}).drop("_tr")
+    return rows.withColumns({"ma30w_slope_4w": ratio(F.col("ma30w") - before, before), "high_52w": full(F.max("close").over(t(52)), t(52), 10, close_()), "low_52w": full(F.min("close").over(t(52)), t(52), 10, close_()), "atr10": mean("_tr", 10), "atr30": mean("_tr", 30), "volume_ratio": ratio(volume_(), F.col("_v20")), "weeks": F.row_number().over(by_week())}).drop("_tr", "_v20")
 
 
-#: Fixed thresholds of the stage rules.
-FLAT, ENTER, MIN_CONFIDENCE, MIN_WEEKS = 0.005, 0.005, 0.40, 30
+#: Fixed thresholds of the stage rules; a stage 2 goes on at a slope that would not begin one.
+FLAT, ENTER, REMAIN, MIN_CONFIDENCE, MIN_WEEKS = 0.005, 0.005, 0.002, 0.40, 30
+HIGH, LOW, BAND, NEAR_MA, APART, EXPANSION = 20.0, 30.0, 0.05, 0.03, 1.03, 1.1
 TIE_ORDER = ("S2", "S4", "S3", "S1")
 
 
 def classify(weeks: DataFrame) -> DataFrame:
     """Score four stages by the share of their checks that pass and take the best (ties S2, S4, S3, S1).
 
-    Below the least confidence, or with too few weeks, the label is UNDEFINED.
+    Below the least confidence, or with too few weeks, the label is UNDEFINED. The
+    slope that stage 2 asks for depends on whether the week before was stage 2;
+    since the lower one passes wherever the higher does, a week is stage 2 when it
+    began at or before it and every week since passed the lower one, which two
+    running maxima tell: no week waits for the one before.
     """
-    ma, slope = F.col("ma30w"), F.col("ma30w_slope_4w")
-    flat = F.abs(slope) <= FLAT
+    c, ma, ma10, slope = close_(), F.col("ma30w"), F.col("ma10w"), F.col("ma30w_slope_4w")
+    from_high = F.coalesce(100 * ratio(F.col("high_52w") - c, F.col("high_52w")), F.lit(100.0))
+    from_low = F.coalesce(100 * ratio(c - F.col("low_52w"), F.col("low_52w")), F.lit(100.0))
+    clean = F.coalesce((ma10 > APART * ma) & (slope > ENTER), F.lit(False))
+    stage2 = lambda least: [c > ma, slope > least, ma10 > ma, c > F.col("ma40w"), from_high <= 0.75 * HIGH]
     checks = {
-        "S2": [close_() > ma, slope > ENTER, close_() >= 0.8 * F.col("high_52w"), F.col("ma10w") > ma],
-        "S4": [close_() < ma, slope < -ENTER, close_() <= 1.3 * F.col("low_52w"), F.col("ma10w") < ma],
-        "S3": [flat, F.abs(ratio(close_(), ma) - 1) <= 0.05, close_() >= 0.7 * F.col("high_52w")],
-        "S1": [flat, F.abs(ratio(close_(), ma) - 1) <= 0.05, close_() < 0.7 * F.col("high_52w")],
+        "S2": stage2(ENTER),
+        "S2 on": stage2(REMAIN),
+        "S4": [c < ma, slope < -ENTER, ma10 < ma, c < F.col("ma40w"), from_low <= 20],
+        "S3": [from_high <= HIGH, F.abs(slope) <= FLAT, F.col("atr10") > EXPANSION * F.col("atr30"), ~clean],
+        "S1": [F.abs(ratio(c, ma) - 1) < BAND, F.abs(slope) < FLAT, from_low <= LOW, F.col("volume_ratio") < 1, F.abs(ratio(ma10, ma) - 1) < NEAR_MA],
     }
-    scores = {k: sum((F.when(c, 1.0).otherwise(0.0) for c in v), F.lit(0.0)) / len(v) for k, v in checks.items()}
-    best = F.array_max(F.array(*[F.struct(scores[k].alias("score"), F.lit(-i).alias("order"), F.lit(k).alias("label")) for i, k in enumerate(TIE_ORDER)]))
-    return weeks.withColumn("_b", best).withColumns({"confidence": F.round("_b.score", 6), "stage": F.when((F.col("_b.score") >= MIN_CONFIDENCE) & (F.col("weeks") >= MIN_WEEKS), F.col("_b.label")).otherwise("UNDEFINED")}).drop("_b")
+    score = {k: sum((F.when(x, 1.0).otherwise(0.0) for x in v), F.lit(0.0)) / len(v) for k, v in checks.items()}
+
+    def best(two: str) -> Column:
+        of = lambda k: F.col("_s")[two if k == "S2" else k]
+        top = F.greatest(*[of(k) for k in TIE_ORDER])
+        label = F.lit("S1")
+        for k in reversed(TIE_ORDER[:-1]):
+            label = F.when(of(k) == top, k).otherwise(label)
+        known = F.col("weeks") >= MIN_WEEKS
+        return F.struct(F.when(known & (top >= MIN_CONFIDENCE), label).otherwise("UNDEFINED").alias("stage"), F.when(known, top).otherwise(0.0).alias("confidence"))
+
+    rows = weeks.withColumn("_s", F.struct(*[v.alias(k) for k, v in score.items()])).withColumns({"_new": best("S2"), "_on": best("S2 on")})
+    so_far = by_week().rowsBetween(Window.unboundedPreceding, 0)
+    begun, broken = (F.max(F.when(x, F.col("weeks"))).over(so_far) for x in (F.col("_new.stage") == "S2", F.col("_on.stage") != "S2"))
+    rows = rows.withColumn("_two", F.coalesce(begun > F.coalesce(broken, F.lit(0)), F.lit(False)))
+    rows = rows.withColumn("_b", F.when(F.lag("_two").over(by_week()), F.col("_on")).otherwise(F.col("_new")))
+    return rows.withColumns({"confidence": F.round("_b.confidence", 3), "stage": F.col("_b.stage")}).drop("_s", "_new", "_on", "_two", "_b")
 
 
 def stage_age(rows: DataFrame) -> DataFrame:

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from barloom.functions.stats import along, clip, full, pct_rank, ratio, reasons, trailing
+from barloom.operators.asof import as_of_join
+from barloom.operators.scans import stage2_structure
 
 
 def close_() -> Column:
@@ -199,15 +201,30 @@ def eligibility(rows: DataFrame, price: float = 20.0, liquidity: float = 0.2, hi
 
 
 def penalties(rows: DataFrame) -> DataFrame:
-    """Points off: below the long average, illiquid, a wide range, exhaustion."""
-    stretched = ratio(close_(), F.col("sma_20")) - 1
+    """Points off: below the long average, illiquid, a wide range, exhaustion, far above the pivot.
+
+    Signs of exhaustion are a volume z-score (vol_z20, else vol_z) above 3, a band
+    width above the 95th percentile (bb_width_percentile, as a share) and a close
+    more than 12 % above its short average; one is mild, two are strong, and so is
+    a z-score above 4 or a close 20 % above. The pivot is the first known of
+    pivot_price, breakout_level and resistance_level. Unknown values cost nothing.
+    """
+    is_ = lambda c: F.coalesce(c, F.lit(False))
+    one = lambda *names: F.coalesce(*[F.col(c) for c in names if c in rows.columns], F.lit(None).cast("double"))
+    stretched, z = ratio(close_(), F.col("sma_20")) - 1, one("vol_z20") if "vol_z20" in rows.columns else one("vol_z")
+    signs = sum((is_(c).cast("int") for c in (z > 3, one("bb_width_percentile") > 0.95, stretched > 0.12)), F.lit(0))
+    strong = is_(z > 4) | is_(stretched > 0.20) | (signs >= 2)
+    pivot, atr = one("pivot_price", "breakout_level", "resistance_level"), F.col("atr_14")
+    away = F.when((pivot > 0) & (atr > 0), (close_() - pivot) / atr)
     parts = [
         F.when((F.col("bar_count") >= 200) & (close_() < F.col("sma_200")), 10.0).otherwise(0.0),
-        F.when(F.coalesce(F.col("liquidity_pct"), F.lit(0.0)) < 0.2, 10.0).otherwise(0.0),
-        F.when(ratio(F.col("atr_14"), close_()) > 0.08, 5.0).otherwise(0.0),
-        F.when(stretched > 0.25, 8.0).when(stretched > 0.15, 3.0).otherwise(0.0),
+        F.when(F.col("liquidity_pct") < 0.2, 10.0).otherwise(0.0),
+        F.when(ratio(atr, close_()) > 0.08, 5.0).otherwise(0.0),
+        F.when(strong, 8.0).when(signs >= 1, 3.0).otherwise(0.0),
+        F.when(away > 2.5, 6.0).when(away > 1.5, 3.0).otherwise(0.0),
     ]
-    return rows.withColumn("penalty", sum(parts[1:], parts[0]))
+    flag = F.when(strong, "strong_exhaustion").when(signs >= 1, "mild_exhaustion").otherwise("")
+    return rows.withColumns({"penalty": sum(parts[1:], parts[0]), "exhaustion_flag": flag, "distance_from_pivot_atr": away})
 
 
 def decay(rows: DataFrame, as_of: Column, days: int = 30) -> DataFrame:
@@ -216,41 +233,70 @@ def decay(rows: DataFrame, as_of: Column, days: int = 30) -> DataFrame:
 
 
 def freshness(rows: DataFrame) -> DataFrame:
+    """Points for a young stage 2 (8 and 15 weeks) and for one that came from stage 1; a week without a stage has none."""
     w = F.col("weeks_in_stage")
-    return rows.withColumn("bonus", F.when(w <= 8, 4.0).when(w <= 15, 2.0).otherwise(0.0) + F.when((F.col("previous_stage") == "S1") & (F.col("stage") == "S2") & (w <= 8), 5.0).otherwise(0.0))
+    fresh = F.when(F.col("stage") == "S2", F.when(w <= 8, 4.0).when(w <= 15, 2.0).otherwise(0.0)).otherwise(0.0)
+    turned = F.when((F.col("previous_stage") == "S1") & (F.col("stage") == "S2") & (w <= 8), 5.0).otherwise(0.0)
+    return rows.withColumns({"freshness_bonus": fresh, "transition_bonus": turned, "bonus": fresh + turned})
+
+
+def structured(bars: DataFrame) -> DataFrame:
+    """Bars with their stage-2 score as far as it follows from the symbol alone (``_stage2``)."""
+    high, volume = full(F.max("high").over(trailing(252)), trailing(252), 20), full(F.avg("volume").over(trailing(20, skip=1)), trailing(20, skip=1), 10)
+    rows = bars.select("symbol_id", "trade_date", "open", "high", "low", "close", "volume", clip(100 * (1 - ratio(close_(), high)), 0, 100).alias("near_52w_high_pct"), ratio(volume_(), volume).alias("volume_ratio_20"))
+    return stage2_structure(rows).select("symbol_id", "trade_date", "open", "high", "low", "close", "volume", F.col("stage2_score").alias("_stage2"), "is_stage2_structural")
+
+
+def adjusted(rows: DataFrame) -> DataFrame:
+    """The composite with points for the stage-2 score, a young stage 2 and the turn to it, less the penalties, within 0 to 100."""
+    strength = F.coalesce("rel_strength", F.lit(0.0))
+    score = clip(F.col("_stage2") + F.when(strength >= 70, 10.0).otherwise(0.0) + F.when(strength >= 85, 10.0).otherwise(0.0), 0, 100)
+    rows = rows.withColumn("stage2_score", score).drop("_stage2")
+    total = F.col("composite") + 5 * F.coalesce("stage2_score", F.lit(0.0)) / 100 + F.col("freshness_bonus") + F.col("transition_bonus") - F.col("penalty")
+    return rows.withColumn("adjusted", clip(total, 0, 100))
+
+
+STAGE = ["stage", "weeks_in_stage", "previous_stage"]
+
+
+def _no_stages(rows: DataFrame) -> DataFrame:
+    return rows.withColumns({"stage": F.lit(None).cast("string"), "weeks_in_stage": F.lit(None).cast("int"), "previous_stage": F.lit(None).cast("string")})
 
 
 def factors(bars: DataFrame, master: DataFrame) -> DataFrame:
     """All factors of all bars, one shuffle by symbol and one by date."""
-    from barloom.operators.indicators import adx, atr, liquidity
+    from barloom.operators.indicators import adx, atr, liquidity, volume_zscore
 
-    rows = year_high(averages(volume_stats(returns(atr(adx(bars))))))
+    rows = year_high(averages(volume_stats(returns(atr(adx(volume_zscore(structured(bars), 20)))))))
     rows = liquidity(rows).join(master, "symbol_id", "left").withColumn("sector", F.coalesce("sector", F.lit("Other")))
     return proximity(above_long_average(trend_score(volume_intensity(acceleration(relative_strength(rows))))))
 
 
-def rank_all_days(bars: DataFrame, master: DataFrame) -> DataFrame:
-    """The ranking of every day."""
+def rank_all_days(bars: DataFrame, master: DataFrame, stages: DataFrame | None = None) -> DataFrame:
+    """The ranking of every day; a day knows the last weekly stage (symbol_id, week_end and STAGE) at or before it."""
     rows = factors(bars, master)
-    judged = confidence(penalties(eligibility(composite(own_sector(rows)))))
-    return judged.withColumn("adjusted", clip(F.col("composite") - F.col("penalty"), 0, 100))
+    rows = as_of_join(rows, stages, "symbol_id", "trade_date", "week_end", STAGE).drop("matched_at") if stages is not None else _no_stages(rows)
+    return adjusted(freshness(confidence(penalties(eligibility(composite(own_sector(rows)))))))
 
 
-def rank_latest(bars: DataFrame, master: DataFrame, n: int = 25, history: int = 300) -> DataFrame:
+def rank_latest(bars: DataFrame, master: DataFrame, n: int = 25, history: int = 300, stages: DataFrame | None = None) -> DataFrame:
     """The top n of the last session: only the tail of each symbol enters the windows.
 
     Each symbol's last bar is its row of the cross-section, whatever its date.
+    Stages are the latest of each symbol (symbol_id and STAGE).
     """
-    from barloom.operators.indicators import adx, atr
-
-    near = tail(bars, history)
-    rows = latest(year_high(averages(volume_stats(returns(atr(adx(near))))))).withColumn("session", F.col("trade_date"))
-    # one row a symbol is left, and all of them are one cross-section
-    rows = rows.withColumn("trade_date", F.max("trade_date").over(Window.partitionBy()))
+    from barloom.operators.indicators import adx, atr, volume_zscore
+
+    near = structured(tail(bars, history))
+    rows = latest(year_high(averages(volume_stats(returns(atr(adx(volume_zscore(near, 20))))))))
+    rows = rows.withColumn("session", F.col("trade_date"))
+    # one row a symbol is left, and all of them are one cross-section: the last session of all, one row
+    end = rows.agg(F.max("trade_date").alias("_end"))
+    rows = rows.join(F.broadcast(end)).withColumn("trade_date", F.col("_end")).drop("_end")
+    rows = rows.join(stages.select("symbol_id", *STAGE), "symbol_id", "left") if stages is not None else _no_stages(rows)
     rows = rows.withColumn("liquidity_pct", pct_rank(close_() * volume_(), "trade_date")).join(master, "symbol_id", "left").withColumn("sector", F.coalesce("sector", F.lit("Other")))
     rows = proximity(above_long_average(trend_score(volume_intensity(acceleration(relative_strength(rows))))))
-    judged = confidence(penalties(eligibility(composite(own_sector(rows)))))
-    judged = judged.withColumn("adjusted", clip(F.col("composite") - F.col("penalty"), 0, 100))
+    judged = adjusted(freshness(confidence(penalties(eligibility(composite(own_sector(rows)))))))
     return top(judged.filter("eligible"), n)
 
 
@@ -266,9 +312,3 @@ def information(panel: DataFrame, score: str, outcome: str, n: int = 20) -> Data
 def history_upsert(stored: DataFrame, fresh: DataFrame, *keys: str) -> DataFrame:
     """Stored rows without those that fresh rows replace, and the fresh rows."""
     return stored.join(fresh.select(*keys).distinct(), list(keys), "left_anti").unionByName(fresh)
-
-
-def weighted_panels(panel: DataFrame, weights: DataFrame, factors_: list[str]) -> DataFrame:
-    """Composite of every row under every weight row (a small table of weight vectors that is checked to be small)."""
-    total = sum((F.coalesce(F.col(f"w_{c}"), F.lit(0.0)) * F.coalesce(F.col(c), F.lit(0.5)) for c in factors_), F.lit(0.0))
-    return panel.join(F.broadcast(weights), panel["trade_date"].isNotNull()).withColumn("composite", total)

@@ -23,23 +23,36 @@ def wf(n):
 
 SQL |= {
     "wk0": "SELECT symbol_id, CAST(trade_date + CAST((12 - isodow(trade_date)) % 7 AS INTEGER) AS DATE) AS week_end, arg_min(open, trade_date) AS open, max(high) AS high, min(low) AS low, arg_max(close, trade_date) AS close, sum(volume) AS volume FROM bars GROUP BY 1, 2",
-    "wk1": f"SELECT *, {', '.join(f'avg(close) {wf(n)} AS ma{n}w' for n in (10, 30, 40))}, greatest(high, lag(close) {WW}) - least(low, lag(close) {WW}) AS tr FROM wk0",
-    "wk": f"SELECT *, ma30w / nullif(lag(ma30w, 4) {WW}, 0) - 1 AS ma30w_slope_4w, max(high) {wf(52)} AS high_52w, min(low) {wf(52)} AS low_52w, avg(tr) {wf(10)} AS atr10, avg(tr) {wf(30)} AS atr30, volume / nullif(avg(volume) {wf(10)}, 0) AS volume_ratio, row_number() {WW} AS weeks FROM wk1",
+    "wk1": f"SELECT *, {', '.join(f'CASE WHEN count(close) {wf(n)} >= {n} THEN avg(close) {wf(n)} END AS ma{n}w' for n in (10, 30, 40))}, CASE WHEN count(volume) {wf(20)} >= 20 THEN avg(volume) {wf(20)} END AS v20, greatest(high, lag(close) {WW}) - least(low, lag(close) {WW}) AS tr FROM wk0",
+    "wk": f"SELECT *, ma30w / nullif(lag(ma30w, 4) {WW}, 0) - 1 AS ma30w_slope_4w, CASE WHEN count(close) {wf(52)} >= 10 THEN max(close) {wf(52)} END AS high_52w, CASE WHEN count(close) {wf(52)} >= 10 THEN min(close) {wf(52)} END AS low_52w, CASE WHEN count(tr) {wf(10)} >= 10 THEN avg(tr) {wf(10)} END AS atr10, CASE WHEN count(tr) {wf(30)} >= 30 THEN avg(tr) {wf(30)} END AS atr30, volume / nullif(v20, 0) AS volume_ratio, row_number() {WW} AS weeks FROM wk1",
 }
+FROM_HIGH, FROM_LOW = "coalesce(100 * (high_52w - close) / nullif(high_52w, 0), 100)", "coalesce(100 * (close - low_52w) / nullif(low_52w, 0), 100)"
+TWO = lambda least: ["close > ma30w", f"ma30w_slope_4w > {least}", "ma10w > ma30w", "close > ma40w", f"{FROM_HIGH} <= 15"]
 CHK = {
-    "S2": ["close > ma30w", "ma30w_slope_4w > 0.005", "close >= 0.8 * high_52w", "ma10w > ma30w"],
-    "S4": ["close < ma30w", "ma30w_slope_4w < -0.005", "close <= 1.3 * low_52w", "ma10w < ma30w"],
-    "S3": ["abs(ma30w_slope_4w) <= 0.005", "abs(close / nullif(ma30w, 0) - 1) <= 0.05", "close >= 0.7 * high_52w"],
-    "S1": ["abs(ma30w_slope_4w) <= 0.005", "abs(close / nullif(ma30w, 0) - 1) <= 0.05", "close < 0.7 * high_52w"],
+    "S2": TWO(0.005),
+    "S2on": TWO(0.002),
+    "S4": ["close < ma30w", "ma30w_slope_4w < -0.005", "ma10w < ma30w", "close < ma40w", f"{FROM_LOW} <= 20"],
+    "S3": [f"{FROM_HIGH} <= 20", "abs(ma30w_slope_4w) <= 0.005", "atr10 > 1.1 * atr30", "NOT coalesce(ma10w > 1.03 * ma30w AND ma30w_slope_4w > 0.005, false)"],
+    "S1": ["abs(close / nullif(ma30w, 0) - 1) < 0.05", "abs(ma30w_slope_4w) < 0.005", f"{FROM_LOW} <= 30", "volume_ratio < 1", "abs(ma10w / nullif(ma30w, 0) - 1) < 0.03"],
 }
 SC = {k: "(" + " + ".join(f"CASE WHEN {c} THEN 1.0 ELSE 0.0 END" for c in v) + f") / {len(v)}" for k, v in CHK.items()}
 SQL["stg0"] = f"SELECT *, {', '.join(f'CAST({v} AS DOUBLE) AS x{k}' for k, v in SC.items())} FROM wk"
-SQL["stg1"] = "SELECT *, greatest(xS2, xS4, xS3, xS1) AS best FROM stg0"
-SQL["stg"] = "SELECT symbol_id, week_end, best AS confidence, CASE WHEN best < 0.4 OR weeks < 30 THEN 'UNDEFINED' WHEN xS2 = best THEN 'S2' WHEN xS4 = best THEN 'S4' WHEN xS3 = best THEN 'S3' ELSE 'S1' END AS stage FROM stg1"
+
+
+def named(two: str) -> str:
+    top = f"greatest({two}, xS4, xS3, xS1)"
+    return f"CASE WHEN weeks < 30 OR {top} < 0.4 THEN 'UNDEFINED' WHEN {two} = {top} THEN 'S2' WHEN xS4 = {top} THEN 'S4' WHEN xS3 = {top} THEN 'S3' ELSE 'S1' END"
+
+
+# the weeks of a symbol in turn, each knowing whether the one before was stage 2
+TURN = "lambda a, w: {'fresh': w.fresh, 'goes': w.goes, 'out': list_append(a.out, CASE WHEN len(a.out) > 0 AND a.out[-1] = 'S2' THEN w.goes ELSE w.fresh END)}"
+SQL["stg1"] = f"SELECT *, {named('xS2')} AS fresh, {named('xS2on')} AS goes FROM stg0"
+SQL["stg2"] = f"SELECT symbol_id, list_reduce(list({{'fresh': fresh, 'goes': goes, 'out': CAST([] AS VARCHAR[])}} ORDER BY week_end), {TURN}, {{'fresh': '', 'goes': '', 'out': CAST([] AS VARCHAR[])}}).out AS labels FROM stg1 GROUP BY 1"
+SQL["stg"] = f"SELECT a.symbol_id, week_end, labels[weeks] AS stage, CASE WHEN weeks < 30 THEN 0.0 ELSE round(greatest(CASE WHEN weeks > 1 AND labels[weeks - 1] = 'S2' THEN xS2on ELSE xS2 END, xS4, xS3, xS1), 3) END AS confidence FROM stg1 a JOIN stg2 b ON b.symbol_id = a.symbol_id"
 SQL["age0"] = f"SELECT *, lag(stage) {WW} AS prev, CASE WHEN lag(stage) {WW} IS NOT DISTINCT FROM stage THEN 0 ELSE 1 END AS ch FROM stg"
 SQL["age1"] = f"SELECT *, sum(ch) {WW} AS run FROM age0"
 SQL["age"] = "SELECT symbol_id, week_end, stage, confidence, row_number() OVER (PARTITION BY symbol_id, run ORDER BY week_end) AS bars_in_stage, first(week_end) OVER (PARTITION BY symbol_id, run ORDER BY week_end) AS entry_date, concat_ws('->', first(prev) OVER (PARTITION BY symbol_id, run ORDER BY week_end), stage) AS transition FROM age1"
-NEEDS |= {"wk0": ["bars"], "wk1": ["wk0"], "wk": ["wk1"], "stg0": ["wk"], "stg1": ["stg0"], "stg": ["stg1"], "age0": ["stg"], "age1": ["age0"], "age": ["age1"]}
+NEEDS |= {"wk0": ["bars"], "wk1": ["wk0"], "wk": ["wk1"], "stg0": ["wk"], "stg1": ["stg0"], "stg2": ["stg1"], "stg": ["stg1", "stg2"], "age0": ["stg"], "age1": ["age0"], "age": ["age1"]}
 LASTW = "QUALIFY row_number() OVER (PARTITION BY symbol_id ORDER BY week_end DESC) = 1"
 stage_rows = lambda s, d: mk.stage_age(mk.classify(mk.weekly(bars(s, d))))
 last_stage = lambda s, d: rk.latest(stage_rows(s, d), order="week_end")

@@ -26,7 +26,7 @@ last("rk4_year_high", rk.year_high, ["high_52w", "lookback"], f"SELECT symbol_id
 
 #: One row per symbol at its last bar, as SQL.
 BASE = f"""base AS (SELECT symbol_id, trade_date, close, volume, high, {", ".join(f"{x} AS ret_{n}" for n, x in RETS.items())}, avg(close) {frame(20)} AS sma_20, avg(close) {frame(50)} AS sma_50, avg(close) {frame(200)} AS sma_200, count(*) {W} AS bar_count,
-avg(volume) {frame(21)} AS vol_mean, (volume - avg(volume) {frame(20, 1)}) / nullif(stddev_samp(volume) {frame(20, 1)}, 0) AS vol_z, max(high) {frame(252)} AS high_52w, count(*) {frame(252)} AS lookback FROM bars {LATEST}),
+avg(volume) {frame(21)} AS vol_mean, (volume - avg(volume) {frame(20, 1)}) / nullif(stddev_samp(volume) {frame(20, 1)}, 0) AS vol_z, CASE WHEN count(*) {frame(20, 1)} >= 20 THEN (volume - avg(volume) {frame(20, 1)}) / nullif(stddev_pop(volume) {frame(20, 1)}, 0) END AS vol_z20, max(high) {frame(252)} AS high_52w, count(*) {frame(252)} AS lookback FROM bars {LATEST}),
 snap AS (SELECT b.*, coalesce(sector, 'Other') AS sector, market_cap FROM base b LEFT JOIN master USING (symbol_id))"""
 
 
@@ -70,7 +70,7 @@ TREND = "0.7 * least(coalesce(adx, 0) / 50 * 100, 100.0) + 0.3 * (CASE WHEN clos
 
 
 def trended(s, d):
-    rows = rk.latest(rk.year_high(rk.averages(rk.volume_stats(rk.returns(ti.atr(ti.adx(bars(s, d))))))))
+    rows = rk.latest(rk.year_high(rk.averages(rk.volume_stats(rk.returns(ti.atr(ti.adx(ti.volume_zscore(bars(s, d), 20))))))))
     rows = rows.join(master(s, d), "symbol_id", "left").withColumn("sector", F.coalesce("sector", F.lit("Other"))).withColumn("trade_date", F.lit("2001-12-31").cast("date"))
     from barloom.functions.stats import pct_rank
 
@@ -108,7 +108,9 @@ def by_strength(s, d):
 
 R.add("rk17_top", lambda s, d: rk.top(by_strength(s, d), 25, 40.0).select("symbol_id", "composite"), "bars master", f"WITH {BASE}, {RANKED} SELECT symbol_id, {r('composite', 'composite')} FROM ranked WHERE composite >= 40 ORDER BY round(composite, 6) DESC, symbol_id LIMIT 25")
 ELIG = "CASE WHEN close < 20 THEN 'price' END, CASE WHEN bar_count < 60 THEN 'history' END, CASE WHEN coalesce(liquidity_pct, 0) < 0.2 THEN 'liquidity' END"
-PEN = "CASE WHEN bar_count >= 200 AND close < sma_200 THEN 10.0 ELSE 0.0 END + CASE WHEN coalesce(liquidity_pct, 0) < 0.2 THEN 10.0 ELSE 0.0 END + CASE WHEN atr_14 / nullif(close, 0) > 0.08 THEN 5.0 ELSE 0.0 END + CASE WHEN close / nullif(sma_20, 0) - 1 > 0.25 THEN 8.0 WHEN close / nullif(sma_20, 0) - 1 > 0.15 THEN 3.0 ELSE 0.0 END"
+STRETCH = "close / nullif(sma_20, 0) - 1"
+SIGNS = f"(CASE WHEN vol_z20 > 3 THEN 1 ELSE 0 END + CASE WHEN {STRETCH} > 0.12 THEN 1 ELSE 0 END)"
+PEN = f"CASE WHEN bar_count >= 200 AND close < sma_200 THEN 10.0 ELSE 0.0 END + CASE WHEN liquidity_pct < 0.2 THEN 10.0 ELSE 0.0 END + CASE WHEN atr_14 / nullif(close, 0) > 0.08 THEN 5.0 ELSE 0.0 END + CASE WHEN vol_z20 > 4 OR {STRETCH} > 0.20 OR {SIGNS} >= 2 THEN 8.0 WHEN {SIGNS} >= 1 THEN 3.0 ELSE 0.0 END"
 GATED = f"WITH {BASE}, {TREND_SQL}, {FACTORS}, g AS (SELECT *, concat_ws(',', {ELIG}) AS rejection, {PEN} AS penalty FROM fc)"
 R.add("rk18_confidence", lambda s, d: rk.confidence(rk.penalties(rk.eligibility(trended(s, d)))).select("symbol_id", "confidence"), "bars master", f"{GATED} SELECT symbol_id, {r('''least(bar_count / 252.0, 1.0) * CASE WHEN rejection = '' THEN 1.0 ELSE 0.5 END * (1 - penalty / 100)''', 'confidence')} FROM g")
 R.add("rk22_eligibility", lambda s, d: rk.eligibility(trended(s, d)).select("symbol_id", "rejection", "eligible"), "bars master", f"{GATED} SELECT symbol_id, rejection, rejection = '' AS eligible FROM g")
@@ -149,10 +151,9 @@ e AS (SELECT {", ".join(f"quantile_cont(f{k}, 0.05) AS l{k}, quantile_cont(f{k},
 w AS (SELECT q.* REPLACE ({", ".join(f"CASE WHEN f{k} IS NOT NULL THEN greatest(l{k}, least(h{k}, f{k})) END AS f{k}" for k in range(4))}) FROM q, e),
 m AS (SELECT * REPLACE ({", ".join(f"round(f{k} - quantile_cont(f{k}, 0.5) OVER (PARTITION BY sector), 9) AS f{k}" for k in range(2))}) FROM w),
 t AS (SELECT *, 38 * {p('f0')} + 22 * {p('f1')} + 18 * {p('f2')} + 22 * {p('f3')} AS composite, concat_ws(',', {ELIG}) AS rejection, {PEN} AS penalty FROM m),
-u AS (SELECT *, CAST(row_number() OVER (ORDER BY round(composite, 6) DESC, symbol_id) AS INTEGER) AS rank FROM t)
-SELECT symbol_id, sector, {r('composite', 'composite')}, {r('penalty', 'penalty')}, {r('greatest(0.0, least(100.0, composite - penalty))', 'adjusted')}, rank FROM u WHERE rejection = '' ORDER BY round(composite, 6) DESC, symbol_id LIMIT 25"""
-R.add("rk26_rank_latest", lambda s, d: rk.rank_latest(bars(s, d), master(s, d)).select("symbol_id", "sector", "composite", "penalty", "adjusted", "rank"), "bars master", TOP)
-R.add("rk27_rank_all_days", lambda s, d: rk.rank_all_days(bars(s, d), master(s, d)).select("symbol_id", "trade_date", "composite", "rank", "adjusted", "eligible"))
+u AS (SELECT *, CAST(row_number() OVER (ORDER BY round(composite, 6) DESC, symbol_id) AS INTEGER) AS rank FROM t),
+v AS (SELECT u.*, least(100, two.stage2_score + CASE WHEN rel_strength >= 70 THEN 10 ELSE 0 END + CASE WHEN rel_strength >= 85 THEN 10 ELSE 0 END) AS stage2_score, CASE WHEN stage = 'S2' THEN CASE WHEN bars_in_stage <= 8 THEN 4 WHEN bars_in_stage <= 15 THEN 2 ELSE 0 END ELSE 0 END + CASE WHEN transition = 'S1->S2' AND bars_in_stage <= 8 THEN 5 ELSE 0 END AS bonus FROM u LEFT JOIN two USING (symbol_id) LEFT JOIN weekly USING (symbol_id))
+SELECT symbol_id, sector, {r('composite', 'composite')}, {r('penalty', 'penalty')}, CAST(stage2_score AS DOUBLE) AS stage2_score, {r('greatest(0.0, least(100.0, composite + 5 * coalesce(stage2_score, 0) / 100 + bonus - penalty))', 'adjusted')}, rank FROM v WHERE rejection = '' ORDER BY round(composite, 6) DESC, symbol_id LIMIT 25"""
 R.add("rk6_excess_strength", lambda s, d: rk.excess_strength(rk.relative_strength(rk.returns(bars(s, d))), rk.returns(benchmark(bars(s, d)).withColumnRenamed("bench_close", "close").withColumn("symbol_id", F.lit(0)), 20, 60)).select("symbol_id", "trade_date", "excess"), "bars bench", f"""WITH b AS (SELECT trade_date, 100 * (bench_close / nullif(lag(bench_close, 20) OVER (ORDER BY trade_date), 0) - 1) AS b20, 100 * (bench_close / nullif(lag(bench_close, 60) OVER (ORDER BY trade_date), 0) - 1) AS b60 FROM bench),
 a AS (SELECT symbol_id, trade_date, {RETS[20]} AS r20, {RETS[60]} AS r60 FROM bars), x AS (SELECT symbol_id, trade_date, r20 - b20 AS p, r60 - b60 AS q FROM a LEFT JOIN b USING (trade_date))
 SELECT symbol_id, trade_date, {r('(coalesce(p, 0) + coalesce(q, 0)) / nullif(CASE WHEN p IS NULL THEN 0 ELSE 1 END + CASE WHEN q IS NULL THEN 0 ELSE 1 END, 0)', 'excess')} FROM x""")

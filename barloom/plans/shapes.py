@@ -10,8 +10,9 @@ from barloom.operators import market as mk
 from barloom.operators import patterns as pt
 from barloom.operators import ranking as rk
 from barloom.plans import companies, markets  # noqa: F401  their SQL definitions are used here
+from barloom.plans.formations import NEAR, structure_sql
 from barloom.plans.kit import NEEDS, SQL, Registry
-from barloom.plans.ranks import LATEST
+from barloom.plans.ranks import LATEST, TOP
 from barloom.plans.technical import VZ, W, frame, pct, r
 from barloom.sources.bars import bars, events, master
 
@@ -44,7 +45,17 @@ R.add("pt29_outcomes", lambda s, d: signals(s, d).select(*KEY, "family", "fwd_20
 HIT = r("avg(CASE WHEN fwd_20 > 0 THEN 1.0 WHEN fwd_20 IS NOT NULL THEN 0 END)", "hit_rate")
 R.add("pt30_families", lambda s, d: pt.family_statistics(signals(s, d)), "sig", f"SELECT family, count(*) AS signals, {HIT}, {r('avg(fwd_20)', 'mean')}, {r('quantile_cont(fwd_20, 0.5)', 'median')} FROM sig WHERE family IS NOT NULL GROUP BY ROLLUP (family)")
 R.add("pt31_by_year", lambda s, d: pt.by_year(signals(s, d)), "sig", f"SELECT CAST(year(trade_date) AS INTEGER) AS year, family, count(*) AS signals, {r('avg(fwd_20)', 'mean')} FROM sig WHERE family IS NOT NULL GROUP BY 1, 2")
-R.add("rk25_freshness", lambda s, d: rk.freshness(mk.stage_age(mk.classify(mk.weekly(bars(s, d)))).withColumns({"weeks_in_stage": F.col("bars_in_stage"), "previous_stage": F.lag("stage").over(along(order="week_end"))})).select("symbol_id", "week_end", "bonus"), "age", "WITH x AS (SELECT *, lag(stage) OVER (PARTITION BY symbol_id ORDER BY week_end) AS p FROM age) SELECT symbol_id, week_end, CAST(CASE WHEN bars_in_stage <= 8 THEN 4.0 WHEN bars_in_stage <= 15 THEN 2.0 ELSE 0.0 END + CASE WHEN p = 'S1' AND stage = 'S2' AND bars_in_stage <= 8 THEN 5.0 ELSE 0.0 END AS DOUBLE) AS bonus FROM x")
+def staged(s, d):
+    """Weekly stages with their age and the stage before."""
+    rows = mk.stage_age(mk.classify(mk.weekly(bars(s, d))))
+    return rows.select("symbol_id", "week_end", "stage", F.col("bars_in_stage").alias("weeks_in_stage"), F.when(F.contains("transition", F.lit("->")), F.split("transition", "->")[0]).alias("previous_stage"))
+
+
+R.add("rk25_freshness", lambda s, d: rk.freshness(staged(s, d)).select("symbol_id", "week_end", "bonus"), "age", "SELECT symbol_id, week_end, CAST(CASE WHEN stage <> 'S2' THEN 0.0 WHEN bars_in_stage <= 8 THEN 4.0 WHEN bars_in_stage <= 15 THEN 2.0 ELSE 0.0 END + CASE WHEN transition = 'S1->S2' AND bars_in_stage <= 8 THEN 5.0 ELSE 0.0 END AS DOUBLE) AS bonus FROM age")
+#: Score of the structure of each symbol's last bar, and its last weekly stage.
+EXTRA = f"sx AS (SELECT *, {NEAR}, 0 AS rs FROM bars), {structure_sql('sx')}, two AS (SELECT symbol_id, stage2_score FROM st {LATEST}), weekly AS (SELECT symbol_id, stage, bars_in_stage, transition FROM age QUALIFY row_number() OVER (PARTITION BY symbol_id ORDER BY week_end DESC) = 1)"
+R.add("rk26_rank_latest", lambda s, d: rk.rank_latest(bars(s, d), master(s, d), stages=rk.latest(staged(s, d), order="week_end")).select("symbol_id", "sector", "composite", "penalty", "stage2_score", "adjusted", "rank"), "bars master age", TOP.replace("WITH ", f"WITH {EXTRA}, ", 1))
+R.add("rk27_rank_all_days", lambda s, d: rk.rank_all_days(bars(s, d), master(s, d), staged(s, d)).select("symbol_id", "trade_date", "composite", "rank", "adjusted", "eligible"))
 R.add("bo14_trend_flips", lambda s, d: ti.batch_supertrend(ti.adx(bars(s, d))).withColumn("_p", F.lag("st_direction").over(along())).filter("st_direction = 1 and _p < 1 and adx >= 10").select(*KEY))
 R.add("bo15_extremes", lambda s, d: ti.rsi(ti.adx(bars(s, d))).filter("(rsi_14 < 30 or rsi_14 > 70) and adx < 25").select(*KEY))
 R.add("br8_phase1", lambda s, d: mk.breadth(bars(s, d)).select("trade_date", (70 * F.col("pct50") + 30 * F.col("pct200")).alias("score"), (F.col("advances") / F.nullif(F.col("declines"), F.lit(0))).alias("ad_ratio")), "br", f"SELECT trade_date, {r('70 * pct50 + 30 * pct200', 'score')}, {r('advances * 1.0 / nullif(declines, 0)', 'ad_ratio')} FROM br")
