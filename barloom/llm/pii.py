@@ -106,7 +106,9 @@ def instances(docs: DataFrame) -> DataFrame:
     base = F.col("ok") & (F.col("kind") < ORDER.index(FOUND))
     along = Window.partitionBy("_row").orderBy("start", "kind", "end")
     reach = F.max(F.when(base, F.col("end"))).over(along.rowsBetween(Window.unboundedPreceding, -1))
-    ahead = F.min(F.when(base, F.col("start"))).over(along.rowsBetween(1, Window.unboundedFollowing))
+    # the same rows from the other end: a frame that shrinks would be worked out anew for each row
+    backwards = Window.partitionBy("_row").orderBy(F.desc("start"), F.desc("kind"), F.desc("end"))
+    ahead = F.min(F.when(base, F.col("start"))).over(backwards.rowsBetween(Window.unboundedPreceding, -1))
     clear = valid.withColumns({"_reach": reach, "_ahead": ahead})
     overlaps = (F.col("kind") == ORDER.index(FOUND)) & (F.coalesce(F.col("_reach") > F.col("start"), F.lit(False)) | F.coalesce(F.col("_ahead") < F.col("end"), F.lit(False)))
     # a first row that is not valid stays as an empty row, so that no text is lost
