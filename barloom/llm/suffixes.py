@@ -18,7 +18,6 @@ from hashlib import sha256
 
 import numpy as np
 import pandas as pd
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -38,6 +37,8 @@ SAMPLE_ROWS = 16
 _M = 0x5851F42D4C957F2D
 _INVERSE = pow(_M, -1, 1 << 64)
 _PLACE = np.uint64((1 << 20) - 1)
+#: A number for each byte, from the multiplier alone.
+_NUMBERS = np.array([(pow(_M, 3 * b + 5, 1 << 64) ^ (pow(_M, 7 * b + 11, 1 << 64) >> 29)) | 1 for b in range(256)], dtype=np.uint64)
 _powers = {"up": np.ones(1, dtype=np.uint64), "down": np.ones(1, dtype=np.uint64)}
 
 
@@ -56,12 +57,22 @@ def _power(which: str, n: int) -> np.ndarray:
     return known[:n]
 
 
-def rolling(data: np.ndarray, size: int) -> np.ndarray:
+def prefix_sums(data: np.ndarray) -> np.ndarray:
+    """Sums of the bytes' numbers times powers, from which follows the hash of every stretch."""
+    sums = np.zeros(len(data) + 1, dtype=np.uint64)
+    np.cumsum(_NUMBERS[data] * _power("up", len(data)), out=sums[1:])
+    return sums
+
+
+def stretch_hash(sums: np.ndarray, first: np.ndarray, size: np.ndarray, more: np.ndarray) -> np.ndarray:
+    """Mixed hash of the bytes from first, size of them, and a further number."""
+    below = _power("down", len(sums))[first]
+    return _mixed((sums[first + size] - sums[first]) * below + size.astype(np.uint64) * np.uint64(_M) + more.astype(np.uint64))
+
+
+def rolling(sums: np.ndarray, size: int) -> np.ndarray:
     """Mixed hash of each stretch of ``size`` bytes."""
-    n = len(data)
-    sums = np.zeros(n + 1, dtype=np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * _power("up", n), out=sums[1:])
-    return _mixed((sums[size:] - sums[:-size]) * _power("down", n - size + 1) + np.uint64(size))
+    return _mixed((sums[size:] - sums[:-size]) * _power("down", len(sums) - size) + np.uint64(size))
 
 
 def runs(raw: bytes) -> tuple[np.ndarray, ...]:
@@ -72,7 +83,8 @@ def runs(raw: bytes) -> tuple[np.ndarray, ...]:
     out = []
     for base in range(0, len(raw) - WINDOW + 1, SEGMENT):
         piece = raw[base : base + SEGMENT + WINDOW - 1]
-        grams = rolling(np.frombuffer(piece, dtype=np.uint8), GRAM)
+        sums = prefix_sums(np.frombuffer(piece, dtype=np.uint8))
+        grams = rolling(sums, GRAM)
         lowest = (grams & ~_PLACE) | np.arange(len(grams), dtype=np.uint64)
         width = WINDOW - GRAM + 1
         reach = 1
@@ -84,8 +96,7 @@ def runs(raw: bytes) -> tuple[np.ndarray, ...]:
         anchor = (lowest & _PLACE).astype(np.int64)
         first = np.nonzero(np.concatenate([[True], anchor[1:] != anchor[:-1]]))[0]
         count = np.diff(np.concatenate([first, [len(anchor)]]))
-        view = memoryview(piece)
-        content = np.fromiter((xxhash.xxh3_64_intdigest(view[s : s + k + WINDOW - 1], seed=a - s) for s, k, a in zip(first.tolist(), count.tolist(), anchor[first].tolist(), strict=True)), dtype=np.uint64, count=len(first))
+        content = stretch_hash(sums, first, count + WINDOW - 1, anchor[first] - first)
         out.append((grams[anchor[first]].astype(np.int64), content.astype(np.int64), first + base, count))
     return tuple(np.concatenate(p) for p in zip(*out, strict=True))
 
@@ -107,15 +118,28 @@ def _suffix_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             yield pd.DataFrame({"leading": columns[0], "content": columns[1], "doc_id": np.repeat(np.array([i for i, _ in parts], dtype=np.int64), sizes), "start": columns[2], "windows": columns[3].astype(np.int32)})
 
 
+def spread(first: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """The numbers from each first on, count of them, sorted and once each."""
+    ends = np.cumsum(count)
+    return np.unique(np.repeat(first - ends + count, count) + np.arange(ends[-1] if len(ends) else 0))
+
+
 def _window_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
-        for doc_id, text, own in zip(batch["doc_id"], batch["text"], batch["runs"], strict=True):
-            data = np.frombuffer(_bytes(text), dtype=np.uint8)
-            if len(data) < WINDOW:
-                continue
-            starts = np.concatenate([np.arange(r["start"], r["start"] + r["windows"]) for r in own])
-            starts = np.unique(starts[starts <= len(data) - WINDOW])
-            yield pd.DataFrame({"window": rolling(data, WINDOW)[starts].astype(np.int64), "doc_id": np.int64(doc_id), "start": starts})
+        for low in range(0, len(batch), 256):
+            part = batch.iloc[low : low + 256]
+            ids, windows, places = [], [], []
+            for doc_id, text, first, count in zip(part["doc_id"], part["text"], part["first"], part["count"], strict=True):
+                data = np.frombuffer(_bytes(text), dtype=np.uint8)
+                if len(data) < WINDOW:
+                    continue
+                starts = spread(np.asarray(first, dtype=np.int64), np.asarray(count, dtype=np.int64))
+                starts = starts[starts <= len(data) - WINDOW]
+                ids.append(np.full(len(starts), doc_id, dtype=np.int64))
+                windows.append(rolling(prefix_sums(data), WINDOW)[starts].astype(np.int64))
+                places.append(starts)
+            if ids:  # many documents a frame: each frame is a batch of its own on its way back
+                yield pd.DataFrame({"window": np.concatenate(windows), "doc_id": np.concatenate(ids), "start": np.concatenate(places)})
 
 
 def dealt(rows: np.ndarray, splitters: np.ndarray) -> np.ndarray:
@@ -226,8 +250,9 @@ def repeats(docs: DataFrame) -> DataFrame:
     # different contents with one leading token: windows of the first run of each
     several = firsts.groupBy("leading").agg(F.countDistinct("content").alias("contents")).filter("contents > 1").select("leading")
     partly = firsts.join(several, "leading").groupBy("doc_id").agg(F.collect_list(F.struct("start", "windows")).alias("runs"))
+    partly = partly.select("doc_id", F.col("runs.start").alias("first"), F.col("runs.windows").alias("count"))
 
-    windows = _to_texts(texts, partly, F.size("runs") * 16)
+    windows = _to_texts(texts, partly, F.size("first") * 16)
     single = sorted_neighbours(windows, _window_rows, "window long, doc_id long, start long", ["window"], False).filter("again").select("doc_id", "start", (F.col("start") + WINDOW).alias("end"))
     return whole.unionByName(single).groupBy("doc_id").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("spans")).select("doc_id", F.col("spans.start").alias("starts"), F.col("spans.end").alias("ends"))
 
