@@ -17,7 +17,7 @@ import ahocorasick
 import numpy as np
 import pandas as pd
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: The splitting pattern of byte-level BPE.
@@ -223,7 +223,9 @@ def counter(path: str) -> PrefixCounter:
 def count_tokens(docs: DataFrame, path: str, limit: int = LIMIT) -> DataFrame:
     """Add ``n_bytes``, ``n_tokens`` and ``over_limit`` to every row; null texts count as empty.
 
-    Columns of those names in ``docs`` are replaced.
+    Columns of those names in ``docs`` are replaced, others stay. Repeated rows
+    count each, texts of any length are counted whole, and an empty table gives an
+    empty result.
     """
 
     @F.pandas_udf("long")
@@ -236,13 +238,43 @@ def count_tokens(docs: DataFrame, path: str, limit: int = LIMIT) -> DataFrame:
     return out.withColumn("over_limit", F.col("n_tokens") > limit)
 
 
-def truncate(docs: DataFrame, path: str, budget: int) -> DataFrame:
-    """Replace each text by its longest prefix of at most ``budget`` tokens; nulls stay."""
+def with_prefix_counts(docs: DataFrame, path: str) -> DataFrame:
+    """``docs`` with ``prefix_counts``: the exact token counts of the first 0, 1, 2 ... characters of each text.
 
-    @F.pandas_udf("string")
-    def cut(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        fit = counter(path).fitting_prefix
+    Written once, the column answers every question about budgets and places
+    (``fitting``, ``truncate``, ``tokens_before``) without the tokenizer. It takes
+    four bytes a character before compression. A null or empty text has the count
+    of no characters alone; a column of that name is replaced.
+    """
+
+    @F.pandas_udf("array<int>")
+    def counts(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        of = counter(path).prefix_counts
         for texts in batches:
-            yield pd.Series([None if t is None else t[: fit(t, budget)] for t in texts], dtype=object)
+            yield pd.Series([of(t).astype(np.int32) for t in texts], dtype=object)
+
+    return docs.withColumn("prefix_counts", counts("text"))
+
+
+def fitting(budget: int | Column) -> Column:
+    """Characters of the longest prefix with at most ``budget`` tokens, from the stored counts; 0 for a negative budget."""
+    limit = F.lit(budget) if isinstance(budget, int) else budget
+    places = F.transform("prefix_counts", lambda n, i: F.when(n <= limit, i))
+    return F.coalesce(F.array_max(places), F.lit(0))
 
-    return docs.withColumn("text", cut("text"))
+
+def tokens_before(characters: int | Column) -> Column:
+    """Tokens of the first so many characters, from the stored counts; of all of them where there are fewer."""
+    at = F.lit(characters) if isinstance(characters, int) else characters
+    return F.get("prefix_counts", F.greatest(F.least(at, F.size("prefix_counts") - 1), F.lit(0)))
+
+
+def truncate(counted: DataFrame, budget: int | Column) -> DataFrame:
+    """Replace each text of a table with ``prefix_counts`` by its longest prefix of at most ``budget`` tokens; nulls stay.
+
+    The counts are cut with it, so that a smaller budget can be asked next. Nothing
+    is encoded again. Empty texts stay empty, repeated rows stay, texts of any
+    length are treated alike, and an empty table gives an empty result.
+    """
+    cut = counted.withColumn("_n", fitting(budget))
+    return cut.withColumns({"text": F.substring(F.col("text"), F.lit(1), F.col("_n")), "prefix_counts": F.slice("prefix_counts", F.lit(1), F.col("_n") + 1)}).drop("_n")

@@ -128,8 +128,40 @@ def test_token_columns(spark):
         n = len(lib.encode(r[1] or "", add_special_tokens=False).ids)
         want.add((r[0], len((r[1] or "").encode()), n, n > 1024))
     assert got == want
-    short = tokens.truncate(spark.createDataFrame(rows, SCHEMA), BPE, 4)
-    assert tokens.count_tokens(short, BPE).agg(F.max("n_tokens")).first()[0] <= 4
+
+
+def test_budgets_are_answered_from_stored_counts(spark):
+    lib = Tokenizer.from_file(BPE)
+    size = lambda t: len(lib.encode(t, add_special_tokens=False).ids)
+    rows = [r for r in awkward() + crowd(10) if r[0] != 6] + [(50, "a<|endoftext|>b naïve 😀 text", "en", "a", 1)]
+    stored = tokens.with_prefix_counts(spark.createDataFrame(rows, SCHEMA).withColumn("prefix_counts", F.lit("mine")), BPE).cache()
+    whole = {r["doc_id"]: r["text"] for r in stored.collect()}
+    for budget in (0, 1, 4, 7, 10_000, -3):
+        for r in tokens.truncate(stored, budget).select("doc_id", "text", "prefix_counts").collect():
+            text = whole[r["doc_id"]]
+            if text is None:
+                assert r["text"] is None
+                continue
+            best = max((k for k in range(len(text) + 1) if len(text) < 200 and size(text[:k]) <= max(budget, 0)), default=None) if len(text) < 200 else None
+            assert r["text"] == text[: len(r["text"])] and size(r["text"]) <= max(budget, 0)
+            assert best is None or len(r["text"]) == best
+            assert len(r["prefix_counts"]) == len(r["text"]) + 1
+    twice = {r["doc_id"]: r["text"] for r in tokens.truncate(tokens.truncate(stored, 7), 4).collect()}
+    assert twice == {r["doc_id"]: r["text"] for r in tokens.truncate(stored, 4).collect()}
+    for r in stored.select("doc_id", tokens.tokens_before(3).alias("n")).collect():
+        assert r["n"] == size((whole[r["doc_id"]] or "")[:3])
+    assert tokens.truncate(stored.limit(0), 4).count() == 0
+
+
+def test_toxicity_on_labels_it_has_not_seen(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    held = held_out("doc_id", 5, 0)
+    chain = toxicity.fit(docs, labels.filter(~held))
+    rest = docs.join(labels.filter(held & F.col("toxic").isNotNull()).select("doc_id", F.col("toxic").alias("label")), "doc_id")
+    rows = toxicity.score(rest.select("doc_id", "text"), chain).select("doc_id", "toxic").join(rest.select("doc_id", "label"), "doc_id").collect()
+    caught, spared = [r["toxic"] for r in rows if r["label"] == 1], [r["toxic"] for r in rows if r["label"] == 0]
+    assert len(caught) >= 20 and len(spared) >= 200
+    assert sum(caught) / len(caught) >= 0.85 and sum(spared) / len(spared) <= 0.03
 
 
 def nearest(item, text):
