@@ -41,6 +41,8 @@ BITS_PER_HASH = 64
 LEAST_BITS, MOST_BITS = 1 << 20, 1 << 29
 #: Windows that a task walks at once.
 WINDOWS = 4096
+#: Cells of the edit-distance tables of the pairs that a task verifies at once, and after how many words it drops the far ones.
+CELLS, STEPS = 1 << 18, 4
 #: Findings, and samples of the items, up to this many bytes go to all texts; more are joined by shuffle.
 BROADCAST_BYTES = 32 << 20
 SPACED = bytes(b if b > 127 or chr(b).isalnum() else 32 for b in range(256))
@@ -134,17 +136,56 @@ def cgk_samples(windows: np.ndarray, reps: int, sampled: int = SAMPLED) -> np.nd
     return out.T
 
 
-def edits_within(item: np.ndarray, text: np.ndarray) -> tuple[int, int]:
-    """Smallest edit distance between the item and any stretch of the text, and where the first such stretch ends."""
-    ramp = np.arange(len(text) + 1)
-    row = np.zeros(len(text) + 1, dtype=np.int64)
-    for k, symbol in enumerate(item):
-        best = np.empty(len(text) + 1, dtype=np.int64)
+def edits_within(items: np.ndarray, texts: list[np.ndarray], limit: int) -> tuple[np.ndarray, np.ndarray]:
+    """Smallest edit distance between each item (rows of equal length) and any stretch of its text, and where the first such stretch ends.
+
+    Distances over the limit count as limit + 1, with 0 as the end. All pairs go
+    through the table together, one word of the items at a time; every few words
+    those that are beyond the limit leave it, as no later word brings them back.
+    """
+    many, size = items.shape
+    lengths = np.array([len(t) for t in texts], dtype=np.int64)
+    widest = int(lengths.max(initial=0))
+    kind = np.int16 if size + widest + limit < 1 << 15 else np.int64
+    # one column a pair; what lies behind the end of a text reaches nothing before it
+    symbols = np.zeros((widest, many), dtype=items.dtype)
+    for k, text in enumerate(texts):
+        symbols[: len(text), k] = text
+    distance, end = np.full(many, limit + 1, dtype=np.int64), np.zeros(many, dtype=np.int64)
+    left = np.arange(many)
+    ramp = np.arange(widest + 1, dtype=kind)[:, None]
+    row = np.zeros((widest + 1, many), dtype=kind)
+    row[ramp > lengths] = limit + 1
+    for k in range(size):
+        best = np.empty_like(row)
         best[0] = k + 1
-        np.minimum(row[1:] + 1, row[:-1] + (text != symbol), out=best[1:])
-        row = np.minimum.accumulate(best - ramp) + ramp  # insertions
-    end = int(row.argmin())
-    return int(row[end]), end
+        np.minimum(row[1:] + kind(1), row[:-1] + (symbols != items[left, k]), out=best[1:])
+        best -= ramp
+        np.minimum.accumulate(best, axis=0, out=best)  # insertions
+        row = np.add(best, ramp, out=best)
+        if k % STEPS == STEPS - 1 or k == size - 1:
+            row[ramp > lengths[left]] = limit + 1
+            near = row.min(axis=0) <= limit
+            if not near.all():
+                left, row, symbols = left[near], row[:, near], symbols[:, near]
+            if not len(left):
+                return distance, end
+    end[left] = row.argmin(axis=0)
+    distance[left] = row.min(axis=0)
+    return distance, end
+
+
+def nearest_stretches(items: list[np.ndarray], texts: list[np.ndarray], max_edits: float) -> np.ndarray:
+    """Distance and end, as in ``edits_within``, of pairs of any lengths, in tables of CELLS or of one pair."""
+    out = np.zeros((len(items), 2), dtype=np.int32)
+    sizes, widths = (np.array([len(x) for x in v], dtype=np.int64) for v in (items, texts))
+    order = np.lexsort((widths, sizes))
+    for same in np.split(order, np.nonzero(np.diff(sizes[order]))[0] + 1) if len(items) else []:
+        tables = -(-len(same) * (int(widths[same[-1]]) + 1) // CELLS)
+        for few in np.array_split(same, min(len(same), tables)):
+            found = edits_within(np.vstack([items[k] for k in few]), [texts[k] for k in few], edit_limit(int(sizes[few[0]]), max_edits))
+            out[few] = np.column_stack(found)
+    return out
 
 
 class WindowFinder:
@@ -303,7 +344,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, max_edits: float = MAX_EDITS) -
 
     @F.pandas_udf("distance int, at int")
     def nearest(item: pd.Series, around: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([edits_within(i, a) for i, a in zip(item, around, strict=True)], columns=["distance", "at"]).astype("int32")
+        return pd.DataFrame(nearest_stretches(list(item), list(around), max_edits), columns=["distance", "at"])
 
     near = proposed.withColumn("n", nearest("codes", "around")).filter(F.col("n.distance") <= F.floor(F.col("size") * F.lit(max_edits)))
     place = F.greatest(F.lit(0), F.col("start") + F.col("n.at") - F.col("size")).alias("start")

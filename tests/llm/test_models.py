@@ -1,9 +1,11 @@
 """Compression classifiers, the toxicity chain, token counts, decontamination and mixing."""
 
 import random
+import time
 
 import numpy as np
 import public_tokenizers
+import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
@@ -194,6 +196,39 @@ def test_walks_agree_at_the_limit_as_assumed():
     assert least - 0.1 <= np.mean(agree)
 
 
+@pytest.mark.parametrize("cells", [50, 1 << 18])
+def test_distances_of_many_pairs_against_the_plain_table(monkeypatch, cells):
+    monkeypatch.setattr(decontaminate, "CELLS", cells)
+    rng, vocab, items, texts = random.Random(6), [f"w{i}" for i in range(60)], [], []
+    for k in range(360):
+        size = (1, 2, 7, 8, 20, 41)[k % 6]
+        items.append([rng.choice(vocab) for _ in range(size)])
+        ends = [[rng.choice(vocab) for _ in range(rng.randint(0, 30))] for _ in range(2)]
+        texts.append([] if k < 6 else [*ends[0], *edited(rng, items[-1], vocab, rng.randint(0, min(size, decontaminate.edit_limit(size) + 2))), *ends[1]])
+    code = lambda v: decontaminate.coded(" ".join(v))
+    found = decontaminate.nearest_stretches([code(v) for v in items], [code(v) for v in texts], decontaminate.MAX_EDITS)
+    over = set()
+    for i, t, (d, at) in zip(items, texts, found.tolist(), strict=True):
+        want, limit = nearest(i, t), decontaminate.edit_limit(len(i))
+        assert d == min(want, limit + 1)
+        # the first stretch with that distance
+        assert at == (min(n for n in range(len(t) + 1) if nearest(i, t[:n]) == want) if want <= limit else 0)
+        over.add(d - limit)
+    assert {-1, 0, 1} <= over
+    assert decontaminate.nearest_stretches([], [], decontaminate.MAX_EDITS).shape == (0, 2)
+
+
+def test_many_far_pairs_cost_little():
+    rng = np.random.default_rng(1)
+    items = rng.integers(0, 1 << 60, (2000, 60)).astype(np.uint64)
+    texts = [*rng.integers(0, 1 << 60, (2000, 160)).astype(np.uint64)]
+    texts[7][30:90] = items[7]
+    start = time.process_time()
+    distance, end = decontaminate.edits_within(items, texts, 9)
+    assert time.process_time() - start < 0.5
+    assert distance[7] == 0 and end[7] == 90 and (distance == 10).sum() == 1999
+
+
 def test_leaks_against_brute_force(spark):
     rng = random.Random(2)
     vocab = [f"w{i}" for i in range(300)]
