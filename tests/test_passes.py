@@ -40,3 +40,14 @@ def test_ends_of_batches_do_not_matter(spark, monkeypatch):
         assert sorted(map(str, shapes.shapes(made).collect())) == want
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_bands_are_ranked_in_pieces(spark):
+    from barloom.operators import outcomes
+
+    rows = spark.createDataFrame([("a" if i % 9 else "b", float(i * 7 % 40), float(i * 5 % 23) if i % 11 else None) for i in range(300)], "band string, s double, y double")
+    want, got = ([tuple(r) for r in outcomes.spearman(rows, "s", "y", "band", few=few).orderBy("band").collect()] for few in (False, True))
+    assert [r[:2] for r in got] == [r[:2] for r in want] and all(abs(a[2] - b[2]) < 1e-9 for a, b in zip(want, got))
+    # no window takes a whole band
+    plan = outcomes.spearman(rows, "s", "y", "band", few=True)._jdf.queryExecution().executedPlan().toString()
+    assert "Window [rank(" not in plan
