@@ -1,12 +1,13 @@
 """Context at a date reads the bars once, and agrees with the structure of all bars at the last one."""
 
+import datetime as dt
 import random
 
 from pyspark.sql import functions as F
 
 from barloom.operators import scans
 from barloom.plans import formations
-from tests.test_shapes import BARS, DAY, dt
+from tests.test_shapes import BARS, DAY
 
 SF = "/root/testdata/sf0.001"
 

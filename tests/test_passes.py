@@ -1,12 +1,13 @@
 """How often bars are dealt, and that it does not matter where a task's batches end."""
 
+import datetime as dt
 import random
 
 import pytest
 
 from barloom.operators import scans, shapes
 from barloom.sources.bars import walks
-from tests.test_shapes import BARS, DAY, dt
+from tests.test_shapes import BARS, DAY
 
 SF = "/root/testdata/sf0.001"
 
